@@ -44,27 +44,43 @@ def presence_deltas(occ: DataFrame, keys: list[str], sizes: tuple[str, ...], min
         edges.append(F.when(starts, F.struct(F.lit(s).alias("window_size"), (m + 1).alias("end_minute"), F.lit(1).alias("delta"))))
         edges.append(F.when(stops, F.struct(F.lit(s).alias("window_size"), (m + n + 1).alias("end_minute"), F.lit(-1).alias("delta"))))
     return (occ.withColumn("_prev", F.lag(minute_col).over(w)).withColumn("_next", F.lead(minute_col).over(w))
-            .withColumn("_d", F.explode(F.array_compact(F.array(*edges))))
+            .withColumn("_d", F.explode(F.array(*edges))).filter("_d is not null")
             .select(*keys, "_d.window_size", "_d.end_minute", "_d.delta"))
 
 
-def steps_from_deltas(deltas: DataFrame, keys: list[str], delta: str, value: str) -> DataFrame:
-    """Running sum of deltas per (keys, window_size): columns value, previous, next_end."""
-    summed = (deltas.groupBy(*keys, "window_size", "end_minute").agg(F.sum(delta).alias("_d"))
-              .filter(F.col("_d") != 0))
+def steps_from_deltas(deltas: DataFrame, keys: list[str], delta: str, value: str,
+                      combine: bool = True) -> DataFrame:
+    """Running sum of deltas per (keys, window_size): columns value, previous, next_end.
+
+    ``combine`` adds up equal ends before the shuffle; leave it out when the input is
+    already partitioned by the keys.
+    """
+    at = [*keys, "window_size", "end_minute"]
+    if combine:
+        deltas = deltas.groupBy(*at).agg(F.sum(delta).alias(delta)).filter(F.col(delta) != 0)
     w = Window.partitionBy(*keys, "window_size").orderBy("end_minute")
-    return (summed.withColumn(value, F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("previous", F.col(value) - F.col("_d"))
-            .withColumn("next_end", F.lead("end_minute").over(w)).drop("_d"))
+    running = deltas.withColumn(value, F.sum(delta).over(w))  # range frame: equal ends together
+    if not combine:
+        running = (running.withColumn("_n", F.lead("end_minute").over(w))
+                   .filter(F.col("_n").isNull() | (F.col("_n") != F.col("end_minute"))))
+    return running.select(*at, value, F.coalesce(F.lag(value).over(w), F.lit(0)).cast("long").alias("previous"),
+                          F.lead("end_minute").over(w).alias("next_end"))
+
+
+def steps_from_panes(panes: DataFrame, keys: list[str], count: str, value: str, sizes: tuple[str, ...],
+                     minute_col: str = "m") -> DataFrame:
+    """Step functions of a per-minute count. Rows are shuffled by the keys before they are
+    doubled into deltas, so the deltas never cross the network."""
+    local = panes.repartition(*keys)
+    return steps_from_deltas(count_deltas(local, keys, [count], sizes, minute_col), keys, count, value, combine=False)
 
 
 def histogram_deltas(steps: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Per-item steps -> deltas of the number of items at each value (value 0 is absence)."""
-    moved = F.array_compact(F.array(
-        F.when(F.col(value) > 0, F.struct(F.col(value).alias("y"), F.lit(1).alias("delta"))),
-        F.when(F.col("previous") > 0, F.struct(F.col("previous").alias("y"), F.lit(-1).alias("delta")))))
-    return (steps.withColumn("_h", F.explode(moved))
-            .select(*keys, "window_size", "end_minute", "_h.y", "_h.delta"))
+    moved = F.array(F.struct(F.col(value).alias("y"), F.lit(1).alias("delta")),
+                    F.struct(F.col("previous").alias("y"), F.lit(-1).alias("delta")))
+    return (steps.filter(F.col(value) != F.col("previous")).withColumn("_h", F.explode(moved))
+            .select(*keys, "window_size", "end_minute", "_h.y", "_h.delta").filter("y > 0"))
 
 
 def expand_steps(steps: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -13,13 +13,13 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from surgelens.functions.ranking import rank_select
 from surgelens.functions.stats import block_rank_sum, entropy_bits, gini_from_ranks
 from surgelens.operators import sweep
 from surgelens.operators.grid import ALL_SIZES, HORIZONS, W, instant, minute, steps_of
+from surgelens.session import hold
 from surgelens.registry import FAMILY_FEATURES, col_of
 
-COUNT_DIMS = ("country", "state", "method", "issuer", "bin", "decline", "dev", "cus", "ins", "ip")
+COUNT_DIMS = ("country", "state", "method", "issuer", "bin", "decline", "dev", "cus")
 _OPTIONAL = {"outcome_status": "string", "decline_source": "string", "failure_code": "string",
              "refunded_at": "timestamp"}
 
@@ -116,7 +116,7 @@ def _gap_deltas(gaps: DataFrame, sizes: tuple[str, ...]) -> DataFrame:
         fits = F.col("m") - F.col("m_prev") < HORIZONS[s]
         for end, sign in ((F.col("m") + 1, 1), (F.col("m_prev") + HORIZONS[s] + 1, -1)):
             sides.append(F.when(fits, F.struct(F.lit(s).alias("window_size"), end.alias("end_minute"), F.lit(sign).alias("sign"))))
-    return (totals.withColumn("_d", F.explode(F.array_compact(F.array(*sides))))
+    return (totals.withColumn("_d", F.explode(F.array(*sides))).filter("_d is not null")
             .select("merchant_id", "_d.window_size", "_d.end_minute",
                     *[(F.col(c) * F.col("_d.sign")).cast("decimal(38,0)").alias(c) for c in ("gaps", "gap_us", "gap_sq")]))
 
@@ -124,10 +124,9 @@ def _gap_deltas(gaps: DataFrame, sizes: tuple[str, ...]) -> DataFrame:
 def item_steps(flat: DataFrame, sizes: tuple[str, ...], dims: tuple[str, ...] = COUNT_DIMS) -> DataFrame:
     """Step functions (merchant, dim, item) -> attempts of the item in the window."""
     pairs = F.array(*[F.when(F.col(d).isNotNull(), F.struct(F.lit(d).alias("dim"), F.col(d).alias("item"))) for d in dims])
-    panes = (flat.select("merchant_id", "m", F.explode(F.array_compact(pairs)).alias("_p"))
+    panes = (flat.select("merchant_id", "m", F.explode(pairs).alias("_p")).filter("_p is not null")
              .groupBy("merchant_id", "_p.dim", "_p.item", "m").agg(F.count(F.lit(1)).alias("c")))
-    return sweep.steps_from_deltas(sweep.count_deltas(panes, ["merchant_id", "dim", "item"], ["c"], sizes),
-                                   ["merchant_id", "dim", "item"], "c", "value")
+    return sweep.steps_from_panes(panes, ["merchant_id", "dim", "item"], "c", "value", sizes)
 
 
 def edge_minutes(flat: DataFrame) -> DataFrame:
@@ -151,7 +150,7 @@ def neighbour_steps(flat: DataFrame, sizes: tuple[str, ...],
     deltas = sweep.presence_deltas(edge_minutes(flat), ["merchant_id", "kind", "a", "b"], sizes)
     sides = [F.when(F.col("kind") == kind, F.struct(F.lit(dim).alias("dim"), F.col(end).alias("item")))
              for kind, uses in NEIGHBOUR_DIMS.items() for dim, end in uses if dim in dims]
-    oriented = (deltas.withColumn("_s", F.explode(F.array_compact(F.array(*sides))))
+    oriented = (deltas.withColumn("_s", F.explode(F.array(*sides))).filter("_s is not null")
                 .select("merchant_id", "_s.dim", "_s.item", "window_size", "end_minute", "delta"))
     return sweep.steps_from_deltas(oriented, ["merchant_id", "dim", "item"], "delta", "value")
 
@@ -176,7 +175,7 @@ def profile(hist: DataFrame) -> DataFrame:
                    F.sum(block_rank_sum(y, h, F.col("_before"))).alias("ranks")))
     n, t = F.col("items"), F.col("total")
     ent, gin = entropy_bits(t, F.col("plogp")), gini_from_ranks(n, t.cast("double"), F.col("ranks"))
-    wanted = {"items": (n, ("cus", "dev", "ins", "ip", "dev_cus")),
+    wanted = {"items": (n, ("cus", "dev", "dev_cus")),
               "total": (t, ("dev_cus",)),
               "top": (F.col("top"), ("dev", "cus", "decline", "dev_cus", "dev_ins", "cus_dev", "ip_cus")),
               "ent": (ent, ("country", "state", "method", "issuer", "decline")),
@@ -186,46 +185,112 @@ def profile(hist: DataFrame) -> DataFrame:
     return ranked.groupBy(*W).agg(*aggs)
 
 
-def foreign_countries(flat: DataFrame, sizes: tuple[str, ...]) -> DataFrame:
-    """Deltas of the number of distinct countries other than the home country."""
-    occ = flat.filter(F.col("country") != "IN").select("merchant_id", "country", "m").distinct()
-    return (sweep.presence_deltas(occ, ["merchant_id", "country"], sizes)
-            .select("merchant_id", "window_size", "end_minute", F.col("delta").cast("long").alias("foreign")))
+def distinct_deltas(flat: DataFrame, kinds: dict[str, Column], sizes: tuple[str, ...],
+                    known: DataFrame | None = None) -> DataFrame:
+    """Deltas of the number of distinct entities per kind, one column per kind.
+
+    ``kinds`` maps a column name to the entity (null: none). With ``known`` (merchant_id,
+    kind, entity) only entities not in it are counted.
+    """
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("entity")) for k, c in kinds.items()])
+    occ = (flat.select("merchant_id", "m", F.explode(each).alias("_e"))
+           .select("merchant_id", "_e.kind", "_e.entity", "m").filter("entity is not null").distinct())
+    if known is not None:
+        occ = occ.join(known, ["merchant_id", "kind", "entity"], "left_anti")
+    moved = sweep.presence_deltas(occ, ["merchant_id", "kind", "entity"], sizes)
+    return (moved.groupBy("merchant_id", "window_size", "end_minute")
+            .agg(*[F.sum(F.when(F.col("kind") == k, F.col("delta")).otherwise(0)).alias(k) for k in kinds]))
+
+
+# ---- order statistics and amount bins -------------------------------------------------
+# A window's values are first seen as counts per value bucket, which slide by deltas. Only
+# buckets that hold a wanted rank, or that straddle a bin edge, are opened; their values meet
+# the window on (merchant, horizon, bucket, time block), a block being as long as the horizon.
+
+BUCKETS_PER_OCTAVE = 16
+
+
+def _bucket(value: Column) -> Column:
+    return F.when(value > 0, F.floor(F.log2(value.cast("double")) * BUCKETS_PER_OCTAVE)).otherwise(-1).cast("int")
 
 
-def value_counts(flat: DataFrame, gaps: DataFrame, sizes: tuple[str, ...]) -> DataFrame:
-    """(W, dim, value, weight) with dim ``amount`` (in hundredths) or ``gap`` (microseconds)."""
+def value_panes(flat: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Counts per (dim, m_prev, m, value); dim ``amount`` in hundredths, ``gap`` in microseconds."""
     amounts = (flat.groupBy("merchant_id", "m", (F.col("amount") * 100).cast("long").alias("value"))
                .agg(F.count(F.lit(1)).alias("c"))
                .select("merchant_id", F.lit("amount").alias("dim"), F.col("m").alias("m_prev"), "m", "value", "c"))
-    spread = amounts.unionByName(gaps.select("merchant_id", F.lit("gap").alias("dim"), "m_prev", "m",
-                                             F.col("gap").alias("value"), "c"))
-    ends = sweep.ends_of_all({s: (F.col("m") + 1, F.col("m_prev") + HORIZONS[s]) for s in sizes})
-    return (spread.withColumn("_e", F.explode(ends))
-            .groupBy("merchant_id", "_e.window_size", "_e.end_minute", "dim", "value")
-            .agg(F.sum("c").alias("weight")))
+    return (amounts.unionByName(gaps.select("merchant_id", F.lit("gap").alias("dim"), "m_prev", "m",
+                                            F.col("gap").alias("value"), "c"))
+            .withColumn("bucket", _bucket(F.col("value"))))
 
 
-def order_statistics(hist: DataFrame) -> DataFrame:
+def bucket_cells(values: DataFrame, sizes: tuple[str, ...]) -> DataFrame:
+    """(W, dim, bucket, weight): how many values of the window lie in each bucket."""
+    keys = ["merchant_id", "dim", "bucket"]
+    panes = values.groupBy(*keys, "m_prev", "m").agg(F.sum("c").alias("c")).repartition(*keys)
+    sides = []
+    for s in sizes:
+        fits = F.col("m") - F.col("m_prev") < HORIZONS[s]
+        for end, sign in ((F.col("m") + 1, 1), (F.col("m_prev") + HORIZONS[s] + 1, -1)):
+            sides.append(F.when(fits, F.struct(F.lit(s).alias("window_size"), end.alias("end_minute"),
+                                               (F.col("c") * sign).alias("d"))))
+    deltas = (panes.withColumn("_d", F.explode(F.array(*sides))).filter("_d is not null")
+              .select(*keys, "_d.window_size", "_d.end_minute", "_d.d"))
+    return sweep.expand_steps(sweep.steps_from_deltas(deltas, keys, "d", "weight", combine=False), keys, "weight")
+
+
+def open_buckets(targets: DataFrame, values: DataFrame, sizes: tuple[str, ...], keep: list[str]) -> DataFrame:
+    """Values of the targeted (W, dim, bucket) cells, with the target's ``keep`` columns."""
+    lengths = F.array(*[F.struct(F.lit(s).alias("window_size"), F.lit(HORIZONS[s]).alias("steps")) for s in sizes])
+    blocked = (values.withColumn("_s", F.explode(lengths))
+               .select("merchant_id", "dim", "bucket", "_s.window_size", "m_prev", "m", "value", "c",
+                       F.floor(F.col("m") / F.col("_s.steps")).alias("_block")))
+    steps = steps_of("window_size")
+    first, last = F.floor((F.col("end_minute") - steps) / steps), F.floor((F.col("end_minute") - 1) / steps)
+    asked = (targets.select(*W, "dim", "bucket", *keep, (F.col("end_minute") - steps).alias("_start"),
+                            F.explode(F.array_distinct(F.array(first, last))).alias("_block")))
+    return (asked.join(blocked, ["merchant_id", "window_size", "dim", "bucket", "_block"])
+            .filter((F.col("m") < F.col("end_minute")) & (F.col("m_prev") >= F.col("_start")))
+            .select(*W, "dim", "bucket", "value", "c", *keep))
+
+
+def order_statistics(cells: DataFrame, values: DataFrame, sizes: tuple[str, ...]) -> DataFrame:
     """Median amount and the gap at sorted index int(0.05 * gaps), per window."""
+    per_w = Window.partitionBy(*W, "dim")
+    upto = per_w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     n, is_amt = F.col("n_total"), F.col("dim") == "amount"
     low5 = F.floor(F.lit(0.05) * n) + 1
-    picked = rank_select(hist, [*W, "dim"], "value", "weight",
-                         F.when(is_amt, F.floor((n + 1) / 2)).otherwise(low5),
-                         F.when(is_amt, F.floor(n / 2) + 1).otherwise(low5))
-    mid = (F.col("lo_value") + F.col("hi_value")) / 2
+    targets = (cells.withColumn("_cum", F.sum("weight").over(upto)).withColumn("n_total", F.sum("weight").over(per_w))
+               .withColumn("lo", F.when(is_amt, F.floor((n + 1) / 2)).otherwise(low5))
+               .withColumn("hi", F.when(is_amt, F.floor(n / 2) + 1).otherwise(low5))
+               .withColumn("before", F.col("_cum") - F.col("weight"))
+               .filter((F.col("before") < F.col("hi")) & (F.col("_cum") >= F.col("lo"))))
+    inside = (Window.partitionBy(*W, "dim", "bucket").orderBy("value")
+              .rowsBetween(Window.unboundedPreceding, 0))
+    rank = F.col("before") + F.sum("c").over(inside)
+    picked = (open_buckets(targets, values, sizes, ["before", "lo", "hi"])
+              .withColumn("_rank", rank)
+              .groupBy(*W, "dim")
+              .agg(F.min(F.when(F.col("_rank") >= F.col("lo"), F.col("value"))).alias("at_lo"),
+                   F.min(F.when(F.col("_rank") >= F.col("hi"), F.col("value"))).alias("at_hi")))
+    mid = (F.col("at_lo") + F.col("at_hi")) / 2
     return picked.groupBy(*W).agg(F.max(F.when(is_amt, mid / 100)).alias("amt_median"),
                                   F.max(F.when(~is_amt, mid / 1000000)).alias("gap_p05"))
 
 
-def amount_bins(hist: DataFrame, base: DataFrame) -> DataFrame:
+def amount_bins(cells: DataFrame, values: DataFrame, base: DataFrame, sizes: tuple[str, ...]) -> DataFrame:
     """Entropy of amounts over ten bins scaled to twice the window's mean."""
-    amounts = hist.filter(F.col("dim") == "amount")
-    a = F.col("value") / 100.0
     scale = F.greatest(F.lit(100.0), F.col("amt").cast("double") / F.col("n") * 2.0)
-    binned = (amounts.join(base.select(*W, "n", "amt"), W)
-              .groupBy(*W, F.least(F.lit(9), F.floor(a / scale * 10)).alias("_bin"))
-              .agg(F.sum("weight").alias("_c")))
+    bin_of = lambda amount, width: F.least(F.lit(9), F.floor(amount / width * 10))
+    # bucket bounds, widened a little so that rounding can only cause an extra look
+    low = F.when(F.col("bucket") < 0, 0.0).otherwise(F.pow(F.lit(2.0), F.col("bucket") / BUCKETS_PER_OCTAVE) / 100 * (1 - 1e-9))
+    high = F.when(F.col("bucket") < 0, 0.0).otherwise(F.pow(F.lit(2.0), (F.col("bucket") + 1) / BUCKETS_PER_OCTAVE) / 100 * (1 + 1e-9))
+    placed = (cells.filter(F.col("dim") == "amount").join(base.select(*W, scale.alias("scale")), W)
+              .withColumn("_lo", bin_of(low, F.col("scale"))).withColumn("_hi", bin_of(high, F.col("scale"))))
+    whole = placed.filter("_lo = _hi").select(*W, F.col("_lo").alias("_bin"), F.col("weight").alias("c"))
+    split = open_buckets(placed.filter("_lo <> _hi"), values, sizes, ["scale"])
+    split = split.select(*W, bin_of(F.col("value") / 100.0, F.col("scale")).alias("_bin"), "c")
+    binned = whole.unionByName(split).groupBy(*W, "_bin").agg(F.sum("c").alias("_c"))
     c = F.col("_c")
     return (binned.groupBy(*W).agg(F.sum(c).alias("_n"), F.sum(c * F.log2(c.cast("double"))).alias("_p"))
             .select(*W, entropy_bits(F.col("_n"), F.col("_p")).alias("ent_amount")))
@@ -257,14 +322,16 @@ HISTORY_KINDS = {"cus": "customer", "dev": "device", "ins": "instrument", "ip":
 
 def novelty_deltas(flat: DataFrame, history: DataFrame, sizes: tuple[str, ...]) -> DataFrame:
     """Deltas of distinct window entities absent from ``history`` (merchant_id, kind, entity)."""
-    each = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("entity")) for c, k in HISTORY_KINDS.items()])
-    occ = (flat.select("merchant_id", "m", F.explode(each).alias("_e"))
-           .select("merchant_id", "_e.kind", "_e.entity", "m").distinct()
-           .join(history.select("merchant_id", "kind", "entity"), ["merchant_id", "kind", "entity"], "left_anti"))
-    moved = sweep.presence_deltas(occ, ["merchant_id", "kind", "entity"], sizes)
-    return moved.select("merchant_id", "window_size", "end_minute",
-                        *[F.when(F.col("kind") == k, F.col("delta")).otherwise(0).cast("long").alias(f"novel_{c}")
-                          for c, k in HISTORY_KINDS.items()])
+    columns = {kind: f"novel_{c}" for c, kind in HISTORY_KINDS.items()}
+    renamed = history.select("merchant_id", F.concat(F.lit("novel_"), _short_kind(F.col("kind"))).alias("kind"), "entity")
+    return distinct_deltas(flat, {columns[kind]: F.col(c) for c, kind in HISTORY_KINDS.items()}, sizes, renamed)
+
+
+def _short_kind(kind: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for short, long in HISTORY_KINDS.items():
+        out = F.when(kind == long, short).otherwise(out)
+    return out
 
 
 def first_seen(events: DataFrame) -> DataFrame:
@@ -285,18 +352,23 @@ def window_features(events: DataFrame, sizes: tuple[str, ...] = ALL_SIZES, histo
     ``history``, ``geo_mix`` and ``method_mix`` are optional, as is the rate of the preceding
     window; without them novelty is 1, mix distances are 0 and the preceding rate is 0.
     """
-    flat = flatten(events)
+    flat = hold(flatten(events))  # read by six branches below
     panes = minute_panes(flat)
     gaps = gap_panes(flat)
-    extra = [_gap_deltas(gaps, sizes), foreign_countries(flat, sizes)]
+    uniques = {"items_ins": F.col("ins"), "items_ip": F.col("ip"),
+               "foreign": F.when(F.col("country") != "IN", F.col("country"))}
+    extra = [_gap_deltas(gaps, sizes), distinct_deltas(flat, uniques, sizes)]
     if history is not None:
         extra.append(novelty_deltas(flat, history, sizes))
     extra = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), extra)
     base = sweep.sliding_sums(panes, ["merchant_id"], ADDITIVE, sizes, spine,
                               ("n",) if preceding else (), extra)
+    base = hold(base)
     hist = window_histogram(item_steps(flat, sizes).unionByName(neighbour_steps(flat, sizes)))
-    values = value_counts(flat, gaps, sizes)
-    parts = [base.withColumn("_on", F.lit(1)), profile(hist), order_statistics(values), amount_bins(values, base)]
+    values = value_panes(flat, gaps)
+    cells = hold(bucket_cells(values, sizes))
+    parts = [base.withColumn("_on", F.lit(1)), profile(hist), order_statistics(cells, values, sizes),
+             amount_bins(cells, values, base, sizes)]
     if geo_mix is not None:
         parts.append(mix_distance(flat, "city", geo_mix, sizes, "geo_jsd"))
     if method_mix is not None:

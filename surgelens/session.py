@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+_HELD: list[DataFrame] = []
+
 
 def local_session(app: str = "surgelens", cpus: str | None = None, memory: str = "12g") -> SparkSession:
     """A local session for tests and bench. A cluster brings its own session."""
@@ -38,3 +41,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and keeps iterative plans short."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Keep a table that several branches of one plan read (memory, then disk). Lost blocks
+    are recomputed. ``release`` frees what earlier queries held."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _HELD.append(kept)
+    return kept
+
+
+def release() -> None:
+    while _HELD:
+        _HELD.pop().unpersist()
