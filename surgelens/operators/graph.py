@@ -119,12 +119,17 @@ def cluster_features(flat: DataFrame, labels: DataFrame, sizes: tuple[str, ...])
     return best.select(*W, "clusters", "_b.nodes", "_b.edges")
 
 
-def cross_merchant(labels: DataFrame) -> DataFrame:
+def cross_merchant(flat: DataFrame, sizes: tuple[str, ...]) -> DataFrame:
     """Per window: entities also active at another merchant in the same window, and the
-    largest number of merchants one of them touches."""
-    shared = (labels.select("vertex", "merchant_id").distinct().groupBy("vertex")
+    largest number of merchants one of them touches. Entities of a single merchant drop out
+    before any window is looked at."""
+    name = F.array(*[F.concat(F.lit(_PREFIX[k]), F.col(k)) for k in _PREFIX])
+    occ = flat.select("merchant_id", "m", F.explode(name).alias("vertex")).distinct()
+    shared = (occ.select("vertex", "merchant_id").distinct().groupBy("vertex")
               .agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").select("vertex"))
-    active = labels.join(shared, "vertex", "left_semi")
+    keys = ["vertex", "merchant_id"]
+    here = sweep.steps_from_deltas(sweep.presence_deltas(occ.join(shared, "vertex", "left_semi"), keys, sizes), keys, "delta", "on", combine=False)
+    active = sweep.expand_steps(here, keys, "on")
     at = ["window_size", "end_minute", "vertex"]
     reach = active.groupBy(*at).agg(F.count(F.lit(1)).alias("merchants")).filter("merchants > 1")
     return (active.join(reach, at).groupBy(*W)
@@ -140,7 +145,7 @@ def graph_features(events: DataFrame, sizes: tuple[str, ...] = ALL_SIZES, with_c
     counts = sweep.sliding_sums(flat.groupBy("merchant_id", "m").agg(F.count(F.lit(1)).alias("n")), ["merchant_id"], ["n"], sizes)
     out = per_w.join(counts, W)
     if with_cross_merchant:
-        out = out.join(cross_merchant(labels), W, "left")
+        out = out.join(cross_merchant(flat, sizes), W, "left")
     else:
         out = out.withColumn("cross_entities", F.lit(0)).withColumn("fanout", F.lit(1))
     n, e, nodes = F.col("n"), F.col("edges").cast("double"), F.col("nodes")

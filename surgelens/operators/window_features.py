@@ -449,3 +449,69 @@ def _assemble(wide: DataFrame) -> DataFrame:
     return wide.select(
         "merchant_id", "window_size", instant("end_minute").alias("window_end"),
         *[F.when(n > 0, values[f]).otherwise(when_empty.get(f, zero)).alias(col_of(f)) for f in ordered])
+
+
+def additive_features(events: DataFrame, sizes: tuple[str, ...] = ALL_SIZES, spine: DataFrame | None = None,
+                      preceding: bool = False) -> DataFrame:
+    """The features that are ratios of window sums; one shuffle of minutes, nothing else."""
+    w = sweep.sliding_sums(minute_panes(flatten(events)), ["merchant_id"], ADDITIVE, sizes, spine, ("n",) if preceding else ())
+    d = lambda c: F.col(c).cast("double")
+    n, minutes = d("n"), steps_of("window_size").cast("double")
+    prev = d("prev_n") if preceding else F.lit(0.0)
+    share = lambda c, of=None: F.when(n > 0, d(c) / (n if of is None else F.greatest(F.lit(1.0), of))).otherwise(0.0)
+    return w.select(
+        "merchant_id", "window_size", instant("end_minute").alias("window_end"), (n / minutes).alias("A_txn_rate"),
+        F.when(n > 0, (n - prev) / minutes).otherwise(0.0).alias("A_rate_accel"), n.alias("B_txn_count"), d("success").alias("B_success_count"),
+        d("failure").alias("B_failure_count"), share("failure").alias("C_failure_rate"), share("coupons").alias("C_coupon_rate"),
+        share("cod").alias("C_cod_rate"), share("intl").alias("C_international_rate"), share("retries").alias("C_retry_rate"), d("amt").alias("D_gmv"),
+        share("low").alias("D_low_value_ratio"), share("high").alias("D_high_value_ratio"),
+        (d("coupons") * 100.0 / F.greatest(F.lit(1.0), d("amt"))).alias("D_discount_to_gmv"), share("card").alias("H_card_share"),
+        share("issuer_declines", d("failure")).alias("I_decline_issuer_share"), share("refunds").alias("I_refund_rate"))
+
+
+def novelty_features(events: DataFrame, history: DataFrame, sizes: tuple[str, ...] = ALL_SIZES) -> DataFrame:
+    """Shares of window entities absent from a history (merchant_id, kind, entity)."""
+    flat = flatten(events)
+    panes = flat.groupBy("merchant_id", "m").agg(F.count(F.lit(1)).alias("n"))
+    uniques = {f"items_{c}": F.col(c) for c in HISTORY_KINDS}
+    extra = distinct_deltas(flat, uniques, sizes).unionByName(novelty_deltas(flat, history, sizes), allowMissingColumns=True)
+    w = sweep.sliding_sums(panes, ["merchant_id"], ["n"], sizes, extra=extra)
+    part = lambda c: F.col(f"novel_{c}") / F.greatest(F.lit(1), F.col(f"items_{c}"))
+    total = lambda p: sum((F.col(f"{p}_{c}") for c in HISTORY_KINDS), F.lit(0))
+    return w.select("merchant_id", "window_size", instant("end_minute").alias("window_end"), part("ins").alias("C_instrument_novelty"),
+                    part("cus").alias("C_account_novelty"), part("dev").alias("C_device_novelty"),
+                    (F.col("novel_cus") / F.col("n")).alias("G_account_cohort_concentration"), (total("novel") / total("items")).alias("J_entity_novelty_share"))
+
+
+def mix_features(events: DataFrame, geo_mix: DataFrame, method_mix: DataFrame, sizes: tuple[str, ...] = ALL_SIZES) -> DataFrame:
+    """JS distances of the window's city and method mixes from baseline mixes."""
+    flat = flatten(events)
+    a = mix_distance(flat, "city", geo_mix, sizes, "E_geo_mix_jsd")
+    b = mix_distance(flat, "method", method_mix, sizes, "H_method_mix_jsd")
+    return a.join(b, W, "full").select("merchant_id", "window_size", instant("end_minute").alias("window_end"), "E_geo_mix_jsd", "H_method_mix_jsd")
+
+
+def baseline_mix(events: DataFrame, category) -> DataFrame:
+    """Share of each category among a merchant's attempts."""
+    counts = events.groupBy("merchant_id", category.alias("category")).agg(F.count(F.lit(1)).alias("c"))
+    total = counts.groupBy("merchant_id").agg(F.sum("c").alias("t"))
+    return counts.join(total, "merchant_id").select("merchant_id", "category", (F.col("c") / F.col("t")).alias("share"))
+
+
+def declared_features(events: DataFrame, customers: DataFrame, sizes: tuple[str, ...] = ("5m",)) -> DataFrame:
+    """Refund latency, account age and modal-region features as the registry words them, for
+    the columns that exist: median refund hours, young-account share (24 h), and the share of
+    accounts outside their own modal region."""
+    flat_ids = events.select("merchant_id", "transaction_id", "customer_id", "timestamp", "refunded_at", F.col("geo.state").alias("state"))
+    mode = flat_ids.filter("customer_id is not null").groupBy("customer_id").agg(F.mode("state", True).alias("home_state"))
+    hours = lambda a, b: (F.unix_micros(a) - F.unix_micros(b)) / 3.6e9
+    facts = (flat_ids.join(customers, "customer_id", "left").join(mode, "customer_id", "left")
+             .select("merchant_id", minute("timestamp").alias("m"), "customer_id", hours("timestamp", "created_at").alias("age_hours"),
+                     hours("refunded_at", "timestamp").alias("refund_hours"), (F.col("state") != F.col("home_state")).alias("away")))
+    panes = facts.groupBy("merchant_id", "m").agg(
+        F.count(F.lit(1)).alias("n"), F.count("refund_hours").alias("refunds"), F.count_if(F.col("age_hours") < 24).alias("young"),
+        F.count_if("away").alias("away"), F.count("customer_id").alias("known"))
+    w = sweep.sliding_sums(panes, ["merchant_id"], ["n", "refunds", "young", "away", "known"], sizes)
+    share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
+    return w.select("merchant_id", "window_size", instant("end_minute").alias("window_end"), share("refunds", "n").alias("refund_rate"),
+                    share("young", "known").alias("young_account_share"), share("away", "known").alias("away_from_home_share"))
