@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from surgelens.session import hold
+
 BASE_US = 1704067200000000  # 2024-01-01T00:00Z
 
 
@@ -208,7 +210,7 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a redelivery of every fiftieth event, one second later, with the same key
     again = (allk.filter(F.expr("cast(substring(event_id, 4, 20) as bigint) % 50 = 0"))
              .withColumn("timestamp", F.timestamp_micros(F.unix_micros("timestamp") + 1000000)))
-    return allk.unionByName(again)
+    return hold(allk.unionByName(again))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from surgelens import schemas as S
+from surgelens.session import hold
 
 PAN_LIKE = r"^[0-9]{12,19}$"
 DEDUPE_TTL_SECONDS = 86400
@@ -90,8 +91,9 @@ def check_events(events: DataFrame) -> DataFrame:
 
 
 def validate_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected); rejected rows keep their reasons."""
-    checked = check_events(events)
+    """(accepted, rejected); rejected rows keep their reasons. Both sides read one checked
+    table, held so that the checks run once and are not copied into every branch."""
+    checked = hold(check_events(events))
     return checked.filter(F.size("reasons") == 0).drop("reasons"), checked.filter(F.size("reasons") > 0)
 
 
