@@ -131,7 +131,7 @@ def exposure(df: DataFrame, gmv: str = "gmv", n: str = "n_txns", p_loss: Column
 
 def incident_id(merchant: Column, kind: Column, end: Column) -> Column:
     """Stable id of a merchant's window."""
-    at = F.date_format(end, "yyyy-MM-dd HH:mm:ssXXX")
+    at = F.date_format(end, "yyyy-MM-dd HH:mm:ssxxx")
     return F.concat(F.lit("inc_"), F.substring(F.sha2(F.concat_ws("|", merchant, kind, at), 256), 1, 26))
 
 

@@ -190,10 +190,10 @@ def _additive(spark, d):
 
 # ---- lifecycle joins and history --------------------------------------------------------
 
-@register("lifecycle_join", with_ctes(["att"], f"SELECT transaction_id, status AS outcome_status, failure_code, CASE WHEN refunded THEN {r6('amount')} END AS refund_amount, CASE WHEN refunded THEN {r6('refund_us / 1e6')} END AS refunded_at, order_status, disputed AS is_disputed, CASE WHEN disputed THEN CAST(dispute_days AS BIGINT) END AS dispute_days FROM att"))
+@register("lifecycle_join", with_ctes(["att"], f"SELECT transaction_id, status AS outcome_status, failure_code, CASE WHEN refunded THEN {r6('amount')} END AS refund_amount, CASE WHEN refunded THEN {r6('refund_us / 1e6')} END AS refunded_at, order_status, disputed AS is_disputed, CASE WHEN disputed THEN CAST(dispute_days AS DOUBLE) END AS dispute_days FROM att"))
 def _lifecycle(spark, d):
     return lifecycle.join_disputes(fx.annotated(spark, d), fx.disputes(spark, d)).select(
-        "transaction_id", "outcome_status", "failure_code", "refund_amount", "refunded_at", "order_status", "is_disputed", "dispute_days")
+        "transaction_id", "outcome_status", "failure_code", "refund_amount", "refunded_at", "order_status", "is_disputed", F.col("dispute_days").cast("double").alias("dispute_days"))
 
 
 HIST = {"known": f"SELECT DISTINCT merchant_id, 'cus' AS kind, customer_id AS entity FROM att WHERE us < {BASE} + 14400000000 AND customer_id IS NOT NULL UNION SELECT DISTINCT merchant_id, 'dev', device_fp FROM att WHERE us < {BASE} + 14400000000 AND device_fp IS NOT NULL UNION SELECT DISTINCT merchant_id, 'ins', ins FROM att WHERE us < {BASE} + 14400000000 UNION SELECT DISTINCT merchant_id, 'ip', ip_fp FROM att WHERE us < {BASE} + 14400000000 AND ip_fp IS NOT NULL",
@@ -329,7 +329,6 @@ def _moments(spark, d):
 def _ids(spark, d):
     a = fx.attempts(spark, d)
     end = grid.instant(grid.minute("timestamp") + 1)
-    plus = F.concat(F.date_format(end, "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))
     return a.select("transaction_id", protect.stable_hash(F.concat_ws("|", "transaction_id", "merchant_id")).alias("content_hash"),
                     X.incident_id(F.col("merchant_id"), F.lit("spike"), end).alias("incident_id"))
 
@@ -596,7 +595,7 @@ def _incidents(spark, d):
     return X.incidents(X.exposure(X.assign_tier(_scored_light(spark, d))))
 
 
-IID = "'inc_' || substr(sha256(merchant_id || '|spike|' || strftime(make_timestamp(e * 60000000), '%Y-%m-%d %H:%M:%S') || 'Z'), 1, 26)"
+IID = "'inc_' || substr(sha256(merchant_id || '|spike|' || strftime(make_timestamp(e * 60000000), '%Y-%m-%d %H:%M:%S') || '+00:00'), 1, 26)"
 INC = {**SC, **MONEY, "inc": f"SELECT *, {IID} AS incident_id, {EXPO.format(x=f'{DIRECT} + {OPER}')} AS exposure_amount FROM ex WHERE action_tier IN ('REVIEW', 'RESTRICT') QUALIFY row_number() OVER (PARTITION BY merchant_id, e ORDER BY steps DESC) = 1"}
 INC_COLS = f"incident_id, merchant_id, CASE WHEN action_tier = 'RESTRICT' THEN 'high' ELSE 'medium' END AS severity, action_tier, {secs('e - steps')} AS first_flag_time, {secs('e')} AS last_flag_time, window_size AS horizon, {r6('score')} AS risk_score, exposure_amount"
 
@@ -692,7 +691,7 @@ def _co(spark, d):
     return stores.merge_co_occurrence(day(a.filter(cut)), day(a.filter(~cut)), F.timestamp_micros(F.lit(BASE + 21600000000))).drop("expires_at")
 
 
-@register("feature_store_ids", with_ctes(["f_base"], f"SELECT sha256(merchant_id || ':' || window_size || ':' || strftime(make_timestamp(e * 60000000), '%Y-%m-%dT%H:%M:%S') || 'Z') AS id, {r6('n / steps')} AS txn_rate, {r6('gmv')} AS gmv FROM f_base"))
+@register("feature_store_ids", with_ctes(["f_base"], f"SELECT sha256(merchant_id || ':' || window_size || ':' || strftime(make_timestamp(e * 60000000), '%Y-%m-%dT%H:%M:%S') || '+00:00') AS id, {r6('n / steps')} AS txn_rate, {r6('gmv')} AS gmv FROM f_base"))
 def _store_ids(spark, d):
     rows = stores.feature_rows(_light(spark, d), ["A_txn_rate", "C_failure_rate"], ["D_gmv"])
     return rows.select("id", F.col("features")["A_txn_rate"].alias("txn_rate"), F.col("evidence")["D_gmv"].alias("gmv"))

@@ -13,7 +13,7 @@ def r6(expr: str) -> str:
 
 def secs(minute: str) -> str:
     """Epoch minute as comparable epoch seconds."""
-    return f"CAST({minute} * 60 AS DOUBLE)"
+    return f"CAST(({minute}) * 60 AS DOUBLE)"
 
 
 def events_cte(axis: str) -> str:

@@ -33,7 +33,7 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 def feature_rows(wide: DataFrame, feature_cols: list[str], evidence_cols: list[str]) -> DataFrame:
     """Feature store rows: id, window key, features and evidence maps."""
     as_map = lambda cols: F.map_from_arrays(F.array(*[F.lit(c) for c in cols]), F.array(*[F.col(c).cast("double") for c in cols]))
-    iso = F.date_format("window_end", "yyyy-MM-dd'T'HH:mm:ssXXX")
+    iso = F.date_format("window_end", "yyyy-MM-dd'T'HH:mm:ssxxx")
     return wide.select(stable_hash(F.concat_ws(":", "merchant_id", "window_size", iso)).alias("id"), "merchant_id", "window_size", "window_end",
                        as_map(feature_cols).alias("features"), as_map(evidence_cols).alias("evidence"))
 

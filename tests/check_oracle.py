@@ -24,8 +24,9 @@ def normal(pdf):
     import pandas as pd
     out = pdf[sorted(pdf.columns)].copy()
     for c in out.columns:
-        out[c] = [None if v is None or (not isinstance(v, (list, dict)) and pd.isna(v)) else v for v in out[c]]
-    rows = sorted(map(tuple, out.astype(object).values.tolist()), key=lambda r: tuple(map(repr, r)))
+        clean = [None if v is None or (not isinstance(v, (list, dict)) and pd.isna(v)) else v for v in out[c]]
+        out[c] = pd.Series([float(v) if isinstance(v, int) and not isinstance(v, bool) else v for v in clean], dtype=object, index=out.index)
+    rows = sorted(map(tuple, out.values.tolist()), key=lambda r: tuple(map(repr, r)))
     return list(out.columns), [str(t) for t in pdf[sorted(pdf.columns)].dtypes], rows
 
 
