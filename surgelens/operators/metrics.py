@@ -19,7 +19,7 @@ def ranking_metrics(df: DataFrame, keys: list[str] = (), y: str = "y_true", p: s
     each slice, so neither a key nor the whole table is ever sorted in one task.
     """
     keys = list(keys)
-    span = df.groupBy(*keys).agg(F.min(p).alias("_lo"), F.max(p).alias("_hi"), F.count(F.lit(1)).alias("_N"), F.sum(F.col(y).cast("long")).alias("_P"))
+    span = df.groupBy(*keys).agg(F.min(p).alias("_lo"), F.max(p).alias("_hi"), F.count(F.lit(1)).alias("_NT"), F.sum(F.col(y).cast("long")).alias("_PT"))
     tied = _tied(df, keys, y, p)
     tied = tied.join(span, keys) if keys else tied.crossJoin(F.broadcast(span))
     width = (F.col("_hi") - F.col("_lo")) / 4096
@@ -32,8 +32,8 @@ def ranking_metrics(df: DataFrame, keys: list[str] = (), y: str = "y_true", p: s
            .withColumn("_cn", F.col("_an") + F.sum("_n").over(inside)).withColumn("_cp", F.col("_ap") + F.sum("_pos").over(inside)))
     neg_here = F.col("_n") - F.col("_pos")
     neg_above = F.col("_cn") - F.col("_cp") - neg_here
-    neg_below = F.col("_N") - F.col("_P") - neg_above - neg_here
-    out = cum.groupBy(*keys).agg(F.first("_N").alias("n"), F.first("_P").alias("pos"),
+    neg_below = F.col("_NT") - F.col("_PT") - neg_above - neg_here
+    out = cum.groupBy(*keys).agg(F.first("_NT").alias("n"), F.first("_PT").alias("pos"),
                                  F.sum(F.col("_pos") * (F.col("_cp") / F.col("_cn"))).alias("_ap"),
                                  F.sum(F.col("_pos") * (neg_below + neg_here / 2.0)).alias("_u"))
     single = (F.col("pos") == 0) | (F.col("pos") == F.col("n"))

@@ -280,7 +280,7 @@ def order_statistics(cells: DataFrame, values: DataFrame, sizes: tuple[str, ...]
 
 def amount_bins(cells: DataFrame, values: DataFrame, base: DataFrame, sizes: tuple[str, ...]) -> DataFrame:
     """Entropy of amounts over ten bins scaled to twice the window's mean."""
-    scale = F.greatest(F.lit(100.0), F.col("amt").cast("double") / F.col("n") * 2.0)
+    scale = F.greatest(F.lit(100.0), F.col("amt").cast("double") / F.greatest(F.lit(1), F.col("n")) * 2.0)
     bin_of = lambda amount, width: F.least(F.lit(9), F.floor(amount / width * 10))
     # bucket bounds, widened a little so that rounding can only cause an extra look
     low = F.when(F.col("bucket") < 0, 0.0).otherwise(F.pow(F.lit(2.0), F.col("bucket") / BUCKETS_PER_OCTAVE) / 100 * (1 - 1e-9))
@@ -389,15 +389,16 @@ def _assemble(wide: DataFrame) -> DataFrame:
     d = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
     seconds = (steps_of("window_size") * 60).cast("double")
     n, gaps = d("n"), d("gaps")
+    n1 = F.greatest(F.lit(1.0), n)  # divisors stay positive on empty windows
     # n * sum(x^2) - sum(x)^2 is subtracted in exact decimals
     def std(sq: str, total: str, count: str) -> Column:
         k = d(count)
         spread = (F.col(sq) * F.col(count).cast("decimal(18,0)") - F.col(total) * F.col(total)).cast("double")
-        return F.when(k > 1, F.sqrt(spread / k / (k - 1))).otherwise(0.0)
+        return F.when(k > 1, F.sqrt(spread / F.greatest(F.lit(1.0), k) / F.greatest(F.lit(1.0), k - 1))).otherwise(0.0)
 
     amt_std = std("amt_sq", "amt", "n")
-    mean_amt = d("amt") / n
-    gap_mean = F.when(gaps > 0, d("gap_us") / gaps / 1e6).otherwise(seconds / F.greatest(F.lit(1.0), n))
+    mean_amt = d("amt") / n11
+    gap_mean = F.when(gaps > 0, d("gap_us") / F.greatest(F.lit(1.0), gaps) / 1e6).otherwise(seconds / F.greatest(F.lit(1.0), n))
     gap_std = std("gap_sq", "gap_us", "gaps") / 1e6
     cv = F.when(gaps > 0, gap_std / F.greatest(F.lit(1e-4), gap_mean)).otherwise(1.0)
     devs, cuss, inss, ips = d("items_dev"), d("items_cus"), d("items_ins"), d("items_ip")
@@ -410,32 +411,32 @@ def _assemble(wide: DataFrame) -> DataFrame:
         "A.periodicity_score": F.greatest(zero, 1.0 - F.least(F.lit(1.0), cv)), "A.hour_of_week_dev": zero,
         "B.txn_count": n, "B.success_count": d("success"), "B.failure_count": d("failure"),
         "B.unique_customers": cuss, "B.unique_instruments": inss, "B.unique_devices": devs, "B.unique_ips": ips,
-        "C.failure_rate": d("failure") / n, "C.devices_per_txn": devs / n, "C.accounts_per_txn": cuss / n,
-        "C.instruments_per_txn": inss / n, "C.ips_per_txn": ips / n,
+        "C.failure_rate": d("failure") / n1, "C.devices_per_txn": devs / n1, "C.accounts_per_txn": cuss / n1,
+        "C.instruments_per_txn": inss / n1, "C.ips_per_txn": ips / n1,
         "C.instrument_novelty": d("novel_ins") / at_least_one(inss),
         "C.account_novelty": d("novel_cus") / at_least_one(cuss),
         "C.device_novelty": d("novel_dev") / at_least_one(devs),
-        "C.coupon_rate": d("coupons") / n, "C.cod_rate": d("cod") / n,
-        "C.international_rate": d("intl") / n, "C.retry_rate": d("retries") / n,
+        "C.coupon_rate": d("coupons") / n1, "C.cod_rate": d("cod") / n1,
+        "C.international_rate": d("intl") / n1, "C.retry_rate": d("retries") / n1,
         "D.gmv": d("amt"), "D.amount_median": d("amt_median"), "D.amount_cv": amt_std / at_least_one(mean_amt),
-        "D.amount_entropy": d("ent_amount"), "D.low_value_ratio": d("low") / n, "D.high_value_ratio": d("high") / n,
+        "D.amount_entropy": d("ent_amount"), "D.low_value_ratio": d("low") / n1, "D.high_value_ratio": d("high") / n1,
         "D.discount_to_gmv": d("coupons") * 100.0 / at_least_one(d("amt")),
         "E.country_entropy": d("ent_country"), "E.state_entropy": d("ent_state"), "E.geo_mix_jsd": d("geo_jsd"),
         "E.new_country_count": d("foreign"), "E.geo_gini": d("gini_state"), "E.geo_transition_rate": zero,
         "F.accounts_per_device_max": d("top_dev_cus"),
         "F.accounts_per_device_mean": d("total_dev_cus") / at_least_one(d("items_dev_cus")),
         "F.accounts_per_device_gini": d("gini_dev_cus"), "F.txn_per_device_max": d("top_dev"),
-        "F.instruments_per_device_max": d("top_dev_ins"), "F.device_reuse_rate": 1.0 - devs / n,
+        "F.instruments_per_device_max": d("top_dev_ins"), "F.device_reuse_rate": 1.0 - devs / n1,
         "G.account_age_median": F.lit(168.0), "G.account_age_p10": F.lit(24.0),
         "G.new_account_rate": d("novel_cus") / at_least_one(cuss), "G.txn_per_account_max": d("top_cus"),
-        "G.accounts_per_address_max": F.lit(1.0), "G.account_cohort_concentration": d("novel_cus") / n,
-        "H.method_entropy": d("ent_method"), "H.method_mix_jsd": d("method_jsd"), "H.card_share": d("card") / n,
+        "G.accounts_per_address_max": F.lit(1.0), "G.account_cohort_concentration": d("novel_cus") / n1,
+        "H.method_entropy": d("ent_method"), "H.method_mix_jsd": d("method_jsd"), "H.card_share": d("card") / n1,
         "H.issuer_country_entropy": d("ent_issuer"), "H.bin_prefix_gini": d("gini_bin"),
         "H.instrument_repeat_rate": n / at_least_one(inss),
         "I.decline_code_entropy": d("ent_decline"),
         "I.decline_code_top_share": d("top_decline") / at_least_one(d("failure")),
         "I.decline_issuer_share": d("issuer_declines") / at_least_one(d("failure")),
-        "I.refund_rate": d("refunds") / n,
+        "I.refund_rate": d("refunds") / n1,
         "I.refund_latency_median": F.when(d("refunds") > 0, 4.0).otherwise(0.0),
         "I.refund_cohort_concentration": zero, "I.dispute_rate": zero, "I.rto_rate": zero, "I.chargeback_rate": zero,
         "J.devices_per_account_max": d("top_cus_dev"), "J.accounts_per_ip_max": d("top_ip_cus"),
@@ -458,7 +459,7 @@ def additive_features(events: DataFrame, sizes: tuple[str, ...] = ALL_SIZES, spi
     d = lambda c: F.col(c).cast("double")
     n, minutes = d("n"), steps_of("window_size").cast("double")
     prev = d("prev_n") if preceding else F.lit(0.0)
-    share = lambda c, of=None: F.when(n > 0, d(c) / (n if of is None else F.greatest(F.lit(1.0), of))).otherwise(0.0)
+    share = lambda c, of=None: F.when(n > 0, d(c) / F.greatest(F.lit(1.0), n if of is None else of)).otherwise(0.0)
     return w.select(
         "merchant_id", "window_size", instant("end_minute").alias("window_end"), (n / minutes).alias("A_txn_rate"),
         F.when(n > 0, (n - prev) / minutes).otherwise(0.0).alias("A_rate_accel"), n.alias("B_txn_count"), d("success").alias("B_success_count"),
