@@ -397,7 +397,7 @@ def _assemble(wide: DataFrame) -> DataFrame:
         return F.when(k > 1, F.sqrt(spread / F.greatest(F.lit(1.0), k) / F.greatest(F.lit(1.0), k - 1))).otherwise(0.0)
 
     amt_std = std("amt_sq", "amt", "n")
-    mean_amt = d("amt") / n11
+    mean_amt = d("amt") / n1
     gap_mean = F.when(gaps > 0, d("gap_us") / F.greatest(F.lit(1.0), gaps) / 1e6).otherwise(seconds / F.greatest(F.lit(1.0), n))
     gap_std = std("gap_sq", "gap_us", "gaps") / 1e6
     cv = F.when(gaps > 0, gap_std / F.greatest(F.lit(1e-4), gap_mean)).otherwise(1.0)
