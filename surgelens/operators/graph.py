@@ -26,15 +26,18 @@ def connected_components(edges: DataFrame, keys: list[str], src: str = "src", ds
                          max_rounds: int = 60) -> DataFrame:
     """(keys, node, component): the least node name of each component, within each key.
 
-    Alternates the large-star and small-star steps until the edge set stops changing; every
+    Alternates the large-star and small-star steps until the edges are disjoint stars; every
     round is two grouped minima and joins on (keys, node), checkpointed.
     """
     both = edges.select(*keys, F.col(src).alias("a"), F.col(dst).alias("b")).filter("a <> b")
     nodes = (edges.select(*keys, F.col(src).alias("node"))
              .unionByName(edges.select(*keys, F.col(dst).alias("node"))).distinct())
     cur = cut_lineage(both.select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    fingerprint = None
-    for _ in range(max_rounds):
+    rounds = 0
+    while not _is_stars(cur, keys):
+        rounds += 1
+        if rounds > max_rounds:
+            raise RuntimeError("components did not converge")
         wide = cur.unionByName(cur.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
         least = wide.groupBy(*keys, "a").agg(F.least(F.col("a"), F.min("b")).alias("lo"))
         large = (wide.join(least, [*keys, "a"]).filter("b > a").select(*keys, F.col("b").alias("a"), F.col("lo").alias("b")))
@@ -43,17 +46,20 @@ def connected_components(edges: DataFrame, keys: list[str], src: str = "src", ds
         small = (large.join(low, [*keys, "a"]).select(*keys, F.col("b").alias("a"), F.col("lo").alias("b"))
                  .unionByName(low.select(*keys, "a", F.col("lo").alias("b"))))
         cur = cut_lineage(small.filter("a <> b").distinct())
-        seen = cur.agg(F.count(F.lit(1)), F.sum(F.crc32(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], "a", "b")))).first()
-        if tuple(seen) == fingerprint:
-            break
-        fingerprint = tuple(seen)
-    else:
-        raise RuntimeError("components did not converge")
     labels = cur.select(*keys, F.col("a").alias("node"), F.col("b").alias("component"))
     return (nodes.join(labels, [*keys, "node"], "left")
             .withColumn("component", F.coalesce("component", "node")))
 
 
+def _is_stars(edges: DataFrame, keys: list[str]) -> bool:
+    """Does every node either have one smaller neighbour and no larger one, or only larger ones?"""
+    ends = F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                   F.struct(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    bad = (edges.select(*keys, F.explode(ends).alias("_x")).groupBy(*keys, "_x.n")
+           .agg(F.sum("_x.up").alias("up"), F.max("_x.down").alias("down")).filter("up > 1 or (up = 1 and down = 1)"))
+    return bad.isEmpty()
+
+
 def graph_edges(events: DataFrame) -> DataFrame:
     """Undirected simple edges per (merchant, minute): CUS-DEV, DEV-INS, CUS-IP."""
     cols = {k: F.concat(F.lit(_PREFIX[k]), v) for k, v in entity_columns().items()}
