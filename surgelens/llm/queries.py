@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surgelens.llm import best_fit, token_planes
+from surgelens.llm import best_fit, piece_bpe, repetition, token_planes
 from surgelens.llm.common import table
 
 
@@ -18,8 +18,18 @@ def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.op4(table(spark, sf_dir, "documents"))
 
 
+def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.op6(table(spark, sf_dir, "documents"))
+
+
+def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.op7(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_planes": op2_token_planes,
     "op4_best_fit": op4_best_fit,
+    "op6_repetition": op6_repetition,
+    "op7_piece_bpe": op7_piece_bpe,
 }
 SQL: dict[str, str] = {}
