@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from surgelens.llm.common import schema, text_rows, text_slices
 
 BLANK = "▁"
-#: Latin-1 signs other than letters: runs of them and runs of all else are units, each with the blanks before
-SIGNS = "\x00-@\\[-`{-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7"
+#: Latin-1 signs other than letters and general punctuation: runs of them and runs of all else are units, each with the blanks before
+SIGNS = "\x00-@\\[-`{-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf\xd7\xf7\\u2010-\\u206f"
 UNIT = re.compile(f"{BLANK}*(?:[^{SIGNS}{BLANK}]+|[{SIGNS}]+)|{BLANK}+")
 SIGN = re.compile(f"[{SIGNS}]")
 
