@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surgelens.llm import best_fit, piece_bpe, repetition, token_planes
+from surgelens.llm import best_fit, piece_bpe, repetition, simhash_bk, token_planes
 from surgelens.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.op2(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_bk.op3(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.op4(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,7 @@ def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_planes": op2_token_planes,
+    "op3_simhash": op3_simhash,
     "op4_best_fit": op4_best_fit,
     "op6_repetition": op6_repetition,
     "op7_piece_bpe": op7_piece_bpe,
