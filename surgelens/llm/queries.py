@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surgelens.llm import best_fit, piece_bpe, repetition, simhash_bk, token_planes
+from surgelens.llm import best_fit, piece_bpe, repetition, simhash_bk, token_planes, warc_bundles
 from surgelens.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_bundles.op5(spark, table(spark, sf_dir, "pages"))
+
+
 def op6_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.op6(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_planes": op2_token_planes,
     "op3_simhash": op3_simhash,
     "op4_best_fit": op4_best_fit,
+    "op5_warc": op5_warc,
     "op6_repetition": op6_repetition,
     "op7_piece_bpe": op7_piece_bpe,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_warc": warc_bundles.SQL}
