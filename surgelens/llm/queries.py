@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surgelens.llm import best_fit, line_spread, piece_bpe, repetition, simhash_bk, token_planes, warc_bundles
+from surgelens.llm import best_fit, line_spread, permutation_index, piece_bpe, repetition, simhash_bk, token_planes, warc_bundles
 from surgelens.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.op7(table(spark, sf_dir, "documents"))
 
 
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.op9(table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.op10(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_repetition": op6_repetition,
     "op7_piece_bpe": op7_piece_bpe,
+    "op9_permutation_index": op9_permutation_index,
     "op10_line_spread": op10_line_spread,
 }
 SQL: dict[str, str] = {"op5_warc": warc_bundles.SQL, "op10_line_spread": line_spread.SQL}
