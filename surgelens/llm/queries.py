@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surgelens.llm import best_fit, line_spread, permutation_index, piece_bpe, repetition, simhash_bk, token_planes, warc_bundles
+from surgelens.llm import best_fit, line_spread, permutation_index, piece_bpe, quality_gam, repetition, simhash_bk, token_planes, warc_bundles
 from surgelens.llm.common import table
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.op2(spark, table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_gam": op1_quality_gam,
     "op2_token_planes": op2_token_planes,
     "op3_simhash": op3_simhash,
     "op4_best_fit": op4_best_fit,
