@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surgelens.llm import best_fit, line_spread, permutation_index, piece_bpe, quality_gam, repetition, simhash_bk, token_planes, warc_bundles
+from surgelens.llm import best_fit, line_spread, permutation_index, pii_votes, piece_bpe, quality_gam, repetition, simhash_bk, token_planes, warc_bundles
 from surgelens.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.op7(table(spark, sf_dir, "documents"))
 
 
+def op8_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_votes.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.op9(table(spark, sf_dir, "embeddings"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_repetition": op6_repetition,
     "op7_piece_bpe": op7_piece_bpe,
+    "op8_pii_votes": op8_pii_votes,
     "op9_permutation_index": op9_permutation_index,
     "op10_line_spread": op10_line_spread,
 }
