@@ -67,7 +67,7 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES, dropped: str | None
     found = stored(boilerplate(docs, sites), "lines-boilerplate")
     out = stored(removals(docs, found), "lines-removals").select(F.col("row").alias(key), F.col("drop").alias(drop))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn(key, row_key(F.col("doc_id").cast("long"), text)).join(out, key, "left")
+    rows = docs.withColumn(key, row_key(F.col("doc_id").cast("long"), text)).join(out.hint("merge"), key, "left")  # one plan at every size: the removals grow with the documents
     # the lines are bound once, and the places left found by hashing: linear in the text
     left = lambda a: F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col(drop))
     kept: Column = F.transform(F.array(F.split("text", "\n", -1)), lambda a: F.array_join(F.transform(left(a), lambda i: F.get(a, i)), "\n"))[0]
