@@ -187,14 +187,14 @@ def links(prints: DataFrame, shard: int = SHARD) -> DataFrame:
 
 
 def component_labels(prints: DataFrame) -> DataFrame:
-    """(fp, component_id): for each distinct fingerprint the smallest doc_id it can reach.
+    """(fp, root, component_id): for each distinct fingerprint its component's smallest fingerprint and smallest doc_id.
     ``prints`` (doc_id, fp) is a written table."""
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(distinct.select("fp")))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "simhash-rooted")
     least = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
-    return stored(rooted.join(least, "root").select("fp", "component_id"), "simhash-labels")
+    return stored(rooted.join(least, "root").select("fp", "root", "component_id"), "simhash-labels")
 
 
 def linked(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -213,11 +213,10 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     # per fingerprint first, so that a large group of copies meets as one row
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
     best = prints.groupBy("fp").agg(F.min(order).alias("best"))
-    roots = labels.select("fp", F.col("component_id"))
-    nullroot = best.join(roots, "fp").withColumn("of", F.coalesce(F.col("component_id"), F.col("fp")))
-    keepers = stored(nullroot.groupBy("of", F.col("component_id").isNull()).agg(F.min("best").alias("best")).select(F.col("best.key").alias(key)).distinct(), "simhash-keepers")
+    best = best.join(labels, "fp").groupBy("root").agg(F.min("best").alias("best"))  # roots, as ids may repeat
+    keepers = stored(best.select(F.col("best.key").alias(key)).distinct(), "simhash-keepers")
     rows = docs.withColumn(key, row_key(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    rows = rows.join(keepers, key, "left_semi")
+    rows = rows.join(keepers.hint("merge"), key, "left_semi")
     return rows.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(place) == 1).select(*docs.columns)
 
 
