@@ -39,9 +39,10 @@ def decrypt(value: Column, secret: str) -> Column:
     return F.aes_decrypt(F.unbase64(value), F.lit(bytearray(hashlib.sha256(secret.encode()).digest())), F.lit("GCM")).cast("string")
 
 
-def redact_text(text: Column) -> Column:
-    """Mask card-like digit runs; text without one is cut to 2000 characters."""
-    return F.when(text.rlike(CARD_RUN), F.regexp_replace(text, CARD_RUN, "<redacted-number>")).otherwise(F.substring(text, 1, 2000))
+def redact_text(text: Column, limit: int | None = None) -> Column:
+    """Mask card-like digit runs; with ``limit``, text without one is cut to that length."""
+    plain = text if limit is None else F.substring(text, 1, limit)
+    return F.when(text.rlike(CARD_RUN), F.regexp_replace(text, CARD_RUN, "<redacted-number>")).otherwise(plain)
 
 
 def redact_map(fields: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from surgelens.functions.stats import MAD_FLOOR, median_mad, median_mad_large
+from surgelens.functions.stats import MAD_FLOOR, median_mad_large
 from surgelens.operators.grid import hour_of_week
 from surgelens.registry import FEATURES, TWIN_IDS, col_of
 
@@ -34,14 +34,13 @@ def to_wide(long: DataFrame, ids: list[str], value: str = "value", suffix: str =
 def fit_baselines(long: DataFrame, categories: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Merchant and category baselines from a window history.
 
-    A merchant group holds at most 60 windows per hour of history, so the built-in median
-    serves; a category group has no such bound and takes the bucketed one. The fit period is
-    that of the whole history.
+    Medians are taken over value buckets, so a group may hold any number of windows. The fit
+    period is that of the whole history.
     """
     history = long.withColumn("hour_of_week", hour_of_week("window_end"))
     period = history.agg(F.min("window_end").alias("fit_period_start"), F.max("window_end").alias("fit_period_end"))
     n = F.col("sample_count")
-    merchant = (median_mad(history, ["merchant_id", *PROFILE], "value")
+    merchant = (median_mad_large(history, ["merchant_id", *PROFILE], "value")
                 .withColumn("confidence", F.when(n >= 20, "HIGH").when(n >= 5, "MEDIUM").otherwise("LOW"))
                 .crossJoin(F.broadcast(period)))  # one row
     if categories is None:
@@ -92,7 +91,10 @@ def deviation(long: DataFrame, merchant_b: DataFrame, category_b: DataFrame | No
     dev = (F.col("value") - F.col("expected_median")) / F.greatest(F.lit(MAD_FLOOR), F.col("variability_mad"))
     if not allow_in_sample:
         bad = F.col("fit_period_end") > F.col("window_end")
-        dev = F.when(bad, F.raise_error(F.lit("BaselineLeak: baseline fitted past the window it is applied to")).cast("double")).otherwise(dev)
+        stop = F.raise_error(F.lit("BaselineLeak: baseline fitted past the window it is applied to"))
+        dev = F.when(bad, stop.cast("double")).otherwise(dev)
+        # the guard also rides on the confidence, so that it is not pruned where no deviation is read
+        looked = looked.withColumn("confidence", F.when(bad, stop.cast("string")).otherwise(F.col("confidence")))
     return looked.withColumn("deviation", dev)
 
 

@@ -8,9 +8,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from surgelens.registry import col_of, contextual_columns, fusion_columns, id_of, prefix_columns
+from surgelens.operators.decision import logistic
+from surgelens.registry import FEATURE_COLUMN, assert_no_downstream, col_of, contextual_columns, fusion_columns, id_of, prefix_columns
 
 SEED = 42
 
@@ -18,14 +19,15 @@ SEED = 42
 class Detector:
     """Fits on a wide frame with a 0/1 ``y_true`` column; adds ``risk_score`` in [0, 1]."""
 
-    def __init__(self, name: str, select: Callable[[list[str]], list[str]], learner: Callable[[int], object]):
-        self.name, self._select, self._learner = name, select, learner
+    def __init__(self, name: str, select: Callable[[list[str]], list[str]], learner: Callable[[int], object],
+                 unfitted: Callable[[DataFrame], Column] = lambda df: F.lit(0.0)):
+        self.name, self._select, self._learner, self._unfitted = name, select, learner, unfitted
         self.columns: list[str] = []
         self.model: PipelineModel | None = None
 
     def fit(self, df: DataFrame) -> "Detector":
-        ids = sorted(id_of(c) for c in df.columns if len(c) > 2 and c[1] == "_")
-        self.columns = [col_of(i) for i in self._select(ids)]
+        ids = sorted(id_of(c) for c in df.columns if FEATURE_COLUMN.match(c))
+        self.columns = [col_of(i) for i in assert_no_downstream(self._select(ids))]
         n = df.count()
         stages = [VectorAssembler(inputCols=self.columns, outputCol="_x", handleInvalid="keep"), self._learner(n)]
         self.model = Pipeline(stages=stages).fit(df.fillna(0.0, self.columns))
@@ -33,7 +35,7 @@ class Detector:
 
     def score(self, df: DataFrame) -> DataFrame:
         if self.model is None:
-            return df.withColumn("risk_score", F.lit(0.0))
+            return df.withColumn("risk_score", self._unfitted(df))
         out = self.model.transform(df.fillna(0.0, self.columns))
         return out.withColumn("risk_score", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
 
@@ -50,7 +52,8 @@ def _boosting(rounds: int, step: float) -> Callable[[int], GBTClassifier]:
 
 def volume_only() -> Detector:
     pick = lambda ids: [next((i for i in ("A.txn_rate_dev", "B.txn_count_dev") if i in ids), ids[0])]
-    return Detector("volume_only", pick, lambda n: LogisticRegression(labelCol="y_true", featuresCol="_x", regParam=1.0 / max(1, n), standardization=False))
+    rate = lambda df: logistic(F.coalesce(F.col("A_txn_rate_dev" if "A_txn_rate_dev" in df.columns else "A_txn_rate").cast("double"), F.lit(0.0)))
+    return Detector("volume_only", pick, lambda n: LogisticRegression(labelCol="y_true", featuresCol="_x", regParam=1.0 / max(1, n), standardization=False), rate)
 
 
 def contextual(rounds: int = 100) -> Detector:

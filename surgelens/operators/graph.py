@@ -22,8 +22,7 @@ MERGES = {"5m": ("1m", 5), "15m": ("5m", 3), "1h": ("15m", 4)}
 _PREFIX = {"cus": "CUS:", "dev": "DEV:", "ins": "INS:", "ip": "IP:"}
 
 
-def connected_components(edges: DataFrame, keys: list[str], src: str = "src", dst: str = "dst",
-                         max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, keys: list[str], src: str = "src", dst: str = "dst") -> DataFrame:
     """(keys, node, component): the least node name of each component, within each key.
 
     Alternates the large-star and small-star steps until the edges are disjoint stars; every
@@ -33,11 +32,7 @@ def connected_components(edges: DataFrame, keys: list[str], src: str = "src", ds
     nodes = (edges.select(*keys, F.col(src).alias("node"))
              .unionByName(edges.select(*keys, F.col(dst).alias("node"))).distinct())
     cur = cut_lineage(both.select(*keys, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    rounds = 0
     while not _is_stars(cur, keys):
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError("components did not converge")
         wide = cur.unionByName(cur.select(*keys, F.col("b").alias("a"), F.col("a").alias("b")))
         least = wide.groupBy(*keys, "a").agg(F.least(F.col("a"), F.min("b")).alias("lo"))
         large = (wide.join(least, [*keys, "a"]).filter("b > a").select(*keys, F.col("b").alias("a"), F.col("lo").alias("b")))

@@ -499,9 +499,9 @@ def baseline_mix(events: DataFrame, category) -> DataFrame:
     return counts.join(total, "merchant_id").select("merchant_id", "category", (F.col("c") / F.col("t")).alias("share"))
 
 
-def declared_features(events: DataFrame, customers: DataFrame, sizes: tuple[str, ...] = ("5m",)) -> DataFrame:
+def declared_features(events: DataFrame, customers: DataFrame, sizes: tuple[str, ...] = ALL_SIZES) -> DataFrame:
     """Refund latency, account age and modal-region features as the registry words them, for
-    the columns that exist: median refund hours, young-account share (24 h), and the share of
+    the columns that exist: refund rate, young-account share (24 h), and the share of
     accounts outside their own modal region."""
     flat_ids = events.select("merchant_id", "transaction_id", "customer_id", "timestamp", "refunded_at", F.col("geo.state").alias("state"))
     mode = flat_ids.filter("customer_id is not null").groupBy("customer_id").agg(F.mode("state", True).alias("home_state"))

@@ -11,15 +11,15 @@ from surgelens.functions import protect, ranking, stats
 from surgelens.operators import (baselines as B, decision as X, explain as N, graph as G, grid, incidents as E,
                                  labels as L, lifecycle, metrics as M, velocity as V, window_features as WF)
 from surgelens.plans import oracle as O, scoring
-from surgelens.plans.comparable import comparable
+from surgelens.plans.comparable import comparable, r6_col
 from surgelens.plans.oracle import BASE, WK, r6, secs, with_ctes
-from surgelens.session import hold, release
+from surgelens.session import cut_lineage, hold, release, shared_path
 from surgelens.sources import fixtures as fx, intake, stores
 
 CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 KEY = ["merchant_id", "window_size", "window_end"]
 BOUNDS = L.split_bounds(BASE, BASE + 43200 * 1000000)
-LIGHT = ["A.txn_rate", "B.txn_count", "C.failure_rate", "C.coupon_rate", "D.gmv", "D.low_value_ratio"]
+TWINS = [f for f in O.PLAIN_FEATURES if f in R.TWIN_IDS]  # all but the component part of the graph family
 PEPPER = "fixture-pepper"
 
 
@@ -145,11 +145,11 @@ def _points(spark, d):
     return grid.grid(spans, "lo", "hi").select("merchant_id", "grid_at")
 
 
-@register("window_tiles", with_ctes(["win"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, {secs('e - o')} AS tile_end FROM (SELECT DISTINCT {WK}, steps FROM win WHERE window_size = '15m') JOIN offs ON o < steps"))
+@register("window_tiles", with_ctes(["win"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, {secs('e - o')} AS tile_end FROM (SELECT DISTINCT {WK}, steps FROM win ) JOIN offs ON o < steps"))
 def _tiles(spark, d):
     panes = fx.attempts(spark, d).groupBy("merchant_id", grid.minute("timestamp").alias("m")).count()
     from surgelens.operators.sweep import live_ends
-    w = live_ends(panes, ["merchant_id"], ("15m",)).select("merchant_id", "window_size", grid.instant("end_minute").alias("window_end"))
+    w = live_ends(panes, ["merchant_id"], grid.ALL_SIZES).select("merchant_id", "window_size", grid.instant("end_minute").alias("window_end"))
     return grid.tiles(w)
 
 
@@ -168,10 +168,10 @@ def _spine(spark, d):
     return s.select("merchant_id", "window_size", grid.instant("end_minute").alias("window_end"), F.col("n").alias("events"))
 
 
-@register("window_member_join", with_ctes(["spine", "win"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, count(*) AS members, {r6('sum(amount)')} AS amount, true AS all_inside FROM win SEMI JOIN spine USING ({WK}) WHERE window_size = '5m' GROUP BY {WK}"))
+@register("window_member_join", with_ctes(["spine", "win"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, count(*) AS members, {r6('sum(amount)')} AS amount, true AS all_inside FROM win SEMI JOIN spine USING ({WK}) GROUP BY {WK}"))
 def _members(spark, d):
     a = fx.attempts(spark, d)
-    m = grid.window_members(grid.window_spine(a, ("5m",)), a).withColumn("window_end", grid.instant("end_minute"))
+    m = grid.window_members(grid.window_spine(a), a).withColumn("window_end", grid.instant("end_minute"))
     return m.groupBy(*KEY).agg(F.count(F.lit(1)).alias("members"), F.sum("amount").alias("amount"),
                                F.bool_and(grid.contains(F.col("window_end"), F.col("window_size"), F.col("timestamp"))).alias("all_inside"))
 
@@ -239,7 +239,7 @@ def _features(spark, d):
 
 @register("declared_features", with_ctes(["win"], f"""SELECT merchant_id, window_size, {secs('e')} AS window_end, {r6('count(*) FILTER (refunded) / count(*)')} AS refund_rate,
   {r6('coalesce(count(*) FILTER (customer_id IS NOT NULL AND us - (f - (CAST(substr(customer_id, 5) AS BIGINT) % 72) * 3600000000) < 86400000000) / nullif(count(customer_id), 0), 0)')} AS young_account_share,
-  0.0::DOUBLE AS away_from_home_share FROM win LEFT JOIN (SELECT user_id AS u, min(us) AS f FROM ev GROUP BY 1) ON customer_id = 'cus_' || u WHERE window_size = '5m' GROUP BY {WK}"""))
+  0.0::DOUBLE AS away_from_home_share FROM win LEFT JOIN (SELECT user_id AS u, min(us) AS f FROM ev GROUP BY 1) ON customer_id = 'cus_' || u GROUP BY {WK}"""))
 def _declared(spark, d):
     return WF.declared_features(fx.annotated(spark, d), fx.customers(spark, d))
 
@@ -338,14 +338,14 @@ def _tokens(spark, d):
     return fx.attempts(spark, d).select("transaction_id", protect.instrument_token(F.col("instrument_fp"), PEPPER).alias("token"))
 
 
-@register("column_protection_round_trip", with_ctes(["att"], "SELECT transaction_id, ins AS decrypted, true AS hidden FROM att"))
+@register("column_protection_round_trip", with_ctes(["att"], "SELECT transaction_id, ins AS decrypted, length(ins) + 28 AS sealed_bytes FROM att"))
 def _protection(spark, d):
     a = fx.attempts(spark, d).withColumn("cipher", protect.encrypt(F.col("instrument_fp"), PEPPER))
-    return a.select("transaction_id", protect.decrypt(F.col("cipher"), PEPPER).alias("decrypted"), (~F.contains("cipher", "instrument_fp")).alias("hidden"))
+    return a.select("transaction_id", protect.decrypt(F.col("cipher"), PEPPER).alias("decrypted"), F.length(F.unbase64("cipher")).cast("long").alias("sealed_bytes"))
 
 
 @register("redacted_documents", r"""SELECT doc_id, regexp_matches(text, '\b(?:\d[ -]*?){13,19}\b') AS has_number, md5(CASE WHEN regexp_matches(text, '\b(?:\d[ -]*?){13,19}\b')
-  THEN regexp_replace(text, '\b(?:\d[ -]*?){13,19}\b', '<redacted-number>', 'g') ELSE substr(text, 1, 2000) END) AS digest FROM documents""")
+  THEN regexp_replace(text, '\b(?:\d[ -]*?){13,19}\b', '<redacted-number>', 'g') ELSE text END) AS digest FROM documents""")
 def _redacted(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", F.col("text").rlike(protect.CARD_RUN).alias("has_number"), F.md5(protect.redact_text(F.col("text"))).alias("digest"))
 
@@ -356,27 +356,42 @@ def _light(spark, d):
     return WF.additive_features(fx.annotated(spark, d))
 
 
-LONG = {"lw": f"SELECT merchant_id, window_size, e, CAST(((e // 1440 + 3) % 7) * 24 + (e // 60) % 24 AS BIGINT) AS how, unnest({LIGHT!r}) AS feature_id, unnest([n / steps, n, failure / n, coupons / n, gmv, low / n]) AS v FROM f_base",
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def _twin_rows(spark, d):
+    """Every window's twin features, rounded alike on both sides before medians are taken. The
+    feature table is written once per session and input folder; queries read it."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _WRITTEN:
+        wide = WF.window_features(fx.annotated(spark, d)).select(*KEY, *[r6_col(R.col_of(f)).alias(R.col_of(f)) for f in TWINS])
+        path = shared_path(spark, "twin-features")
+        wide.write.parquet(path)
+        _WRITTEN[at] = path
+    return spark.read.parquet(_WRITTEN[at])
+
+
+LONG = {"lw": f"SELECT merchant_id, window_size, e, CAST(((e // 1440 + 3) % 7) * 24 + (e // 60) % 24 AS BIGINT) AS how, unnest({TWINS!r}) AS feature_id, unnest([{', '.join(r6(R.col_of(f)) for f in TWINS)}]) AS v FROM feat",
         "mb": MAD_SQL.format(k="merchant_id, feature_id, window_size, how", src="lw").replace("CAST(round(CAST(CAST(any_value(med) AS DOUBLE) AS DECIMAL(38,12)), 6) AS DOUBLE) + 0.0", "any_value(med)").replace("CAST(round(CAST(CAST(greatest(0.0001, median(abs(v - med)) * 1.4826) AS DOUBLE) AS DECIMAL(38,12)), 6) AS DOUBLE) + 0.0", "greatest(0.0001, median(abs(v - med)) * 1.4826)")}
 FIT = "min(e) * 60.0::DOUBLE AS fit_period_start, max(e) * 60.0::DOUBLE AS fit_period_end FROM lw"
 
 
-@register("baseline_fit_merchant", with_ctes(["f_base"], f"SELECT merchant_id, feature_id, window_size, how AS hour_of_week, {r6('expected_median')} AS expected_median, {r6('variability_mad')} AS variability_mad, sample_count, CASE WHEN sample_count >= 20 THEN 'HIGH' WHEN sample_count >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, fit_period_start, fit_period_end FROM mb, (SELECT {FIT})", LONG))
+@register("baseline_fit_merchant", with_ctes(["feat"], f"SELECT merchant_id, feature_id, window_size, how AS hour_of_week, {r6('expected_median')} AS expected_median, {r6('variability_mad')} AS variability_mad, sample_count, CASE WHEN sample_count >= 20 THEN 'HIGH' WHEN sample_count >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, fit_period_start, fit_period_end FROM mb, (SELECT {FIT})", LONG))
 def _fit(spark, d):
-    return B.fit_baselines(hold(B.to_long(_light(spark, d), LIGHT)), fx.categories(spark, d))[0]
+    return B.fit_baselines(B.to_long(_twin_rows(spark, d), TWINS), fx.categories(spark, d))[0]
 
 
 CAT = {**LONG, "cb": MAD_SQL.format(k="category, feature_id, window_size, how", src="(SELECT lw.*, coalesce(category, 'retail') AS category FROM lw LEFT JOIN cats USING (merchant_id))")}
 
 
-@register("baseline_fit_category", with_ctes(["f_base", "cats"], f"SELECT category, feature_id, window_size, how AS hour_of_week, expected_median, variability_mad, sample_count, 'MEDIUM' AS confidence, fit_period_start, fit_period_end FROM cb, (SELECT {FIT})", CAT))
+@register("baseline_fit_category", with_ctes(["feat", "cats"], f"SELECT category, feature_id, window_size, how AS hour_of_week, expected_median, variability_mad, sample_count, 'MEDIUM' AS confidence, fit_period_start, fit_period_end FROM cb, (SELECT {FIT})", CAT))
 def _fit_cat(spark, d):
-    return B.fit_baselines(hold(B.to_long(_light(spark, d), LIGHT)), fx.categories(spark, d))[1]
+    return B.fit_baselines(B.to_long(_twin_rows(spark, d), TWINS), fx.categories(spark, d))[1]
 
 
 def _half_baselines(spark, d):
     """All windows, and baselines of the first five hours without merchant m_1."""
-    long = hold(B.to_long(_light(spark, d), LIGHT))
+    long = B.to_long(_twin_rows(spark, d), TWINS)
     cut = F.timestamp_micros(F.lit(BASE + 5 * 3600000000))
     cats = fx.categories(spark, d)
     known = long.filter((F.col("window_end") < cut) & (F.col("merchant_id") != "m_1"))
@@ -393,54 +408,53 @@ DEV = {"lw": LONG["lw"], "lk": f"SELECT * FROM lw WHERE e < {CUT} AND merchant_i
          LEFT JOIN cats k ON k.merchant_id = l.merchant_id LEFT JOIN dcb c ON c.category = coalesce(k.category, 'retail') AND c.feature_id = l.feature_id AND c.window_size = l.window_size AND c.how = l.how"""}
 
 
-@register("baseline_lookup", with_ctes(["f_base", "cats"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, feature_id, {r6('v')} AS value, how AS hour_of_week, {r6('med')} AS expected_median, {r6('mad')} AS variability_mad, confidence FROM dev", DEV))
+@register("baseline_lookup", with_ctes(["feat", "cats"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, feature_id, {r6('v')} AS value, how AS hour_of_week, {r6('med')} AS expected_median, {r6('mad')} AS variability_mad, confidence FROM dev", DEV))
 def _lookup_b(spark, d):
     long, merchant_b, category_b, cats = _half_baselines(spark, d)
     return B.lookup_baselines(long, merchant_b, category_b, cats).drop("fit_period_end")
 
 
-@register("deviation_twins", with_ctes(["f_base", "cats"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, feature_id, {r6('(v - med) / greatest(0.0001, mad)')} AS deviation, confidence FROM dev", DEV))
+@register("deviation_twins", with_ctes(["feat", "cats"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, feature_id, {r6('(v - med) / greatest(0.0001, mad)')} AS deviation, confidence FROM dev", DEV))
 def _dev(spark, d):
     long, merchant_b, category_b, cats = _half_baselines(spark, d)
     return B.deviation(long, merchant_b, category_b, cats, allow_in_sample=True).select(*KEY, "feature_id", "deviation", "confidence")
 
 
-@register("baseline_leak_check", with_ctes(["f_base"], f"SELECT window_size, count(*) AS leaking_rows FROM lw WHERE e < (SELECT max(e) FROM lw) GROUP BY 1", LONG))
+@register("baseline_leak_check", with_ctes(["feat"], f"SELECT window_size, count(*) AS leaking_rows FROM lw WHERE e < (SELECT max(e) FROM lw) GROUP BY 1", LONG))
 def _leaks(spark, d):
-    long = hold(B.to_long(_light(spark, d), LIGHT))
+    long = B.to_long(_twin_rows(spark, d), TWINS)
     merchant_b, _ = B.fit_baselines(long)
     return B.leaks(B.lookup_baselines(long, merchant_b)).groupBy("window_size").agg(F.count(F.lit(1)).alias("leaking_rows"))
 
 
-@register("baseline_confidence", with_ctes(["f_base", "cats"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, CASE min(CASE confidence WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END) WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS baseline_confidence FROM dev GROUP BY merchant_id, window_size, e", DEV))
+@register("baseline_confidence", with_ctes(["feat", "cats"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, CASE min(CASE confidence WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END) WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS baseline_confidence FROM dev GROUP BY merchant_id, window_size, e", DEV))
 def _confidence(spark, d):
     long, merchant_b, category_b, cats = _half_baselines(spark, d)
     return B.overall_confidence(B.deviation(long, merchant_b, category_b, cats, allow_in_sample=True))
 
 
-@register("twins_equal_raw", with_ctes(["att"], "SELECT true AS without_baselines, false AS with_baselines FROM att LIMIT 1"))
+@register("twins_equal_raw", with_ctes(["feat", "cats"], "SELECT bool_and(abs(v / greatest(0.0001, 1.0) - v) < 1e-9) AS without_baselines, bool_and(abs((v - expected_median) / greatest(0.0001, variability_mad) - v) < 1e-9) AS with_baselines FROM lw JOIN mb USING (merchant_id, feature_id, window_size, how)", LONG))
 def _raw_twins(spark, d):
-    long = hold(B.to_long(_light(spark, d), LIGHT))
+    long = B.to_long(_twin_rows(spark, d), TWINS)
     merchant_b, _ = B.fit_baselines(long)
     inert = B.twins_equal_raw(B.deviation(long, merchant_b.limit(0)))
     live = B.twins_equal_raw(B.deviation(long, merchant_b, allow_in_sample=True))
     return inert.withColumnRenamed("twins_are_raw", "without_baselines").crossJoin(live.withColumnRenamed("twins_are_raw", "with_baselines"))
 
 
-@register("baseline_fit_as_of", with_ctes(["f_base"], f"SELECT merchant_id, feature_id, window_size, how AS hour_of_week, CAST(1 AS BIGINT) AS version, {r6('expected_median')} AS expected_median, {r6('variability_mad')} AS variability_mad, sample_count FROM mb",
-          {"lw0": LONG["lw"], "lw": f"SELECT * FROM lw0 WHERE window_size IN ('5m', '15m') AND e < {CUT + 180}", "mb": LONG["mb"]}))
+@register("baseline_fit_as_of", with_ctes(["feat"], f"SELECT merchant_id, feature_id, window_size, how AS hour_of_week, CAST(1 AS BIGINT) AS version, {r6('expected_median')} AS expected_median, {r6('variability_mad')} AS variability_mad, sample_count FROM mb",
+          {"lw0": LONG["lw"], "lw": f"SELECT * FROM lw0 WHERE e < {CUT + 180}", "mb": LONG["mb"]}))
 def _as_of(spark, d):
-    light = WF.additive_features(fx.annotated(spark, d), ("5m", "15m")).select(*KEY, *[R.col_of(f) for f in LIGHT])
-    return B.to_store(B.from_store(B.fit_as_of(light, "2024-01-01 08:00:00", 28))).drop("confidence", "fit_period_start", "fit_period_end")
+    return B.to_store(B.from_store(B.fit_as_of(_twin_rows(spark, d), "2024-01-01 08:00:00", 28))).drop("confidence", "fit_period_start", "fit_period_end")
 
 
-@register("features_by_family", with_ctes(["f_base", "cats"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, feature_id, substr(feature_id, 1, 1) AS family, {r6('v')} AS value, {r6('(v - med) / greatest(0.0001, mad)')} AS deviation_mad, feature_id <> 'D.gmv' AS is_model_input, feature_id = 'D.gmv' AS is_evidence_only FROM dev", DEV))
+@register("features_by_family", with_ctes(["feat", "cats"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, feature_id, substr(feature_id, 1, 1) AS family, {r6('v')} AS value, {r6('(v - med) / greatest(0.0001, mad)')} AS deviation_mad, feature_id NOT IN {tuple(sorted(R.EVIDENCE_ONLY | R.DOWNSTREAM_ONLY))} AS is_model_input, feature_id IN {tuple(sorted(R.EVIDENCE_ONLY))} AS is_evidence_only FROM dev", DEV))
 def _by_family(spark, d):
     long, merchant_b, category_b, cats = _half_baselines(spark, d)
     return N.features_by_family(long, B.deviation(long, merchant_b, category_b, cats, allow_in_sample=True))
 
 
-@register("top_deviations", with_ctes(["f_base", "cats"], f"""SELECT merchant_id, window_size, {secs('e')} AS window_end, rk AS position, feature_id, dv AS deviation_mad, direction FROM (SELECT *, row_number() OVER (PARTITION BY merchant_id, window_size, e ORDER BY abs(dv) DESC, list_position({LIGHT!r}, feature_id)) AS rk FROM
+@register("top_deviations", with_ctes(["feat", "cats"], f"""SELECT merchant_id, window_size, {secs('e')} AS window_end, rk AS position, feature_id, dv AS deviation_mad, direction FROM (SELECT *, row_number() OVER (PARTITION BY merchant_id, window_size, e ORDER BY abs(dv) DESC, list_position({TWINS!r}, feature_id)) AS rk FROM
   (SELECT *, CAST(round_even(CAST((v - med) / greatest(0.0001, mad) AS DECIMAL(38,10)), 2) AS DOUBLE) AS dv, CASE WHEN v - med > 0 THEN 'HIGH' ELSE 'LOW' END AS direction FROM dev)) WHERE rk <= 3""", DEV))
 def _top(spark, d):
     long, merchant_b, category_b, cats = _half_baselines(spark, d)
@@ -761,7 +775,8 @@ def auc_sql(keys: str, src: str) -> str:
     part = f"PARTITION BY {keys}" if keys else ""
     lead = f"{keys}, " if keys else ""
     group = f"GROUP BY {keys}" if keys else ""
-    return f"""SELECT {lead}sum(pos * cp / cn) / nullif(any_value(tp), 0) AS ap, sum(pos * ((tn - (cn - cp)) + (c - pos) / 2.0)) / nullif(any_value(tp) * any_value(tn), 0) AS auc FROM (SELECT *, sum(c) OVER w AS cn, sum(pos) OVER w AS cp, sum(pos) OVER ({part}) AS tp, sum(c - pos) OVER ({part}) AS tn
+    return f"""SELECT {lead}CASE WHEN any_value(tp) = 0 OR any_value(tn) = 0 THEN any_value(tp) / (any_value(tp) + any_value(tn)) ELSE sum(pos * cp / cn) / any_value(tp) END AS ap,
+      CASE WHEN any_value(tp) = 0 OR any_value(tn) = 0 THEN 0.5 ELSE sum(pos * ((tn - (cn - cp)) + (c - pos) / 2.0)) / (any_value(tp) * any_value(tn)) END AS auc FROM (SELECT *, sum(c) OVER w AS cn, sum(pos) OVER w AS cp, sum(pos) OVER ({part}) AS tp, sum(c - pos) OVER ({part}) AS tn
       FROM (SELECT {lead}p, count(*) AS c, sum(y) AS pos FROM {src} GROUP BY {lead}p) WINDOW w AS ({part} ORDER BY p DESC)) {group}"""
 
 
@@ -773,20 +788,20 @@ def _metrics(spark, d):
 
 
 FA = {**LAB, "lf": f"SELECT b.feature_id, b.v AS p, b.merchant_id, CASE WHEN label = 'FRAUD_SPIKE' THEN 1 ELSE 0 END AS y FROM lw b JOIN lbl USING ({WK})", "lw": LONG["lw"]}
-FA = {"lw": LONG["lw"], **LAB, "lf": FA["lf"]}
+FA = {"lw": LONG["lw"], **LAB, "lf": FA["lf"], "lfv": "SELECT * FROM lf WHERE feature_id IN (SELECT feature_id FROM lf GROUP BY 1 HAVING min(p) < max(p))"}
 
 
 def _long_labelled(spark, d):
     labels = L.lift_labels(fx.labelled(spark, d)).select(*KEY, (F.col("label") == "FRAUD_SPIKE").cast("int").alias("y_true"))
-    return hold(B.to_long(_light(spark, d), LIGHT).join(labels, KEY))
+    return hold(B.to_long(_twin_rows(spark, d), TWINS).join(labels, KEY))
 
 
-@register("single_feature_auc", with_ctes(["f_base", *LB], f"SELECT feature_id, {r6('greatest(auc, 1 - auc)')} AS auc FROM ({auc_sql('feature_id', 'lf')})", FA))
+@register("single_feature_auc", with_ctes(["feat", *LB], f"SELECT feature_id, {r6('greatest(auc, 1 - auc)')} AS auc FROM ({auc_sql('feature_id', 'lfv')})", FA))
 def _feature_auc(spark, d):
     return M.feature_auc(_long_labelled(spark, d))
 
 
-@register("class_overlap", with_ctes(["f_base", *LB], f"SELECT feature_id, {r6('a')} AS p05, {r6('b')} AS p95, {r6('avg(CASE WHEN p BETWEEN a AND b THEN 1.0 ELSE 0.0 END)')} AS overlap_share FROM lf JOIN (SELECT feature_id, quantile_cont(p, 0.05) AS a, quantile_cont(p, 0.95) AS b FROM lf WHERE y = 1 GROUP BY 1) USING (feature_id) WHERE y = 0 GROUP BY feature_id, a, b", FA))
+@register("class_overlap", with_ctes(["feat", *LB], f"SELECT feature_id, {r6('a')} AS p05, {r6('b')} AS p95, {r6('avg(CASE WHEN p BETWEEN a AND b THEN 1.0 ELSE 0.0 END)')} AS overlap_share FROM lf JOIN (SELECT feature_id, quantile_cont(p, 0.05) AS a, quantile_cont(p, 0.95) AS b FROM lf WHERE y = 1 GROUP BY 1) USING (feature_id) WHERE y = 0 GROUP BY feature_id, a, b", FA))
 def _class_overlap(spark, d):
     return M.class_overlap(_long_labelled(spark, d))
 
@@ -863,6 +878,6 @@ def _score(spark, d):
 def _protocol(spark, d):
     from surgelens.operators import detectors as D
     events = fx.annotated(spark, d)
-    wide = hold(scoring.all_features(events, ("5m", "15m")))
-    labels = L.lift_labels(fx.labelled(spark, d), ("5m", "15m"))
-    return scoring.run_protocol(wide, labels, BOUNDS, [D.volume_only(), D.contextual(3), D.fusion(3)])
+    wide = cut_lineage(scoring.all_features(events, spine=grid.window_spine(events)))
+    labels = L.lift_labels(fx.labelled(spark, d))
+    return scoring.run_protocol(wide, labels, BOUNDS, [D.volume_only(), D.contextual(), D.fusion()])

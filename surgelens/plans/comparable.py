@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, types as T
 
 
+def r6_col(name: str, digits: int = 6):
+    """A double rounded through a decimal, so that both engines round halves the same way."""
+    return F.round(F.col(name).cast("double").cast("decimal(38,12)"), digits).cast("double") + F.lit(0.0)
+
+
 def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
     """Timestamps become epoch seconds, decimals and doubles are rounded, integers widened."""
     cols = []
@@ -14,8 +19,7 @@ def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
             c = F.unix_micros(c.cast("timestamp")) / 1000000.0
             c = F.round(c, digits)
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            # through a decimal, so that both engines round halves the same way
-            c = F.round(c.cast("decimal(38,12)"), digits).cast("double") + F.lit(0.0)
+            c = r6_col(f"`{f.name}`", digits)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):

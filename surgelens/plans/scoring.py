@@ -10,14 +10,17 @@ from surgelens.operators.explain import narrative
 from surgelens.operators.graph import graph_features
 from surgelens.operators.grid import ALL_SIZES
 from surgelens.operators.window_features import window_features
-from surgelens.registry import TWIN_IDS, assert_no_downstream, col_of, id_of, split_columns
+from surgelens.registry import FEATURE_COLUMN, TWIN_IDS, assert_no_downstream, col_of, id_of, split_columns
+from surgelens.session import cut_lineage
 
 KEY = ["merchant_id", "window_size", "window_end"]
 
 
 def all_features(events: DataFrame, sizes: tuple[str, ...] = ALL_SIZES, **options) -> DataFrame:
-    """Families A-J, raw values, one row per non-empty window."""
-    return window_features(events, sizes, **options).join(graph_features(events, sizes), KEY)
+    """Families A-J, raw values, one row per non-empty window, or per window of the ``spine`` among
+    the options; an empty window has an empty graph."""
+    graph = graph_features(events, sizes)
+    return window_features(events, sizes, **options).join(graph, KEY, "left").fillna(0.0, [c for c in graph.columns if c not in KEY])
 
 
 def with_twins(wide: DataFrame, merchant_b: DataFrame | None = None, category_b: DataFrame | None = None,
@@ -37,7 +40,7 @@ def with_twins(wide: DataFrame, merchant_b: DataFrame | None = None, category_b:
 
 def model_columns(wide: DataFrame) -> list[str]:
     """Columns allowed into a model, checked against the label barrier."""
-    ids = [id_of(c) for c in wide.columns if len(c) > 2 and c[1] == "_"]
+    ids = [id_of(c) for c in wide.columns if FEATURE_COLUMN.match(c)]
     return [col_of(i) for i in assert_no_downstream(split_columns(ids)[0])]
 
 
@@ -58,23 +61,23 @@ def run_protocol(wide: DataFrame, labels: DataFrame, bounds: tuple[int, int], de
 
     ``wide`` holds raw features, computed once; only the twins differ between splits.
     """
-    from surgelens.session import hold
-    data = L.temporal_split(wide.join(labels.select(*KEY, "label", "dominant_scenario_id"), KEY), *bounds)
-    data = hold(data.withColumn("y_true", (F.col("label") == "FRAUD_SPIKE").cast("int")))
+    every = labels.select(*KEY, "label", "dominant_scenario_id").join(wide, KEY)  # wide holds the empty windows too
+    data = L.temporal_split(every, *bounds)
+    data = cut_lineage(data.withColumn("y_true", (F.col("label") == "FRAUD_SPIKE").cast("int")))
     train_raw = data.filter("split = 'train'")
     model_ids = [id_of(c) for c in model_columns(wide)]
-    merchant_b, category_b = (hold(x) for x in B.fit_baselines(B.to_long(train_raw, model_ids)))
-    train = hold(with_twins(train_raw, merchant_b, category_b, allow_in_sample=True))
-    val = hold(with_twins(data.filter("split = 'validation'"), merchant_b, category_b))
-    test = hold(with_twins(data.filter("split = 'test'"), merchant_b, category_b))
-    truth = hold(E.number_truth(L.true_incident_spans(test.withColumn("gmv", F.col("D_gmv")))))
+    merchant_b, category_b = (cut_lineage(x) for x in B.fit_baselines(B.to_long(train_raw, model_ids)))
+    train = cut_lineage(with_twins(train_raw, merchant_b, category_b, allow_in_sample=True))
+    val = cut_lineage(with_twins(data.filter("split = 'validation'"), merchant_b, category_b))
+    test = cut_lineage(with_twins(data.filter("split = 'test'"), merchant_b, category_b))
+    truth = cut_lineage(E.number_truth(L.true_incident_spans(test.withColumn("gmv", F.col("D_gmv")))))
     out = None
     for det in detectors:
         det.fit(train)
         theta = X.choose_thresholds(det.score(val), cap, p="risk_score").first()  # one row
-        scored = hold(det.score(test).withColumn("gmv", F.col("D_gmv")))
+        scored = cut_lineage(det.score(test).withColumn("gmv", F.col("D_gmv")))
         flagged = scored.filter(F.col("risk_score") >= theta["theta_review"])
-        pred = hold(E.assemble_incidents(flagged))
+        pred = cut_lineage(E.assemble_incidents(flagged))
         row = (M.window_metrics(scored, theta["theta_review"], p="risk_score").crossJoin(E.match_incidents(pred, truth))
                .crossJoin(E.incident_taxonomy(pred, truth).select("detection_recall", "strict_match_recall", "mean_temporal_iou", "fragmentation_index", "merge_index"))
                .withColumn("detector", F.lit(det.name)).withColumn("theta_review", F.lit(theta["theta_review"]))

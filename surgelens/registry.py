@@ -5,6 +5,7 @@ Wide DataFrames name a feature ``A_txn_rate``; long ones carry the id ``A.txn_ra
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,12 @@ DOWNSTREAM_ONLY = {"I.dispute_rate", "I.rto_rate", "I.chargeback_rate"}
 
 # Engineered names starting like this never enter a model.
 BARRED_PREFIXES = ("I.dispute", "I.chargeback", "I.rto")
+# Names that can be a model input at all: a registered family's, or the graph's.
+ENGINEERED = re.compile(r"[A-J]\.[a-z]|graph_")
+FEATURE_COLUMN = re.compile(r"[A-J]_[a-z]|graph_")
+# Columns of labels and truth, which no model may see under any name.
+LABEL_COLUMNS = {"y_true", "label", "scenario_id", "dominant_scenario_id", "is_abusive", "is_spike",
+                 "n_abusive", "abusive_share", "n_spike", "spike_share"}
 
 
 @dataclass(frozen=True)
@@ -121,7 +128,7 @@ def assert_no_downstream(names: list[str]) -> list[str]:
     if isinstance(names, str):
         raise TypeError("expected a list of feature ids")
     names = list(names)
-    leaked = sorted(n for n in names if n in DOWNSTREAM_ONLY or _base(n) in DOWNSTREAM_ONLY)
+    leaked = sorted(n for n in names if n in DOWNSTREAM_ONLY or _base(n) in DOWNSTREAM_ONLY or n.replace(".", "_") in LABEL_COLUMNS)
     if leaked:
         raise DownstreamLeak(f"label-only signals in a model input: {leaked}")
     return names
@@ -131,11 +138,11 @@ def _learnable(name: str) -> bool:
     spec = FEATURES.get(_base(name))
     if spec is not None:
         return spec.model_input
-    return not name.startswith(BARRED_PREFIXES)
+    return bool(ENGINEERED.match(name)) and not name.startswith(BARRED_PREFIXES)
 
 
 def fusion_columns(names: list[str]) -> list[str]:
-    """All model inputs; unknown engineered names stay unless barred."""
+    """All model inputs; engineered names of the registered families stay unless barred."""
     return assert_no_downstream([n for n in names if _learnable(n)])
 
 

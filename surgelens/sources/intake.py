@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from surgelens import schemas as S
-from surgelens.session import hold
+from surgelens.session import cut_lineage, hold
 
 PAN_LIKE = r"^[0-9]{12,19}$"
 DEDUPE_TTL_SECONDS = 86400
@@ -98,19 +98,37 @@ def validate_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def dedupe(accepted: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Add status accepted/duplicate: the first event per idempotency key and per event id
-    wins; keys and ids already stored win over all. Duplicates of one key are few rows."""
-    order = [F.col("timestamp"), F.col("event_id")]
-    out = accepted.withColumn("_k", F.row_number().over(Window.partitionBy("idempotency_key").orderBy(*order)))
-    out = out.withColumn("_i", F.row_number().over(Window.partitionBy("event_id").orderBy("timestamp", "idempotency_key")))
-    dup = (F.col("_k") > 1) | (F.col("_i") > 1)
+    """Add status accepted/duplicate: in order of time an event is accepted unless its id or its
+    idempotency key is stored, or was accepted before. A refused event claims nothing, so a later
+    one may still take its id or key.
+
+    Rounds run on (id, key, timestamp) alone: accepted is what comes first both for its id
+    and for its key; what shares either with an accepted event is refused, and the rest, if any,
+    goes on. Of rows equal in all three one is accepted.
+    """
+    at = ["event_id", "idempotency_key", "timestamp"]
+    rest = accepted.select(*at).distinct()
     if existing is not None:
-        keys = existing.select("idempotency_key").distinct().withColumn("_sk", F.lit(True))
-        ids = existing.select("event_id").distinct().withColumn("_si", F.lit(True))
-        out = out.join(keys, "idempotency_key", "left").join(ids, "event_id", "left")
-        dup = dup | F.col("_sk").isNotNull() | F.col("_si").isNotNull()
-    return (out.withColumn("status", F.when(dup, "duplicate").otherwise("accepted"))
-            .withColumn("reason", F.when(dup, "event already ingested")).drop("_k", "_i", "_sk", "_si"))
+        for c in ("event_id", "idempotency_key"):
+            rest = rest.join(existing.select(c).distinct(), c, "left_anti")
+    rest, winners = cut_lineage(rest.select(*at)), None
+    while not rest.isEmpty():
+        order = F.min(F.struct("timestamp", "event_id", "idempotency_key")).alias("_f")
+        firsts = [rest.groupBy(c).agg(order).select("_f.*") for c in ("event_id", "idempotency_key")]
+        won = cut_lineage(firsts[0].join(firsts[1], at, "left_semi").select(*at))
+        winners = won if winners is None else winners.union(won)
+        for c in ("event_id", "idempotency_key"):
+            rest = rest.join(won.select(c), c, "left_anti")
+        rest = cut_lineage(rest.select(*at))
+    once = F.row_number().over(Window.partitionBy(*at).orderBy("event_id"))
+    out = accepted.withColumn("_r", once)
+    if winners is None:
+        first = F.lit(False)
+    else:
+        out = out.join(winners.withColumn("_w", F.lit(True)), at, "left").select(*accepted.columns, "_r", "_w")
+        first = F.col("_w").isNotNull() & (F.col("_r") == 1)
+    return (out.withColumn("status", F.when(first, "accepted").otherwise("duplicate"))
+            .withColumn("reason", F.when(~first, "event already ingested")).select(*accepted.columns, "status", "reason"))
 
 
 def transaction_id_of() -> Column:

@@ -70,15 +70,3 @@ def evidence_rows(members: DataFrame, limit: int = 100) -> DataFrame:
     return members.orderBy("timestamp", "transaction_id").limit(limit).select(
         "timestamp", "transaction_id", F.coalesce("customer_id", F.lit("")).alias("customer_id"), F.coalesce("device_fp", F.lit("")).alias("device_fp"),
         "amount", F.when(F.col("outcome_status") == "CAPTURED", "CAPTURED").otherwise("FAILED").alias("status"))
-
-
-def incident_markdown(scored: DataFrame) -> DataFrame:
-    """One Markdown report per scored window that has an explanation."""
-    money = lambda c: F.concat(F.lit("₹"), F.format_number(F.col(c), 2))
-    body = F.concat_ws("\n", F.lit("# Incident report"), F.concat(F.lit("**Merchant:** "), F.col("merchant_id")),
-                       F.concat(F.lit("**Window:** "), F.col("window_size"), F.lit(" ending "), F.date_format("window_end", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")),
-                       F.concat(F.lit("**Risk score:** "), F.format_string("%.4f", F.col("risk_score"))), F.concat(F.lit("**Action tier:** "), F.col("action_tier")),
-                       F.concat(F.lit("**Recommended defense:** "), F.coalesce("recommended_control", F.lit("None (within baseline tolerances)"))),
-                       F.lit("## Summary"), F.col("explanation"), F.lit("## Exposure"), F.concat(F.lit("- Direct loss: "), money("direct_fraud_loss")),
-                       F.concat(F.lit("- Operational: "), money("operational_loss")), F.concat(F.lit("- Total: "), money("total_exposure")))
-    return scored.select("merchant_id", "window_size", "window_end", body.alias("report"))

@@ -11,9 +11,15 @@ from surgelens.sources import intake
 
 
 def stream_intake(events: DataFrame, ttl_seconds: int = intake.DEDUPE_TTL_SECONDS) -> DataFrame:
-    """Checked events, first delivery per idempotency key within the time to live."""
+    """Checked events, first delivery per idempotency key, then per event id, within the time to live."""
     checked = intake.check_events(events).filter(F.size("reasons") == 0).drop("reasons")
-    return checked.withWatermark("timestamp", f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark(["idempotency_key"])
+    claimed = checked.withWatermark("timestamp", f"{ttl_seconds} seconds").dropDuplicatesWithinWatermark(["idempotency_key"])
+    return claimed.dropDuplicatesWithinWatermark(["event_id"])
+
+
+def stream_rejects(events: DataFrame) -> DataFrame:
+    """The other output of the intake: events that fail a check, with their reasons."""
+    return intake.check_events(events).filter(F.size("reasons") > 0)
 
 
 def sliding_counts(attempts: DataFrame, size: str, lateness: str = "5 minutes") -> DataFrame:
