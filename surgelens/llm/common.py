@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,11 +16,20 @@ from pyspark.sql import types as T
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package where the driver was started from another folder."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that all executors share (``spark.checkpoint.dir``).
 
     Where the setting is missing, a temporary folder serves a session of one machine; a
     cluster without the setting is an error."""
+    importable(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -30,6 +41,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and survives lost executors."""
+    importable(df.sparkSession)
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -53,6 +65,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 def text_rows(docs: DataFrame, keep: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id long, text string): the two columns most operators read; null text is empty."""
+    importable(docs.sparkSession)
     return docs.select(F.col(keep).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 
 

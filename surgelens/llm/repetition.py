@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from surgelens.llm.common import BLANKS, schema, text_rows, text_slices
+from surgelens.llm.common import BLANKS, importable, schema, text_rows, text_slices
 
 SYMBOLS = "#*$%&|<>"
 #: largest share of characters in repeated n-grams, by n; from 5 on fixed values of the published repetition rules,
@@ -127,6 +127,7 @@ def _kept_rows(batches: Iterator) -> Iterator:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
+    importable(docs.sparkSession)
     return docs.mapInArrow(_kept_rows, docs.schema)
 
 
