@@ -71,6 +71,8 @@ def run_protocol(wide: DataFrame, labels: DataFrame, bounds: tuple[int, int], de
     val = cut_lineage(with_twins(data.filter("split = 'validation'"), merchant_b, category_b))
     test = cut_lineage(with_twins(data.filter("split = 'test'"), merchant_b, category_b))
     truth = cut_lineage(E.number_truth(L.true_incident_spans(test.withColumn("gmv", F.col("D_gmv")))))
+    days = F.greatest(F.lit(1.0), (F.max(F.unix_micros("window_end")) / 1e6 - bounds[1]) / 86400.0)
+    spread = test.agg((F.greatest(F.lit(1), F.countDistinct("merchant_id")) * days).alias("_merchant_days"))  # one row
     out = None
     for det in detectors:
         det.fit(train)
@@ -81,6 +83,7 @@ def run_protocol(wide: DataFrame, labels: DataFrame, bounds: tuple[int, int], de
         row = (M.window_metrics(scored, theta["theta_review"], p="risk_score").crossJoin(E.match_incidents(pred, truth))
                .crossJoin(E.incident_taxonomy(pred, truth).select("detection_recall", "strict_match_recall", "mean_temporal_iou", "fragmentation_index", "merge_index"))
                .withColumn("detector", F.lit(det.name)).withColumn("theta_review", F.lit(theta["theta_review"]))
-               .withColumn("expected_loss", F.col("missed_fraud_gmv") + F.col("false_positives") * X.REVIEW_COST))
+               .withColumn("expected_loss", F.col("missed_fraud_gmv") + F.col("false_positives") * X.REVIEW_COST)
+               .crossJoin(spread).withColumn("false_alerts_per_merchant_day", F.col("false_positives") / F.col("_merchant_days")).drop("_merchant_days"))
         out = row if out is None else out.unionByName(row)
     return out
