@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from surgelens.llm import line_spread, repetition, simhash_bk
+from surgelens.llm import line_spread, near_texts, repetition, simhash_bk
 from surgelens.llm.common import stored
 from surgelens.llm.components import components
 from tests.llm import cases
@@ -100,6 +100,74 @@ def test_one_of_each_group_stays(spark):
     assert simhash_bk.one_of_each(cases.empty(spark)).count() == 0 and simhash_bk.op3(cases.empty(spark)).count() == 0
 
 
+def plain_near(texts, similarity=0.8):
+    """Group numbers by brute force: Jaccard similarity of five-word shingles; wordless texts are one group."""
+    sets = []
+    for t in texts:
+        words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))})
+    top = list(range(len(sets)))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b):
+                x, y = find(i), find(j)
+                top[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+def best_rows(rows, of):
+    best = {}
+    for r, g in zip(rows, of):
+        if g not in best or (r[0] is None, r[0] or 0) < (best[g][0] is None, best[g][0] or 0):
+            best[g] = r
+    return list(best.values())
+
+
+def edited(words, r, n):
+    out = list(words)
+    for _ in range(n):
+        out[r.randrange(len(out))] = f"new{r.randrange(10**6)}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("chunk", [near_texts.CHUNK, 4])
+def test_near_texts_against_brute_force(spark, chunk):
+    r, rows = random.Random(5), []
+    for base in range(12):  # groups of edited copies, from all alike to hardly alike, one of them large
+        words = [f"w{base}x{r.randrange(500)}" for _ in range(150)]
+        rows += [(len(rows) + k, edited(words, r, r.randrange(7))) for k in range(60 if base == 0 else 6)]
+    rows += [(7_000 + k, rows[k][1].upper().replace(" ", "\n")) for k in range(0, 100, 3)] + [(8_000 + k, edited(["tiny", "text"], r, 1)) for k in range(4)]
+    rows += [(None, rows[5][1]), (None, None), (9_001, ""), (9_002, " \t "), (9_003, "one two three"), rows[3]]
+    got = near_texts.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk).collect()
+    assert cases.keyed(got) == cases.keyed(best_rows(rows, plain_near([t for _, t in rows])))
+    assert 15 < len(got) < 0.7 * len(rows)
+
+
+def test_near_texts_of_awkward_and_empty_tables(spark):
+    docs, rows = cases.documents(spark), cases.rows()
+    kept = near_texts.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert cases.keyed((k.doc_id, k.text) for k in kept.collect()) == cases.keyed(x[:2] for x in best_rows(rows, plain_near([x[1] for x in rows])))
+    assert near_texts.one_of_each(cases.empty(spark)).count() == 0
+
+
+def test_pairs_at_the_bound_share_a_band():
+    r, missed, n = np.random.default_rng(3), 0, 300
+    for _ in range(n):  # 80 of 100 hashes in common
+        h = r.integers(0, 2**63, 100, dtype=np.uint64)
+        a, b = np.sort(h[:90]), np.sort(h[10:])
+        assert near_texts.alike(a, b)
+        missed += not set(near_texts.bands(a)) & set(near_texts.bands(b))
+    assert missed <= 3
+
+
 def plain_lines(rows, sites):
     sources, keeper, trim = {}, {}, lambda x: x.strip(" \t\n\x0b\x0c\r")
     for i, text, _, source, _ in rows:

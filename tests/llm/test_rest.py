@@ -11,7 +11,7 @@ import corpus_pipeline
 from surgelens.llm import permutation_index, pii_votes, quality_gam, warc_bundles
 from surgelens.llm.common import stored
 from tests.llm import cases
-from tests.llm.test_dedup import groups, plain_lines, plain_print
+from tests.llm.test_dedup import best_rows, plain_lines, plain_near
 from tests.llm.test_tokens import packed_rightly, plain_ids
 
 
@@ -233,11 +233,7 @@ def plain_pipeline(rows):
     from surgelens.llm.repetition import measure
     rows = [r for r in rows if measure(r[1] or "")[-1]]
     rows = [(r[0], t, *r[2:]) for r, (_, t) in zip(rows, plain_lines(rows, 4))]
-    of, best = groups([plain_print(r[1]) for r in rows]), {}
-    for r, g in zip(rows, of):
-        if g not in best or (r[0] is None, r[0] or 0) < (best[g][0] is None, best[g][0] or 0):
-            best[g] = r
-    return list(best.values())
+    return best_rows(rows, plain_near([r[1] for r in rows]))
 
 
 @pytest.mark.parametrize("which", ["tiny", "awkward"])
