@@ -134,3 +134,11 @@ def incident_list(incident_rows: DataFrame, merchant: str | None = None, status:
     if status:
         out = out.filter(F.col("status") == status)
     return out.orderBy(F.col("last_flag_time").desc(), "incident_id").limit(limit)
+
+
+def incident_detail(incident_rows: DataFrame, merchants: list[str] | None = None) -> DataFrame:
+    """What one incident's page shows. ``merchants`` are those the reader may see; other
+    incidents are absent, as if they did not exist."""
+    shown = incident_rows if merchants is None else incident_rows.filter(F.col("merchant_id").isin(merchants))
+    return shown.select("incident_id", "merchant_id", F.get("window_sizes", F.lit(0)).alias("window_size"), F.col("last_flag_time").alias("window_end"),
+                        "action_tier", "risk_score", "status", F.coalesce("analyst_notes", F.lit("")).alias("analyst_notes"))

@@ -646,6 +646,13 @@ def _details(spark, d):
     return _incidents(spark, d).groupBy("merchant_id", "severity").agg(F.count(F.lit(1)).alias("incidents"))
 
 
+@register("incident_detail", with_ctes(["f_base"], f"""SELECT incident_id, merchant_id, window_size, {secs('e')} AS window_end, action_tier, {r6('score')} AS risk_score,
+  CASE WHEN e % 3 <> 0 THEN 'ACKNOWLEDGED' WHEN e % 4 = 0 THEN 'CONFIRMED' WHEN e % 4 = 1 THEN 'DISMISSED' WHEN e % 4 = 2 THEN 'CLOSED' ELSE 'OPEN' END AS status,
+  CASE WHEN e % 3 = 0 AND e % 2 = 0 THEN 'checked' WHEN e % 3 <> 0 THEN 'Applied action ACKNOWLEDGE' WHEN e % 4 = 1 THEN 'Applied action DISMISS' ELSE 'Applied action ESCALATE' END AS analyst_notes FROM inc""", INC))
+def _detail(spark, d):
+    return N.incident_detail(X.apply_actions(*_actions(spark, d)))
+
+
 @register("evidence_cards", with_ctes(["feat"], f"""SELECT merchant_id, window_size, {secs('e')} AS window_end, row_number() OVER (PARTITION BY {WK} ORDER BY w DESC, o DESC) AS position, card, {r6('w')} AS weight, tone FROM (SELECT {WK}, unnest(cards, recursive := true) FROM (SELECT {WK}, list_filter([
   CASE WHEN C_failure_rate >= 0.4 THEN {{'w': C_failure_rate * 100.0, 'o': 0, 'card': 'failure_rate', 'tone': 'risk'}} END, CASE WHEN C_instrument_novelty >= 0.7 THEN {{'w': C_instrument_novelty * 80.0::DOUBLE, 'o': -1, 'card': 'novelty', 'tone': 'risk'}} END,
   CASE WHEN F_accounts_per_device_max >= 3 THEN {{'w': least(90.0, F_accounts_per_device_max * 8.0::DOUBLE), 'o': -3, 'card': 'device_sharing', 'tone': 'risk'}} END, CASE WHEN F_instruments_per_device_max >= 5 THEN {{'w': least(95.0, F_instruments_per_device_max * 6.0::DOUBLE), 'o': -4, 'card': 'cards_per_device', 'tone': 'risk'}} END,

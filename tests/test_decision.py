@@ -86,3 +86,13 @@ def test_single_class_metrics(spark):
     df = spark.createDataFrame([(0, 0.1), (0, 0.9)], "y_true int, y_prob double")
     r = M.window_metrics(df).first()
     assert r.pr_auc == 0.0 and r.roc_auc == 0.5
+
+
+def test_incident_detail_hides_other_merchants(spark):
+    from surgelens.operators.explain import incident_detail
+    rows = spark.sql("""SELECT * FROM VALUES ('i1', 'a', array('5m', '1h'), timestamp'2024-01-01 00:00:00', 'REVIEW', 0.5D, 'OPEN', CAST(NULL AS STRING)),
+      ('i2', 'b', CAST(array() AS ARRAY<STRING>), timestamp'2024-01-01 00:00:00', 'RESTRICT', 0.9D, 'CLOSED', 'checked') AS
+      t(incident_id, merchant_id, window_sizes, last_flag_time, action_tier, risk_score, status, analyst_notes)""")
+    got = {r.incident_id: r for r in incident_detail(rows).collect()}
+    assert got["i1"].window_size == "5m" and got["i1"].analyst_notes == "" and got["i2"].window_size is None and got["i2"].analyst_notes == "checked"
+    assert [r.incident_id for r in incident_detail(rows, ["a"]).collect()] == ["i1"] and incident_detail(rows, []).count() == 0
