@@ -150,6 +150,50 @@ def test_near_texts_against_brute_force(spark, chunk):
     assert 15 < len(got) < 0.7 * len(rows)
 
 
+def runs(r):
+    """Copies over the similarity of which one holds a run of a separator or of a phrase, so that their fingerprints lie far apart."""
+    rows = []
+    for n, run in ((1_000, ". " * 60), (1_000, ". " * 100), (300, "- " * 40), (1_000, "read more here " * 40)) * 3:
+        words = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:n // 2], run, *words[n // 2:]]))]
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [near_texts.CHUNK, 1])
+def test_near_texts_with_runs_in_one_copy(spark, chunk):
+    rows = runs(random.Random(9))
+    assert sum((simhash_bk.fingerprint(a) ^ simhash_bk.fingerprint(b)).bit_count() > 24 for (_, a), (_, b) in zip(rows[::2], rows[1::2])) > 6
+    got = near_texts.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk).collect()
+    assert cases.keyed(got) == cases.keyed(best_rows(rows, plain_near([t for _, t in rows]))) == cases.keyed(rows[::2])
+
+
+@pytest.mark.parametrize("limits", [(near_texts.FEW, near_texts.MANY), (10**9, 0), (0, 10**9)])
+@pytest.mark.parametrize("apart", [False, True])
+def test_all_members_of_a_shard_are_compared(monkeypatch, limits, apart):
+    monkeypatch.setattr(near_texts, "FEW", limits[0])
+    monkeypatch.setattr(near_texts, "MANY", limits[1])
+    r = np.random.default_rng(4)
+    base = [np.unique(r.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 4, 40, 300)]
+    rows = [(k // 4 % 2, k, np.union1d(b[: len(b) - int(r.integers(0, 1 + len(b) // 8))], r.integers(0, 2**63, int(r.integers(0, 1 + len(b) // 8)), dtype=np.uint64))) for k, b in enumerate(base * 12)]
+    rows.sort(key=lambda x: x[0])
+    edges = near_texts.shard_links(rows, apart)
+    sets = {k: set(h.tolist()) for _, k, h in rows}
+    side = {k: s for s, k, _ in rows}
+    assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and (not apart or side[a] != side[b]) for a, b in edges)
+    top = {k: k for k in sets}
+
+    def find(k):
+        while top[k] != k:
+            k = top[k]
+        return k
+
+    for a, b in edges:
+        assert find(a) != find(b)
+        top[find(a)] = find(b)
+    assert edges and all(find(a) == find(b) for a in sets for b in sets
+                         if (not apart or side[a] != side[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+
+
 def test_near_texts_of_awkward_and_empty_tables(spark):
     docs, rows = cases.documents(spark), cases.rows()
     kept = near_texts.one_of_each(docs)
