@@ -876,7 +876,9 @@ def _distinct(spark, d):
 
 @register("score_windows")
 def _score(spark, d):
-    wide = scoring.with_twins(scoring.all_features(fx.annotated(spark, d)))
+    events = fx.annotated(spark, d)
+    wide = cut_lineage(scoring.all_features(events, spine=grid.window_spine(events)))
+    wide = scoring.with_stored_baselines(wide, BOUNDS[0], fx.categories(spark, d))
     return scoring.score_windows(wide).select(*KEY, "risk_score", "action_tier", "recommended_control", "p_loss", "direct_fraud_loss", "operational_loss",
                                               "total_exposure", "baseline_confidence", "explanation")
 

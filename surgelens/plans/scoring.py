@@ -38,6 +38,15 @@ def with_twins(wide: DataFrame, merchant_b: DataFrame | None = None, category_b:
     return wide.join(twins.withColumn("baseline_confidence", name).drop("_r"), KEY)
 
 
+def with_stored_baselines(wide: DataFrame, bound: int, categories: DataFrame | None = None) -> DataFrame:
+    """Twins as a service has them: windows that end before ``bound`` (epoch seconds) are the history that baselines are
+    fitted on once, and start cold themselves; later windows are held against these baselines. ``wide`` is read several times."""
+    past = F.unix_micros("window_end") < bound * 1000000
+    history = wide.filter(past)
+    merchant_b, category_b = (cut_lineage(x) for x in B.fit_baselines(B.to_long(history, TWIN_IDS), categories))
+    return with_twins(history).unionByName(with_twins(wide.filter(~past), merchant_b, category_b, categories))
+
+
 def model_columns(wide: DataFrame) -> list[str]:
     """Columns allowed into a model, checked against the label barrier."""
     ids = [id_of(c) for c in wide.columns if FEATURE_COLUMN.match(c)]
