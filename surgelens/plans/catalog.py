@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -356,7 +357,7 @@ def _light(spark, d):
     return WF.additive_features(fx.annotated(spark, d))
 
 
-_WRITTEN: dict[tuple[str, str], str] = {}
+_WRITTEN: dict[tuple[str, ...], str] = {}
 
 
 def _twin_rows(spark, d):
@@ -576,6 +577,16 @@ def _scored_light(spark, d):
     return w.withColumn("gmv", F.col("D_gmv")).withColumn("n_txns", F.col("B_txn_count"))
 
 
+def _scored_rows(spark, d):
+    """The windows as ``score_windows`` judges them. Written once per session and input folder; queries read it."""
+    at = (spark.sparkContext.applicationId, d, "scored")
+    if at not in _WRITTEN:
+        path = shared_path(spark, "scored-windows")
+        _scored_windows(spark, d).select(*KEY, "risk_score", "D_gmv", "B_txn_count", "C_failure_rate", F.col("D_gmv").alias("gmv"), F.col("B_txn_count").alias("n_txns")).write.parquet(path)
+        _WRITTEN[at] = path
+    return spark.read.parquet(_WRITTEN[at])
+
+
 SCORE = "least(1.0, CASE WHEN n / steps > 0 THEN 1.0 / (1.0 + pow(2.718::DOUBLE, -0.5 * (n / steps - 3.0))) ELSE 0.05 END + failure / n * 0.4)"
 SC = {"swd": f"SELECT merchant_id, window_size, steps, e, n, gmv, failure, {SCORE} AS score FROM f_base",
       "tier": "SELECT *, CASE WHEN score >= 0.85 THEN 'RESTRICT' WHEN score >= 0.6 THEN 'REVIEW' WHEN score >= 0.35 THEN 'ALERT' ELSE 'OBSERVE' END AS action_tier FROM swd"}
@@ -590,9 +601,9 @@ CONTROL_SQL = " ".join(f"WHEN dom = '{a}' THEN '{b}'" for a, b, _ in X.CONTROLS)
 
 
 @register("action_tiers", with_ctes(["f_base", *LB], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, action_tier, CASE WHEN action_tier = 'RESTRICT' THEN CASE {CONTROL_SQL} ELSE '{X.OTHER_CONTROL[0]}' END END AS recommended_control FROM tier JOIN (SELECT merchant_id, window_size, e, dom FROM lbl) USING ({WK})", {**SC, **LAB}))
-def _tiers(spark, d):
+def _tiers(spark, d, scored=_scored_light):
     labels = L.lift_labels(fx.labelled(spark, d)).select(*KEY, "dominant_scenario_id")
-    return X.assign_tier(_scored_light(spark, d).join(labels, KEY), scenario="dominant_scenario_id").select(*KEY, "action_tier", "recommended_control")
+    return X.assign_tier(scored(spark, d).join(labels, KEY), scenario="dominant_scenario_id").select(*KEY, "action_tier", "recommended_control")
 
 
 EXPO = "CAST(round_even({x}, 2) AS DOUBLE)"
@@ -601,12 +612,12 @@ DIRECT, OPER = "CAST(g * pl AS DECIMAL(30,8))", "CAST(n * 1670 AS DECIMAL(30,8))
 
 
 @register("exposure", with_ctes(["f_base"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, CAST(pl AS DOUBLE) AS p_loss, {EXPO.format(x=DIRECT)} AS direct_fraud_loss, {EXPO.format(x=OPER)} AS operational_loss, {EXPO.format(x=f'{DIRECT} + {OPER}')} AS total_exposure FROM ex", {**SC, **MONEY}))
-def _exposure(spark, d):
-    return X.exposure(X.assign_tier(_scored_light(spark, d))).select(*KEY, "p_loss", "direct_fraud_loss", "operational_loss", "total_exposure")
+def _exposure(spark, d, scored=_scored_light):
+    return X.exposure(X.assign_tier(scored(spark, d))).select(*KEY, "p_loss", "direct_fraud_loss", "operational_loss", "total_exposure")
 
 
-def _incidents(spark, d):
-    return X.incidents(X.exposure(X.assign_tier(_scored_light(spark, d))))
+def _incidents(spark, d, scored=_scored_light):
+    return X.incidents(X.exposure(X.assign_tier(scored(spark, d))))
 
 
 IID = "'inc_' || substr(sha256(merchant_id || '|spike|' || strftime(make_timestamp(e * 60000000), '%Y-%m-%d %H:%M:%S') || '+00:00'), 1, 26)"
@@ -615,13 +626,13 @@ INC_COLS = f"incident_id, merchant_id, CASE WHEN action_tier = 'RESTRICT' THEN '
 
 
 @register("incident_rows", with_ctes(["f_base"], f"SELECT {INC_COLS}, 'OPEN' AS status FROM inc", INC))
-def _incident_rows(spark, d):
-    return _incidents(spark, d).withColumn("horizon", F.col("window_sizes")[0]).drop("window_sizes")
+def _incident_rows(spark, d, scored=_scored_light):
+    return _incidents(spark, d, scored).withColumn("horizon", F.col("window_sizes")[0]).drop("window_sizes")
 
 
-def _actions(spark, d):
+def _actions(spark, d, scored=_scored_light):
     """Analyst actions on every incident, two rounds, as functions of the flag minute."""
-    inc = _incidents(spark, d)
+    inc = _incidents(spark, d, scored)
     m = grid.minute("last_flag_time")
     first = inc.select("incident_id", F.lit("ACKNOWLEDGE").alias("action"), F.lit("").alias("notes"), F.col("last_flag_time").alias("acted_at"))
     pick = F.element_at(F.array(*[F.lit(x) for x in ("APPLY_DEFENSE", "DISMISS", "RESOLVE", "ESCALATE")]), (m % 4 + 1).cast("int"))
@@ -632,25 +643,25 @@ def _actions(spark, d):
 
 @register("analyst_actions", with_ctes(["f_base"], """SELECT incident_id, CASE WHEN e % 3 <> 0 THEN 'ACKNOWLEDGED' WHEN e % 4 = 0 THEN 'CONFIRMED' WHEN e % 4 = 1 THEN 'DISMISSED' WHEN e % 4 = 2 THEN 'CLOSED' ELSE 'OPEN' END AS status,
   CASE WHEN e % 3 = 0 AND e % 2 = 0 THEN 'checked' WHEN e % 3 <> 0 THEN 'Applied action ACKNOWLEDGE' WHEN e % 4 = 1 THEN 'Applied action DISMISS' ELSE 'Applied action ESCALATE' END AS analyst_notes FROM inc""", INC))
-def _acted(spark, d):
-    return X.apply_actions(*_actions(spark, d)).select("incident_id", "status", "analyst_notes")
+def _acted(spark, d, scored=_scored_light):
+    return X.apply_actions(*_actions(spark, d, scored)).select("incident_id", "status", "analyst_notes")
 
 
 @register("incident_list", with_ctes(["f_base"], f"SELECT {INC_COLS} FROM inc WHERE merchant_id = 'm_3' ORDER BY e DESC, incident_id LIMIT 100", INC))
-def _list(spark, d):
-    return N.incident_list(_incidents(spark, d), "m_3", "OPEN").withColumn("horizon", F.col("window_sizes")[0]).drop("window_sizes", "status")
+def _list(spark, d, scored=_scored_light):
+    return N.incident_list(_incidents(spark, d, scored), "m_3", "OPEN").withColumn("horizon", F.col("window_sizes")[0]).drop("window_sizes", "status")
 
 
 @register("incident_details", with_ctes(["f_base"], "SELECT merchant_id, severity, count(*) AS incidents FROM (SELECT merchant_id, CASE WHEN action_tier = 'RESTRICT' THEN 'high' ELSE 'medium' END AS severity FROM inc) GROUP BY 1, 2", INC))
-def _details(spark, d):
-    return _incidents(spark, d).groupBy("merchant_id", "severity").agg(F.count(F.lit(1)).alias("incidents"))
+def _details(spark, d, scored=_scored_light):
+    return _incidents(spark, d, scored).groupBy("merchant_id", "severity").agg(F.count(F.lit(1)).alias("incidents"))
 
 
 @register("incident_detail", with_ctes(["f_base"], f"""SELECT incident_id, merchant_id, window_size, {secs('e')} AS window_end, action_tier, {r6('score')} AS risk_score,
   CASE WHEN e % 3 <> 0 THEN 'ACKNOWLEDGED' WHEN e % 4 = 0 THEN 'CONFIRMED' WHEN e % 4 = 1 THEN 'DISMISSED' WHEN e % 4 = 2 THEN 'CLOSED' ELSE 'OPEN' END AS status,
   CASE WHEN e % 3 = 0 AND e % 2 = 0 THEN 'checked' WHEN e % 3 <> 0 THEN 'Applied action ACKNOWLEDGE' WHEN e % 4 = 1 THEN 'Applied action DISMISS' ELSE 'Applied action ESCALATE' END AS analyst_notes FROM inc""", INC))
-def _detail(spark, d):
-    return N.incident_detail(X.apply_actions(*_actions(spark, d)))
+def _detail(spark, d, scored=_scored_light):
+    return N.incident_detail(X.apply_actions(*_actions(spark, d, scored)))
 
 
 @register("evidence_cards", with_ctes(["feat"], f"""SELECT merchant_id, window_size, {secs('e')} AS window_end, row_number() OVER (PARTITION BY {WK} ORDER BY w DESC, o DESC) AS position, card, {r6('w')} AS weight, tone FROM (SELECT {WK}, unnest(cards, recursive := true) FROM (SELECT {WK}, list_filter([
@@ -719,37 +730,37 @@ def _store_ids(spark, d):
 
 
 @register("eval_store_rows", with_ctes(["f_base", *LB], f"SELECT split, merchant_id, window_size, {secs('e')} AS window_end, {r6('score')} AS predicted_score, label AS ground_truth_label, dom AS scenario_id FROM swd JOIN (SELECT {WK}, split, label, dom FROM lbl) USING ({WK}) WHERE split = 'test'", {**SC, **LAB}))
-def _eval_rows(spark, d):
-    scored = _scored_light(spark, d).select(*KEY, F.col("risk_score").alias("predicted_score"))
+def _eval_rows(spark, d, scored=_scored_light):
+    scored = scored(spark, d).select(*KEY, F.col("risk_score").alias("predicted_score"))
     rows = _split_labels(spark, d).select("split", *KEY, F.col("label").alias("ground_truth_label"), F.col("dominant_scenario_id").alias("scenario_id")).join(scored, KEY)
     return rows.filter("split = 'test'").orderBy("window_end", "merchant_id", "window_size")
 
 
 # ---- evaluation -----------------------------------------------------------------------
 
-def _flagged(spark, d):
-    return _scored_light(spark, d).filter("risk_score >= 0.6").select(*KEY, "risk_score", "gmv")
+def _flagged(spark, d, scored=_scored_light):
+    return scored(spark, d).filter("risk_score >= 0.6").select(*KEY, "risk_score", "gmv")
 
 
 PRED = {**SC, "fl": "SELECT *, score AS s0 FROM swd WHERE score >= 0.6", "pr": run_sql("fl", "merchant_id", 3, "s0")}
 
 
 @register("predicted_incidents", with_ctes(["f_base"], f"SELECT merchant_id, {secs('s')} AS first_flag_time, {secs('t')} AS last_flag_time, CAST(n AS BIGINT) AS window_count, {r6('p')} AS max_risk_score, {r6('gmv')} AS total_gmv FROM pr", PRED))
-def _pred(spark, d):
-    return E.assemble_incidents(_flagged(spark, d)).drop("incident_id")
+def _pred(spark, d, scored=_scored_light):
+    return E.assemble_incidents(_flagged(spark, d, scored)).drop("incident_id")
 
 
-def _pred_truth(spark, d):
-    return hold(E.assemble_incidents(_flagged(spark, d))), hold(E.number_truth(L.true_incidents(_labels_gmv(spark, d))))
+def _pred_truth(spark, d, scored=_scored_light):
+    return hold(E.assemble_incidents(_flagged(spark, d, scored))), hold(E.number_truth(L.true_incidents(_labels_gmv(spark, d))))
 
 
 OV = {**TRUE, **PRED, "ov": "SELECT p.merchant_id, p.s AS ps, p.t AS pe, r.s AS ts, r.t AS te, r.scenario_id, (least(p.t, r.t) - greatest(p.s, r.s)) * 60.0 AS ov FROM pr p JOIN tr r ON p.merchant_id = r.merchant_id AND p.t >= r.s AND p.s <= r.t"}
 
 
 @register("incident_overlaps", with_ctes(["f_base", *LB], f"SELECT merchant_id, {secs('ps')} AS ps, {secs('pe')} AS pe, {secs('ts')} AS ts, {secs('te')} AS te, {r6('ov')} AS overlap FROM ov", OV))
-def _overlaps(spark, d):
+def _overlaps(spark, d, scored=_scored_light):
     s = lambda c: (F.col(c) / 1e6).alias(c)
-    return E.overlap_pairs(*_pred_truth(spark, d)).select("merchant_id", s("ps"), s("pe"), s("ts"), s("te"), "overlap")
+    return E.overlap_pairs(*_pred_truth(spark, d, scored)).select("merchant_id", s("ps"), s("pe"), s("ts"), s("te"), "overlap")
 
 
 DET = {**OV, "mat": "SELECT *, ov / greatest(1e-9, (greatest(pe, te) - least(ps, ts)) * 60.0) AS iou FROM ov WHERE ov > 0 AND ov >= least((te - ts) * 60.0, greatest(60.0, 0.1 * (te - ts) * 60.0))"}
@@ -757,24 +768,24 @@ DET = {**OV, "mat": "SELECT *, ov / greatest(1e-9, (greatest(pe, te) - least(ps,
 
 @register("incident_detection", with_ctes(["f_base", *LB], f"""SELECT g AS n_ground_truth, q AS n_predicted, dt AS detected_count, {r6('coalesce(dt / nullif(g, 0), 0)')} AS detection_recall, {r6('coalesce(hp / nullif(q, 0), 0)')} AS incident_precision, q - hp AS false_alarm_incidents, {r6('coalesce(iou, 0)')} AS mean_temporal_iou, {r6('coalesce(pairs / nullif(dt, 0), 0)')} AS fragmentation_index, {r6('coalesce(pairs / nullif(hp, 0), 0)')} AS merge_index
   FROM (SELECT count(*) AS g FROM tr), (SELECT count(*) AS q FROM pr), (SELECT count(*) AS pairs, count(DISTINCT (merchant_id, scenario_id, ts)) AS dt, count(DISTINCT (merchant_id, ps)) AS hp, avg(iou) AS iou FROM mat)""", DET))
-def _detection(spark, d):
-    return E.incident_taxonomy(*_pred_truth(spark, d)).drop("strict_matched_count", "strict_match_recall")
+def _detection(spark, d, scored=_scored_light):
+    return E.incident_taxonomy(*_pred_truth(spark, d, scored)).drop("strict_matched_count", "strict_match_recall")
 
 
 @register("incident_strict_matching")
 def _strict(spark, d):
-    return E.incident_taxonomy(*_pred_truth(spark, d)).select("n_ground_truth", "n_predicted", "strict_matched_count", "strict_match_recall")
+    return E.incident_taxonomy(*_pred_truth(spark, d, _scored_rows)).select("n_ground_truth", "n_predicted", "strict_matched_count", "strict_match_recall")
 
 
 @register("incident_matching")
 def _matching(spark, d):
-    return E.match_incidents(*_pred_truth(spark, d))
+    return E.match_incidents(*_pred_truth(spark, d, _scored_rows))
 
 
 @register("scenario_incident_recall", with_ctes(["f_base", *LB], "SELECT scenario_id, count(*) FILTER (EXISTS (SELECT 1 FROM fl WHERE fl.merchant_id = tr.merchant_id AND fl.e BETWEEN tr.s AND tr.t)) AS hit, count(*) AS total FROM tr GROUP BY 1", OV))
-def _recall(spark, d):
+def _recall(spark, d, scored=_scored_light):
     truth = E.number_truth(L.true_incidents(_labels_gmv(spark, d)))
-    return E.scenario_recall(hold(truth), _flagged(spark, d))
+    return E.scenario_recall(hold(truth), _flagged(spark, d, scored))
 
 
 def auc_sql(keys: str, src: str) -> str:
@@ -814,9 +825,9 @@ def _class_overlap(spark, d):
 
 
 @register("hard_negative_false_positives", with_ctes(["f_base", *LB], f"SELECT dom AS scenario_id, count(*) FILTER (score >= 0.6 AND label <> 'FRAUD_SPIKE') AS false_positives, count(*) FILTER (label = 'LEGIT_SPIKE') AS hard_negative_windows FROM swd JOIN (SELECT {WK}, dom, label FROM lbl) USING ({WK}) GROUP BY 1", {**SC, **LAB}))
-def _hard(spark, d):
+def _hard(spark, d, scored=_scored_light):
     labels = L.lift_labels(fx.labelled(spark, d)).select(*KEY, "label", "dominant_scenario_id")
-    return M.false_positives_by_scenario(_scored_light(spark, d).join(labels, KEY), 0.6)
+    return M.false_positives_by_scenario(scored(spark, d).join(labels, KEY), 0.6)
 
 
 # Five stand-in detectors over the scored events, three runs each, for the report tables.
@@ -874,13 +885,23 @@ def _distinct(spark, d):
 
 # ---- end to end -------------------------------------------------------------------------
 
-@register("score_windows")
-def _score(spark, d):
+def _scored_windows(spark, d):
     events = fx.annotated(spark, d)
     wide = cut_lineage(scoring.all_features(events, spine=grid.window_spine(events)))
-    wide = scoring.with_stored_baselines(wide, BOUNDS[0], fx.categories(spark, d))
-    return scoring.score_windows(wide).select(*KEY, "risk_score", "action_tier", "recommended_control", "p_loss", "direct_fraud_loss", "operational_loss",
-                                              "total_exposure", "baseline_confidence", "explanation")
+    return scoring.score_windows(scoring.with_stored_baselines(wide, BOUNDS[0], fx.categories(spark, d)))
+
+
+@register("score_windows")
+def _score(spark, d):
+    return _scored_windows(spark, d).select(*KEY, "risk_score", "action_tier", "recommended_control", "p_loss", "direct_fraud_loss", "operational_loss",
+                                            "total_exposure", "baseline_confidence", "explanation")
+
+
+# The decision and incident queries on the rows of score_windows; those without the prefix score from sums alone, as their SQL does.
+for _name, _fn in {"action_tiers": _tiers, "exposure": _exposure, "incident_rows": _incident_rows, "analyst_actions": _acted, "incident_list": _list, "incident_details": _details,
+                   "incident_detail": _detail, "eval_store_rows": _eval_rows, "predicted_incidents": _pred, "incident_overlaps": _overlaps, "incident_detection": _detection,
+                   "scenario_incident_recall": _recall, "hard_negative_false_positives": _hard}.items():
+    register(f"scored_{_name}")(partial(_fn, scored=_scored_rows))
 
 
 @register("evaluation_protocol")

@@ -4,7 +4,7 @@ from statistics import median
 from pyspark.sql import functions as F
 
 from surgelens.plans import scoring
-from surgelens.plans.catalog import BOUNDS, CATALOG
+from surgelens.plans.catalog import BOUNDS, CATALOG, _scored_rows
 from surgelens.sources import fixtures as fx
 
 T0 = dt.datetime(2024, 1, 1)
@@ -60,3 +60,20 @@ def test_scored_windows_against_a_plain_version(spark, tiny):
         assert min(1, base(dev)) - 2e-6 <= r.risk_score <= min(1, base(dev) + 0.4) + 2e-6
         held += want != "LOW"
     assert held
+
+
+def test_incidents_of_scored_windows(spark, tiny):
+    """The incident queries judge the windows as score_windows does: plain versions over its written rows."""
+    rows = _scored_rows(spark, tiny).withColumn("e", F.unix_micros("window_end") / 1e6).collect()
+    best = {}
+    for r in rows:
+        if r.risk_score >= 0.6:
+            k = (r.merchant_id, r.e)
+            best[k] = max(best.get(k, (0,)), (STEPS[r.window_size], r.window_size, r.risk_score))
+    got = CATALOG["scored_incident_rows"][0](spark, tiny).collect()
+    assert {(r.merchant_id, r.last_flag_time): r.horizon for r in got} == {k: v[1] for k, v in best.items()} and len(got) == len(best)
+    assert all(abs(r.risk_score - best[r.merchant_id, r.last_flag_time][2]) < 2e-6 for r in got)
+    bounds = {(r.merchant_id, r.window_size, r.e): r.risk_score for r in rows}
+    stored = CATALOG["scored_eval_store_rows"][0](spark, tiny).collect()
+    assert stored and all(abs(r.predicted_score - bounds[r.merchant_id, r.window_size, r.window_end]) < 2e-6 for r in stored)
+    assert CATALOG["incident_matching"][0](spark, tiny).count() == 1
