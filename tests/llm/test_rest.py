@@ -198,6 +198,23 @@ def test_neighbours_and_recall(spark):
     del F
 
 
+def test_the_share_is_the_same_at_every_size(spark):
+    for size in (120, 500, 2_000, 16_384):
+        assert permutation_index.reranked(size, permutation_index.SHARE, 20) == int(np.ceil(permutation_index.SHARE * size)) + 1
+    assert permutation_index.reranked(30, permutation_index.SHARE, 20) == 41
+    from surgelens.llm.queries import QUERIES
+    d, got, hits = "/root/testdata/sf0.01", {}, 0
+    for r in QUERIES["op9_permutation_index"](spark, d).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, v = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float64)
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = v @ v[i]
+        s[i] = -np.inf
+        hits += len(got[ids[i]] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
+    assert hits / 20 / len(got) >= 0.95
+
+
 def test_neighbours_of_awkward_vectors(spark):
     from pyspark.sql import functions as F
     nan, inf = float("nan"), float("inf")
