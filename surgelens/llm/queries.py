@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators and the pipeline, with DuckDB statements where SQL can express them."""
+"""Registered queries of the operators and the pipeline, with DuckDB statements where SQL can express them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from surgelens.llm import best_fit, line_spread, permutation_index, pii_votes, piece_bpe, quality_gam, repetition, simhash_bk, token_planes, warc_bundles
+from surgelens.llm import (best_fit, cross_parsing, line_spread, permutation_index, pii_votes, piece_bpe, prefix_trie, quality_gam,
+                           repetition, simhash_bk, token_planes, warc_bundles, whitening)
 from surgelens.llm.common import table
 
 
@@ -50,6 +51,18 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op11(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op12(table(spark, sf_dir, "conversations"))
+
+
+def op13_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_parsing.op13(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_gam": op1_quality_gam,
     "op2_token_planes": op2_token_planes,
@@ -61,5 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_votes": op8_pii_votes,
     "op9_permutation_index": op9_permutation_index,
     "op10_line_spread": op10_line_spread,
+    "op11_whitening": op11_whitening,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_cross_parsing": op13_cross_parsing,
 }
-SQL: dict[str, str] = {"op5_warc": warc_bundles.SQL, "op10_line_spread": line_spread.SQL}
+SQL: dict[str, str] = {"op5_warc": warc_bundles.SQL, "op10_line_spread": line_spread.SQL, "op12_prefix_trie": prefix_trie.SQL}
