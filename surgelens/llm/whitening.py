@@ -32,6 +32,8 @@ COMPONENTS, SCALE, SHIFT = 8, 1024, 100_000
 SLICE, LIMIT = 8_192, 2.0**35
 #: eigenvalues at most this part of the largest count as no variance
 FLAT = 1e-12
+#: eigenvalues this close, relative to the largest, are left to the sub-solve: a step would divide rounding by their distance
+CLOSE = 1e-9
 
 
 @dataclass(frozen=True)
@@ -131,11 +133,12 @@ def _step(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """One Ogita-Aishima step: better eigenvectors, eigenvalues, and the gap below which two eigenvalues count as one."""
     r = np.eye(len(a), dtype=a.dtype) - x.T @ x
     s = x.T @ (a @ x)
+    s = (s + s.T) / 2  # else rounding over a small distance of eigenvalues would cost orthogonality
     values = np.diag(s) / (1 - np.diag(r))
     norm = lambda m: np.sqrt((m * m).sum())
     gap = 2 * (norm(s - np.diag(values)) + np.abs(values).max() * norm(r))
     apart = values[None, :] - values[:, None]
-    far = np.abs(apart) > gap
+    far = np.abs(apart) > max(gap, CLOSE * np.abs(values).max())
     e = np.where(far, (s + values[None, :] * r) / np.where(far, apart, 1), r / 2)
     return x + x @ e, values, float(gap)
 
@@ -175,7 +178,7 @@ def eigenvectors(v: np.ndarray, most_steps: int = 12) -> tuple[np.ndarray, np.nd
         elif refined:
             break
         else:
-            x, before, refined = _parted(a, x, values, max(gap, 1e-9)), np.inf, True
+            x, before, refined = _parted(a, x, values, max(gap, CLOSE * np.abs(values).max())), np.inf, True
     x = x / np.sqrt((x * x).sum(axis=0))
     values = ((x * (a @ x)).sum(axis=0)).astype(np.float64) * scale
     order = np.argsort(-values, kind="stable")
