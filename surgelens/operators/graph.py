@@ -1,15 +1,18 @@
 """Entity graph per merchant-window: components, concentration, cross-merchant reach.
 
-Components are not recomputed from the edges of every window. A 5-minute window is the union
-of five 1-minute windows, a 15-minute one of three 5-minute ones, an hour of four quarters;
-so each level only merges the finished labels of the level below: an entity that carries two
-labels links them, and components are sought in that small graph of labels.
+Windows of a merchant are dealt to hour tiles. A tile of at most ``TILE_EDGES`` distinct (minute, edge) rows, its own
+hour and the one before, is one bounded group: for each window end, edges join a union-find from the newest minute
+back, and the 1, 5, 15 and 60 minute windows are read off in passing. Edges of repeated events collapse before
+they are shuffled. The tiles beyond that size are spread: there a 5-minute window is the union of five 1-minute
+windows, a 15-minute one of three 5-minute ones, an hour of four quarters; each level only merges the finished labels of the level below (an entity
+that carries two labels links them), by rounds of joins on checkpointed tables. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from surgelens.operators import sweep
@@ -20,6 +23,8 @@ from surgelens.session import cut_lineage, hold
 # Each horizon as a number of windows of a shorter one.
 MERGES = {"5m": ("1m", 5), "15m": ("5m", 3), "1h": ("15m", 4)}
 _PREFIX = {"cus": "CUS:", "dev": "DEV:", "ins": "INS:", "ip": "IP:"}
+#: distinct (minute, edge) rows of a tile and the hour before it that one task takes
+TILE, TILE_EDGES = 60, 200_000
 
 
 def connected_components(edges: DataFrame, keys: list[str], src: str = "src", dst: str = "dst") -> DataFrame:
@@ -120,6 +125,82 @@ def cluster_features(flat: DataFrame, labels: DataFrame, sizes: tuple[str, ...])
     return best.select(*W, "clusters", "_b.nodes", "_b.edges")
 
 
+def timed_edges(flat: DataFrame) -> DataFrame:
+    """(merchant_id, m, src, dst, us): each edge once per minute, with its first instant; combined before the shuffle."""
+    name = {k: F.concat(F.lit(_PREFIX[k]), F.col(k)) for k in _PREFIX}
+    pairs = F.array(*[F.struct(name[a].alias("src"), name[b].alias("dst")) for a, b in (("cus", "dev"), ("dev", "ins"), ("cus", "ip"))])
+    return (flat.select("merchant_id", "m", "us", F.explode(pairs).alias("_e"))
+            .groupBy("merchant_id", "m", "_e.src", "_e.dst").agg(F.min("us").alias("us")))
+
+
+def _clusters_of_tile(sizes: tuple[str, ...]):
+    """(window, clusters, nodes, edges) of every non-empty window that ends in the tile's hour."""
+    steps = sorted((HORIZONS[s], s) for s in sizes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = pd.unique(pd.concat([pdf["src"], pdf["dst"]]))
+        codes = {n: i for i, n in enumerate(names)}
+        a, b = pdf["src"].map(codes).to_numpy(), pdf["dst"].map(codes).to_numpy()
+        edge = pd.factorize(a.astype("int64") * len(names) + b)[0]
+        at: dict[int, list] = {}
+        for m, *row in zip(pdf["m"].tolist(), a.tolist(), b.tolist(), edge.tolist(), pdf["us"].tolist()):
+            at.setdefault(m, []).append(row)
+        merchant, first_end = pdf["merchant_id"].iloc[0], int(pdf["tile"].iloc[0]) * TILE + 1
+        everyone, out = list(range(len(names))), []
+        for end in range(first_end, first_end + TILE):
+            up, met, own, since, seen, here, back = everyone.copy(), [0] * len(names), [0] * len(names), [0] * len(names), set(), [], 0
+            for length, size in steps:
+                while back < length:
+                    back += 1
+                    for x, y, e, us in at.get(end - back, ()):
+                        for v in (x, y):
+                            if not met[v]:
+                                met[v], since[v] = 1, us
+                                here.append(v)
+                        while up[x] != x:
+                            up[x] = up[up[x]]
+                            x = up[x]
+                        while up[y] != y:
+                            up[y] = up[up[y]]
+                            y = up[y]
+                        if x != y:
+                            if met[x] < met[y]:
+                                x, y = y, x
+                            up[y] = x
+                            met[x] += met[y]
+                            own[x] += own[y]
+                            since[x] = min(since[x], since[y])
+                        since[x] = min(since[x], us)
+                        if e not in seen:
+                            seen.add(e)
+                            own[x] += 1
+                if here:
+                    roots = [v for v in here if up[v] == v]
+                    best = max(roots, key=lambda v: (met[v], -since[v], own[v]))  # most entities, then the earliest
+                    out.append((merchant, size, end, len(roots), met[best], own[best]))
+        return pd.DataFrame(out, columns=["merchant_id", "window_size", "end_minute", "clusters", "nodes", "edges"])
+
+    return run
+
+
+def clusters(flat: DataFrame, sizes: tuple[str, ...], tile_edges: int = TILE_EDGES) -> DataFrame:
+    """(W, clusters, nodes, edges) of every non-empty window: bounded tiles in one task each, larger ones by labels."""
+    edges = timed_edges(flat)
+    # a minute's windows end in its own hour tile and the next
+    tiled = hold(edges.withColumn("tile", F.explode(F.array(F.floor(F.col("m") / TILE), F.floor(F.col("m") / TILE) + 1))))
+    large = tiled.groupBy("merchant_id", "tile").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > tile_edges).select("merchant_id", "tile")
+    some = not large.isEmpty()
+    small = tiled.join(large, ["merchant_id", "tile"], "left_anti") if some else tiled
+    out = small.groupBy("merchant_id", "tile").applyInPandas(
+        _clusters_of_tile(sizes), "merchant_id string, window_size string, end_minute long, clusters long, nodes long, edges long")
+    if some:
+        hours = large.select("merchant_id", F.explode(F.array("tile", F.col("tile") - 1)).alias("_h")).distinct()
+        part = hold(flat.withColumn("_h", F.floor(F.col("m") / TILE)).join(hours, ["merchant_id", "_h"], "left_semi").drop("_h"))
+        spread = cluster_features(part, window_labels(part, sizes), sizes).withColumn("tile", F.floor((F.col("end_minute") - 1) / TILE))
+        out = out.unionByName(spread.join(large, ["merchant_id", "tile"], "left_semi").select(*out.columns))
+    return out
+
+
 def cross_merchant(flat: DataFrame, sizes: tuple[str, ...]) -> DataFrame:
     """Per window: entities also active at another merchant in the same window, and the
     largest number of merchants one of them touches. Entities of a single merchant drop out
@@ -137,12 +218,11 @@ def cross_merchant(flat: DataFrame, sizes: tuple[str, ...]) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("cross_entities"), F.max("merchants").alias("fanout")))
 
 
-def graph_features(events: DataFrame, sizes: tuple[str, ...] = ALL_SIZES, with_cross_merchant: bool = False) -> DataFrame:
+def graph_features(events: DataFrame, sizes: tuple[str, ...] = ALL_SIZES, with_cross_merchant: bool = False, tile_edges: int = TILE_EDGES) -> DataFrame:
     """The component and cross-merchant part of family J for every non-empty window. The
     rest of the family comes with ``window_features``."""
     flat = hold(flatten(events))
-    labels = window_labels(flat, sizes)
-    per_w = cluster_features(flat, labels, sizes)
+    per_w = clusters(flat, sizes, tile_edges)
     counts = sweep.sliding_sums(flat.groupBy("merchant_id", "m").agg(F.count(F.lit(1)).alias("n")), ["merchant_id"], ["n"], sizes)
     out = per_w.join(counts, W)
     if with_cross_merchant:

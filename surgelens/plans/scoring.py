@@ -16,11 +16,12 @@ from surgelens.session import cut_lineage
 KEY = ["merchant_id", "window_size", "window_end"]
 
 
-def all_features(events: DataFrame, sizes: tuple[str, ...] = ALL_SIZES, **options) -> DataFrame:
+def all_features(events: DataFrame, sizes: tuple[str, ...] = ALL_SIZES, cross_merchant: bool = False, **options) -> DataFrame:
     """Families A-J, raw values, one row per non-empty window, or per window of the ``spine`` among
-    the options; an empty window has an empty graph."""
-    graph = graph_features(events, sizes)
-    return window_features(events, sizes, **options).join(graph, KEY, "left").fillna(0.0, [c for c in graph.columns if c not in KEY])
+    the options; an empty window has an empty graph: no clusters, and a fan-out of 1."""
+    graph = graph_features(events, sizes, cross_merchant)
+    filled = {c: 0.0 for c in graph.columns if c not in KEY} | {"J_cross_merchant_fanout_max": 1.0}
+    return window_features(events, sizes, **options).join(graph, KEY, "left").fillna(filled)
 
 
 def with_twins(wide: DataFrame, merchant_b: DataFrame | None = None, category_b: DataFrame | None = None,

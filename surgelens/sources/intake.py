@@ -149,7 +149,14 @@ def to_raw_rows(accepted: DataFrame) -> DataFrame:
 
 
 def append_raw(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("event_date").parquet(path)
+    """Append to the event log, one folder per date; a date's rows meet before the write, so files stay few, and a
+    large date is split by the adaptive plan."""
+    rows.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """The event log; filters on event_date prune its folders."""
+    return spark.read.parquet(path)
 
 
 def intake_summary(deduped: DataFrame, rejected: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from surgelens.operators import graph as G
@@ -31,9 +32,10 @@ def test_components_match_union_find(spark):
     assert len(got) == 45
 
 
-def test_window_graph_matches_brute_force(spark, tiny):
+@pytest.mark.parametrize("tile_edges", [G.TILE_EDGES, 60])  # the second: many tiles go the spread way
+def test_window_graph_matches_brute_force(spark, tiny, tile_edges):
     events = fx.annotated(spark, tiny)
-    got = {(r.merchant_id, r.window_size, r.window_end): r for r in G.graph_features(events, with_cross_merchant=True).collect()}
+    got = {(r.merchant_id, r.window_size, r.window_end): r for r in G.graph_features(events, with_cross_merchant=True, tile_edges=tile_edges).collect()}
     rows = flatten(events).select("merchant_id", "m", "us", "cus", "dev", "ins", "ip").orderBy("us").collect()
     members, reach = defaultdict(list), defaultdict(set)
     for r in rows:
@@ -66,3 +68,14 @@ def test_window_graph_matches_brute_force(spark, tiny):
         touched = [len(reach[(s, e, v)]) for v in first if len(reach[(s, e, v)]) > 1]
         assert row.J_cross_merchant_entities == len(touched)
         assert row.J_cross_merchant_fanout_max == max(touched, default=1)
+
+
+def test_empty_windows_have_an_empty_graph(spark, tiny):
+    from surgelens.operators import grid
+    from surgelens.plans import scoring
+    events = fx.annotated(spark, tiny).filter("merchant_id = 'm_1'")
+    empty = scoring.all_features(events, ("1m", "5m"), spine=grid.window_spine(events, ("1m", "5m"))).filter("B_txn_count = 0")
+    j = sorted(c for c in empty.columns if c.startswith("J_"))
+    ones = {"J_devices_per_account_max", "J_accounts_per_ip_max", "J_cross_merchant_fanout_max"}
+    rows = empty.select(*j).distinct().collect()
+    assert len(j) == 12 and [r.asDict() for r in rows] == [{c: float(c in ones) for c in j}]
