@@ -43,8 +43,8 @@ def threshold_grid() -> list[float]:
 
 
 def sweep_thresholds(scores: DataFrame, y: str = "y_true", p: str = "y_prob", loss: str | None = None,
-                     fp_cost: float = REVIEW_COST) -> DataFrame:
-    """Cost of every grid threshold from one pass over the scores.
+                     fp_cost: float = REVIEW_COST, keys: list[str] = ()) -> DataFrame:
+    """Cost of every grid threshold from one pass over the scores, for each value of ``keys``.
 
     A score is reduced to the number of grid points it reaches, summed per such bucket (at
     most 82 rows), and accumulated; the scores are never multiplied by the grid.
@@ -58,38 +58,38 @@ def sweep_thresholds(scores: DataFrame, y: str = "y_true", p: str = "y_prob", lo
         i = F.least(F.lit(80), F.greatest(F.lit(0), guess + off))
         reached = F.greatest(reached, F.when(F.col(p) >= at(i), i + 1).otherwise(0))
     lost = F.col(loss) if loss else F.lit(DEFAULT_LOSS)
-    buckets = (scores.withColumn("_b", reached).groupBy("_b")
+    buckets = (scores.withColumn("_b", reached).groupBy(*keys, "_b")
                .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 0).alias("neg"),
                     F.sum(F.when(F.col(y) == 1, lost).otherwise(0.0)).alias("loss")))
     table = scores.sparkSession.createDataFrame(list(enumerate(points)), "i int, threshold double")
     # 81 grid rows x at most 82 buckets
     joined = F.broadcast(table).crossJoin(buckets)
     flagged = F.col("_b") > F.col("i")
-    return (joined.groupBy("i", "threshold")
+    return (joined.groupBy(*keys, "i", "threshold")
             .agg(F.sum("n").alias("n"), F.sum(F.when(flagged, F.col("n")).otherwise(0)).alias("flagged"),
                  F.sum(F.when(flagged, F.col("neg")).otherwise(0)).alias("fp"),
                  F.sum(F.when(flagged, 0.0).otherwise(F.col("loss"))).alias("fn_loss"))
-            .select("i", "threshold", (F.col("flagged") / F.col("n")).alias("review_rate"),
+            .select(*keys, "i", "threshold", (F.col("flagged") / F.col("n")).alias("review_rate"),
                     (F.col("fn_loss") + F.col("fp") * fp_cost).alias("total_cost")))
 
 
 def choose_thresholds(scores: DataFrame, cap: float = 0.15, fp_cost: float = REVIEW_COST, y: str = "y_true",
-                      p: str = "y_prob", loss: str | None = None, ordered: bool = False) -> DataFrame:
-    """One row: alert, review and restrict thresholds of least cost within the review cap.
+                      p: str = "y_prob", loss: str | None = None, ordered: bool = False, keys: list[str] = ()) -> DataFrame:
+    """One row (or one per value of ``keys``, each with a score): alert, review and restrict thresholds of least cost within the review cap.
 
     The first minimum wins. With no feasible point review is 0.50 and the loss infinite.
     The alert threshold may exceed the review one; ``ordered`` sorts the three.
     """
-    costs = sweep_thresholds(scores, y, p, loss, fp_cost).filter(F.col("review_rate") <= cap)
-    best = costs.agg(F.min(F.struct("total_cost", "i", "threshold", "review_rate")).alias("b"))
+    feasible = F.when(F.col("review_rate") <= cap, F.struct("total_cost", "i", "threshold", "review_rate"))
+    best = sweep_thresholds(scores, y, p, loss, fp_cost, keys).groupBy(*keys).agg(F.min(feasible).alias("b"))
     review = F.coalesce(F.col("b.threshold"), F.lit(0.50))
-    out = best.select(F.greatest(F.lit(0.15), review - 0.20).alias("theta_alert"), review.alias("theta_review"),
+    out = best.select(*keys, F.greatest(F.lit(0.15), review - 0.20).alias("theta_alert"), review.alias("theta_review"),
                       F.least(F.lit(0.95), review + 0.20).alias("theta_restrict"),
                       F.coalesce(F.col("b.total_cost"), F.lit(float("inf"))).alias("expected_loss"),
                       F.coalesce(F.col("b.review_rate"), F.lit(0.0)).alias("review_rate"))
     if ordered:
         three = F.array_sort(F.array("theta_alert", "theta_review", "theta_restrict"))
-        out = out.select(three[0].alias("theta_alert"), three[1].alias("theta_review"), three[2].alias("theta_restrict"),
+        out = out.select(*keys, three[0].alias("theta_alert"), three[1].alias("theta_review"), three[2].alias("theta_restrict"),
                          "expected_loss", "review_rate")
     return out
 

@@ -44,10 +44,10 @@ def predict(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return df.withColumn("predicted", (F.col("risk_score") >= threshold).cast("int"))
 
 
-def _boosting(rounds: int, step: float) -> Callable[[int], GBTClassifier]:
+def _boosting(rounds: int, step: float, seed: int = SEED, share: float = 1.0) -> Callable[[int], GBTClassifier]:
     # leaves hold at least max(1, min(10, n/4)) rows; trees of depth 5 keep the model small
     return lambda n: GBTClassifier(labelCol="y_true", featuresCol="_x", maxIter=rounds, stepSize=step, maxDepth=5,
-                                   minInstancesPerNode=max(1, min(10, n // 4)), seed=SEED)
+                                   minInstancesPerNode=max(1, min(10, n // 4)), seed=seed, subsamplingRate=share)
 
 
 def volume_only() -> Detector:
@@ -56,18 +56,24 @@ def volume_only() -> Detector:
     return Detector("volume_only", pick, lambda n: LogisticRegression(labelCol="y_true", featuresCol="_x", regParam=1.0 / max(1, n), standardization=False), rate)
 
 
-def contextual(rounds: int = 100) -> Detector:
-    return Detector("contextual_ml", contextual_columns, _boosting(rounds, 0.1))
+def contextual(rounds: int = 100, **sampling) -> Detector:
+    return Detector("contextual_ml", contextual_columns, _boosting(rounds, 0.1, **sampling))
 
 
-def fusion(rounds: int = 150) -> Detector:
-    return Detector("fusion", fusion_columns, _boosting(rounds, 0.08))
+def fusion(rounds: int = 150, **sampling) -> Detector:
+    return Detector("fusion", fusion_columns, _boosting(rounds, 0.08, **sampling))
 
 
-def graph_only(rounds: int = 100) -> Detector:
-    return Detector("ablation_graph_only", lambda ids: prefix_columns(ids, ("J.",)), _boosting(rounds, 0.1))
+def graph_only(rounds: int = 100, **sampling) -> Detector:
+    return Detector("ablation_graph_only", lambda ids: prefix_columns(ids, ("J.",)), _boosting(rounds, 0.1, **sampling))
 
 
-def contextual_without_twins(rounds: int = 100) -> Detector:
+def contextual_without_twins(rounds: int = 100, **sampling) -> Detector:
     families = tuple(f"{x}." for x in "ABCDEFGHI")
-    return Detector("ablation_contextual_no_dev", lambda ids: prefix_columns(ids, families, exclude_dev=True), _boosting(rounds, 0.1))
+    return Detector("ablation_contextual_no_dev", lambda ids: prefix_columns(ids, families, exclude_dev=True), _boosting(rounds, 0.1, **sampling))
+
+
+def arms(rounds: int, seed: int, share: float = 0.8) -> list[Detector]:
+    """The three detectors and the two ablation arms of one run; each tree of a run sees a seeded share of the rows."""
+    sampling = {"seed": seed, "share": share}
+    return [volume_only(), contextual(rounds, **sampling), fusion(rounds, **sampling), graph_only(rounds, **sampling), contextual_without_twins(rounds, **sampling)]

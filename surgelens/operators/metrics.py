@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from surgelens.functions.ranking import exact_quantile
 
@@ -41,7 +41,7 @@ def ranking_metrics(df: DataFrame, keys: list[str] = (), y: str = "y_true", p: s
                       F.when(single, 0.5).otherwise(F.try_divide(F.col("_u"), F.col("pos") * (F.col("n") - F.col("pos")))).alias("roc_auc"))
 
 
-def confusion(df: DataFrame, keys: list[str] = (), y: str = "y_true", p: str = "y_prob", threshold: float = 0.5) -> DataFrame:
+def confusion(df: DataFrame, keys: list[str] = (), y: str = "y_true", p: str = "y_prob", threshold: float | Column = 0.5) -> DataFrame:
     hit, pos = F.col(p) >= threshold, F.col(y) == 1
     c = df.groupBy(*keys).agg(F.count_if(~hit & ~pos).alias("tn"), F.count_if(hit & ~pos).alias("fp"),
                               F.count_if(~hit & pos).alias("fn"), F.count_if(hit & pos).alias("tp"),
@@ -54,7 +54,7 @@ def confusion(df: DataFrame, keys: list[str] = (), y: str = "y_true", p: str = "
                     ((tp + fn) / (tp + fn + fp + tn)).alias("base_rate"), (tp + fn + fp + tn).alias("sample_count"), (tp + fn).alias("positive_count"))
 
 
-def window_metrics(df: DataFrame, threshold: float = 0.5, keys: list[str] = (), y: str = "y_true", p: str = "y_prob") -> DataFrame:
+def window_metrics(df: DataFrame, threshold: float | Column = 0.5, keys: list[str] = (), y: str = "y_true", p: str = "y_prob") -> DataFrame:
     a, b = ranking_metrics(df, keys, y, p), confusion(df, keys, y, p, threshold)
     return a.join(b, list(keys)) if keys else a.crossJoin(b)  # single rows
 
@@ -98,10 +98,10 @@ def ablation_deltas(runs: DataFrame, metric: str = "pr_auc") -> DataFrame:
          .otherwise("indistinguishable").alias("reading"))
 
 
-def false_positives_by_scenario(scored: DataFrame, threshold: float) -> DataFrame:
+def false_positives_by_scenario(scored: DataFrame, threshold: float | Column, keys: list[str] = ()) -> DataFrame:
     """Flagged windows that are not FRAUD_SPIKE, and the LEGIT_SPIKE population, by scenario."""
     neg = F.col("label") != "FRAUD_SPIKE"
-    return (scored.withColumn("scenario_id", F.coalesce("dominant_scenario_id", F.lit("normal"))).groupBy("scenario_id")
+    return (scored.withColumn("scenario_id", F.coalesce("dominant_scenario_id", F.lit("normal"))).groupBy(*keys, "scenario_id")
             .agg(F.count_if((F.col("risk_score") >= threshold) & neg).alias("false_positives"),
                  F.count_if(F.col("label") == "LEGIT_SPIKE").alias("hard_negative_windows")))
 

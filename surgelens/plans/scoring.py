@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from surgelens.operators import baselines as B, decision as X, incidents as E, labels as L, metrics as M
@@ -65,35 +69,57 @@ def score_windows(twinned: DataFrame, detector: Detector | None = None,
     return narrative(X.exposure(tiered, "D_gmv", "B_txn_count"))
 
 
-def run_protocol(wide: DataFrame, labels: DataFrame, bounds: tuple[int, int], detectors: list[Detector],
-                 cap: float = 0.15) -> DataFrame:
-    """Fit on TRAIN, thresholds on VALIDATION, TEST scored once: one row per detector.
+def fit_all(detectors: list[Detector], train: DataFrame) -> list[Detector]:
+    """Fit the detectors side by side: boosting rounds are many small jobs, which leave a cluster idle one after the other."""
+    with ThreadPool(max(1, len(detectors))) as pool:
+        return pool.map(inheritable_thread_target(train.sparkSession)(lambda d: d.fit(train)), detectors)
+
 
-    ``wide`` holds raw features, computed once; only the twins differ between splits.
-    """
+def protocol_data(wide: DataFrame, labels: DataFrame, bounds: tuple[int, int]) -> DataFrame:
+    """Labelled windows with twins and their split, written: baselines come from the model features of TRAIN, whose own
+    twins are in sample; later windows are held against them."""
     every = labels.select(*KEY, "label", "dominant_scenario_id").join(wide, KEY)  # wide holds the empty windows too
-    data = L.temporal_split(every, *bounds)
-    data = cut_lineage(data.withColumn("y_true", (F.col("label") == "FRAUD_SPIKE").cast("int")))
-    train_raw = data.filter("split = 'train'")
+    data = L.temporal_split(every, *bounds).withColumn("y_true", (F.col("label") == "FRAUD_SPIKE").cast("int"))
+    data = cut_lineage(data)
+    train = data.filter("split = 'train'")
     model_ids = [id_of(c) for c in model_columns(wide)]
-    merchant_b, category_b = (cut_lineage(x) for x in B.fit_baselines(B.to_long(train_raw, model_ids)))
-    train = cut_lineage(with_twins(train_raw, merchant_b, category_b, allow_in_sample=True))
-    val = cut_lineage(with_twins(data.filter("split = 'validation'"), merchant_b, category_b))
-    test = cut_lineage(with_twins(data.filter("split = 'test'"), merchant_b, category_b))
-    truth = cut_lineage(E.number_truth(L.true_incident_spans(test.withColumn("gmv", F.col("D_gmv")))))
+    merchant_b, category_b = (cut_lineage(x) for x in B.fit_baselines(B.to_long(train, model_ids)))
+    twins = with_twins(train, merchant_b, category_b, allow_in_sample=True).unionByName(with_twins(data.filter("split <> 'train'"), merchant_b, category_b))
+    return cut_lineage(twins)
+
+
+def scored_slim(data: DataFrame, detectors: list[Detector]) -> DataFrame:
+    """VALIDATION and TEST windows scored by every fitted detector: (detector, window, split, label, y_true, risk_score, gmv), written."""
+    later = data.filter("split <> 'train'")
+    parts = [d.score(later).select(F.lit(d.name).alias("detector"), *KEY, "split", "label", "dominant_scenario_id", "y_true", "risk_score", F.col("D_gmv").alias("gmv")) for d in detectors]
+    return cut_lineage(reduce(DataFrame.unionByName, parts))
+
+
+def evaluate_scores(scores: DataFrame, bounds: tuple[int, int], cap: float = 0.15, by: tuple[str, ...] = ("detector",)) -> tuple[DataFrame, DataFrame]:
+    """(one row per value of ``by``, false positives by scenario) of a slim table of scores.
+
+    Thresholds come from VALIDATION, everything else from TEST. Every step runs once for all detectors, keyed by them. Needs what
+    ``scored_slim`` returns; the truth and the population are those of the test windows of any one detector."""
+    by = [*by]
+    theta = X.choose_thresholds(scores.filter("split = 'validation'"), cap, p="risk_score", keys=by).drop("expected_loss", "review_rate")
+    theta = cut_lineage(theta)  # a row per detector
+    test = scores.filter("split = 'test'").join(F.broadcast(theta), by)
+    windows = test.groupBy(*KEY).agg(F.first("label").alias("label"), F.first("dominant_scenario_id").alias("dominant_scenario_id"), F.first("gmv").alias("gmv"))
+    truth = cut_lineage(E.number_truth(L.true_incident_spans(windows)))
     days = F.greatest(F.lit(1.0), (F.max(F.unix_micros("window_end")) / 1e6 - bounds[1]) / 86400.0)
-    spread = test.agg((F.greatest(F.lit(1), F.countDistinct("merchant_id")) * days).alias("_merchant_days"))  # one row
-    out = None
-    for det in detectors:
-        det.fit(train)
-        theta = X.choose_thresholds(det.score(val), cap, p="risk_score").first()  # one row
-        scored = cut_lineage(det.score(test).withColumn("gmv", F.col("D_gmv")))
-        flagged = scored.filter(F.col("risk_score") >= theta["theta_review"])
-        pred = cut_lineage(E.assemble_incidents(flagged))
-        row = (M.window_metrics(scored, theta["theta_review"], p="risk_score").crossJoin(E.match_incidents(pred, truth))
-               .crossJoin(E.incident_taxonomy(pred, truth).select("detection_recall", "strict_match_recall", "mean_temporal_iou", "fragmentation_index", "merge_index"))
-               .withColumn("detector", F.lit(det.name)).withColumn("theta_review", F.lit(theta["theta_review"]))
-               .withColumn("expected_loss", F.col("missed_fraud_gmv") + F.col("false_positives") * X.REVIEW_COST)
-               .crossJoin(spread).withColumn("false_alerts_per_merchant_day", F.col("false_positives") / F.col("_merchant_days")).drop("_merchant_days"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    spread = windows.agg((F.greatest(F.lit(1), F.countDistinct("merchant_id")) * days).alias("_merchant_days"))  # one row
+    pred = cut_lineage(E.assemble_incidents(test.filter(F.col("risk_score") >= F.col("theta_review")), by=by))
+    each = theta.select(*by)
+    money, count = M.expected_loss(F.col("missed_fraud_gmv"), F.col("false_positives"), F.col("false_negatives"), F.col("fp"))
+    taxonomy = E.incident_taxonomy(pred, truth, by=by, spread=each).select(*by, "detection_recall", "strict_match_recall", "mean_temporal_iou", "fragmentation_index", "merge_index")
+    out = (M.window_metrics(test, F.col("theta_review"), by, p="risk_score").join(E.match_incidents(pred, truth, by, each), by).join(taxonomy, by).join(theta, by)
+           .withColumns({"loss_by_money": money, "loss_by_count": count}).crossJoin(F.broadcast(spread))
+           .withColumn("false_alerts_per_merchant_day", F.col("false_positives") / F.col("_merchant_days")).drop("_merchant_days"))
+    return out, M.false_positives_by_scenario(test, F.col("theta_review"), by)
+
+
+def run_protocol(wide: DataFrame, labels: DataFrame, bounds: tuple[int, int], detectors: list[Detector], cap: float = 0.15) -> DataFrame:
+    """Fit on TRAIN, thresholds on VALIDATION, TEST scored once: one row per detector. ``wide`` holds raw features, computed once."""
+    data = protocol_data(wide, labels, bounds)
+    fitted = fit_all(detectors, data.filter("split = 'train'"))
+    return evaluate_scores(scored_slim(data, fitted), bounds, cap)[0]
