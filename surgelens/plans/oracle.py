@@ -130,7 +130,7 @@ CTES: dict[str, tuple[list[str], str]] = {
       FROM f_base b LEFT JOIN f_gap USING ({WK}) LEFT JOIN f_wide USING ({WK}) LEFT JOIN f_bins USING ({WK})"""),
 }
 
-ROUNDS = 12  # of neighbour minima and label jumps; enough for the longest chain of the fixtures' windows
+ROUNDS = 32  # of neighbour minima and label jumps; no chain of the fixtures' windows is longer
 
 
 def _label_rounds() -> dict[str, tuple[list[str], str]]:
