@@ -28,6 +28,8 @@ from surgelens.llm.word_encoder import default_vocabulary, encoder
 CAPACITY = 2048
 #: pieces of a length that one salted group holds on average
 GROUP = 500
+#: groups of a block of one length
+BLOCK = 4_096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -149,8 +151,13 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFr
     salts = F.split(F.lit(",".join(str(-(-counts.get(n, 1) // group)) for n in range(capacity + 1))), ",")  # constant, by length
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts[F.col("length").cast("int")].cast("long")))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = stored(sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "pack-groups")
+    # most pieces of long texts share one length, so its groups are summed over blocks of groups first, then within each block
+    sizes = stored(sizes.withColumn("block", F.floor(F.col("salt") / BLOCK)), "pack-groups")
+    over = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sizes.groupBy("length", "block").agg(F.sum("n").alias("n")).select("length", "block", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
+    within = Window.partitionBy("length", "block").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("length", "block", "salt", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("inside")).join(blocks, ["length", "block"])
+    bases = stored(bases.select("length", "salt", (F.col("before") + F.col("inside")).alias("base")), "pack-bases")
     inner = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("k", F.row_number().over(inner)).join(bases, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("k") - 1).alias("rank"))

@@ -62,20 +62,32 @@ FEATURES = {
     "signs": "cast(y.m RLIKE '[a-z]' AS int) + 2 * cast(y.m RLIKE '[A-Z]' AS int) + 4 * cast(y.m RLIKE '[_-]' AS int)",
 }
 ROUNDS, SMOOTH = 40, 0.5
+#: matches of a chunk of a text
+CHUNK = 128
 
 
 def _sql(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
+def _chunks(items: str, body: str) -> str:
+    """SQL: bind p to a list and c to its chunks of CHUNK items, then evaluate body. A list that grows by one item
+    copies itself each time, so nothing is gathered beyond a chunk; chunks are laid end to end afterwards."""
+    cut = f"transform(sequence(0, (size(p) - 1) div {CHUNK}), j -> slice(p, j * {CHUNK} + 1, {CHUNK}))"
+    return f"transform(transform(array({items}), p -> {cut}), c -> {body})[0]"
+
+
 def _walk(t: str, pattern: str, guard: str, item: str, keep: str, kind: str) -> str:
-    """Items of all matches of a pattern in text t; over a (place), x.g (gap before), x.m (match)."""
+    """Items of all matches of a pattern in text t; over a (place), x.g (gap before), x.m (match).
+
+    Places come from a running sum in two levels: chunk lengths first, then a walk within each chunk."""
     rx = _sql(pattern)
-    return f"""CASE WHEN {guard} THEN aggregate(
-      zip_with(split({t}, '{rx}', -1), array_append(regexp_extract_all({t}, '{rx}', 0), cast(NULL AS string)), (g, m) -> struct(g, m)),
-      struct(0 AS at, cast(array() AS {kind}) AS out),
-      (a, x) -> struct(a.at + length(x.g) + coalesce(length(x.m), 0) AS at, CASE WHEN x.m IS NOT NULL AND ({keep}) THEN array_append(a.out, {item}) ELSE a.out END AS out),
-      a -> a.out) ELSE cast(array() AS {kind}) END"""
+    gaps = f"zip_with(split({t}, '{rx}', -1), array_append(regexp_extract_all({t}, '{rx}', 0), cast(NULL AS string)), (g, m) -> struct(g, m))"
+    long = "transform(c, q -> aggregate(q, 0, (n, x) -> n + length(x.g) + coalesce(length(x.m), 0)))"
+    inside = f"""aggregate(q, struct(at AS at, cast(array() AS {kind}) AS out),
+      (a, x) -> struct(a.at + length(x.g) + coalesce(length(x.m), 0) AS at, CASE WHEN x.m IS NOT NULL AND ({keep}) THEN array_append(a.out, {item}) ELSE a.out END AS out), a -> a.out)"""
+    starts = f"transform(array({long}), l -> transform(l, (n, i) -> aggregate(slice(l, 1, i), 0, (s, y) -> s + y)))[0]"
+    return f"CASE WHEN {guard} THEN {_chunks(gaps, f'flatten(zip_with(c, {starts}, (q, at) -> {inside}))')} ELSE cast(array() AS {kind}) END"
 
 
 def base_spans(t: str = "text") -> str:
@@ -165,8 +177,11 @@ def learn(found: DataFrame) -> tuple[float, list[dict[int, float]]] | None:
 
 def _all_spans(model, base: str = "base", cand: str = "cand") -> Column:
     """Base spans and the chosen candidates that touch none of them, in order."""
-    free = f"NOT exists({base}, b -> b.s < y.e AND y.s < b.e)"
-    return F.expr(f"array_sort(concat({base}, transform(filter({cand}, y -> {chosen(model)} AND {free}), y -> struct(y.s AS s, {KINDS.index('secret')} AS k, y.e AS e))))")
+    # each chunk of candidates is held against the base spans of its own stretch of the text only
+    near = f"transform(array(struct(get(q, 0).s AS lo, array_max(transform(q, y -> y.e)) AS hi)), r -> filter({base}, b -> b.s < r.hi AND r.lo < b.e))[0]"
+    free = f"transform(array({near}), w -> filter(q, y -> NOT exists(w, b -> b.s < y.e AND y.s < b.e)))[0]"
+    added = _chunks(f"filter({cand}, y -> {chosen(model)})", f"flatten(transform(c, q -> {free}))")
+    return F.expr(f"array_sort(concat({base}, transform({added}, y -> struct(y.s AS s, {KINDS.index('secret')} AS k, y.e AS e))))")
 
 
 def _told(spans: str) -> Column:
@@ -182,11 +197,17 @@ def op8(docs: DataFrame) -> DataFrame:
 
 
 def _marked(t: str, spans: str) -> str:
-    """SQL of text t with its spans replaced; spans that overlap become one mark, of the first."""
+    """SQL of text t with its spans replaced; spans that overlap become one mark, of the first. Each chunk of
+    spans works on its own part of the text, up to the furthest end so far."""
     names = ", ".join(f"'<{k.upper()}>'" for k in KINDS)
-    return f"""CASE WHEN size({spans}) = 0 THEN {t} ELSE aggregate({spans}, struct(0 AS at, cast(array() AS array<string>) AS out),
-      (a, x) -> struct(greatest(a.at, x.e) AS at, CASE WHEN x.s >= a.at THEN concat(a.out, array(substring({t}, a.at + 1, x.s - a.at), get(array({names}), x.k))) ELSE a.out END AS out),
-      a -> array_join(array_append(a.out, substring({t}, a.at + 1)), '')) END"""
+    tops = "transform(c, q -> array_max(transform(q, x -> x.e)))"
+    froms = f"transform(array({tops}), l -> transform(l, (n, i) -> struct(coalesce(array_max(slice(l, 1, i)), 0) AS f, greatest(coalesce(array_max(slice(l, 1, i)), 0), n) AS u)))[0]"
+    inside = f"""aggregate(q, struct(b.f AS at, cast(array() AS array<string>) AS out),
+      (a, x) -> struct(greatest(a.at, x.e) AS at, CASE WHEN x.s >= a.at THEN concat(a.out, array(substring(w, a.at - b.f + 1, x.s - a.at), get(array({names}), x.k))) ELSE a.out END AS out), a -> array_join(a.out, ''))"""
+    part = f"transform(array(substring({t}, b.f + 1, b.u - b.f)), w -> {inside})[0]"
+    body = f"array_join(zip_with(c, {froms}, (q, b) -> {part}), '')"
+    rest = f"substring({t}, array_max(transform({spans}, x -> x.e)) + 1)"
+    return f"CASE WHEN size({spans}) = 0 THEN {t} ELSE concat({_chunks(spans, body)}, {rest}) END"
 
 
 def masked(docs: DataFrame) -> DataFrame:

@@ -180,12 +180,14 @@ def _read_documents(batches: Iterator) -> Iterator:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone. The files are read once: what
+    their documents say is written, and the files' offsets are sums of it."""
     files = read_files(spark, path)
+    rows = stored(files.select("task", "seq", "content").mapInArrow(_read_documents, schema("task long, seq long, doc_id long, at long, n_tokens long, ids_crc32 long")), "ids-documents")
     # one row per file of millions of ids
     before = Window.orderBy("task", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stored(files.drop("content").withColumn("before", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).select("task", "seq", "before"), "ids-offsets")
-    rows = files.select("task", "seq", "content").mapInArrow(_read_documents, schema("task long, seq long, doc_id long, at long, n_tokens long, ids_crc32 long"))
+    sizes = rows.groupBy("task", "seq").agg(F.sum("n_tokens").alias("n"))
+    offsets = sizes.select("task", "seq", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     return rows.join(offsets, ["task", "seq"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -9,7 +9,11 @@ Payloads that occur before, of at least ``least`` bytes, become revisit records:
 page_id is the response, and the others name it. Copies are found over digests alone (SHA-1 and size
 of the payload); a digest with many copies may be split over tasks, as its rows meet in a plain join.
 
-Rows: null html is an empty payload; rows that repeat the largest page_id with the same payload are
+Records follow the standard: responses hold an HTTP head and the payload, a revisit names the response's record, URI and date, and every bundle
+starts with a warcinfo record. A record's id is a hash of page_id, url and digest; rows that are alike in all three add the place where they
+were written, so each can be reached by its own id.
+
+Rows: null html is an empty payload; repeated rows get records and ids of their own; rows that repeat the largest page_id with the same payload are
 all responses; null page_ids and urls are archived without that header, a null id is a revisit of the
 payload's largest id, and where a payload has null ids only, all are responses; an empty table gives
 no rows; further columns are ignored.
@@ -33,22 +37,44 @@ SEEK_MAGIC, SEEK_END, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 LEAST = 1000
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 16 << 20
 DATE = "2024-01-01T00:00:00Z"
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None) -> tuple[str, bytes]:
+def record_id(page_id: int | None, url: str | None, digest: str, place: str = "") -> str:
+    return "<urn:uuid:%s>" % uuid.uuid5(NAMESPACE, f"{page_id} {url} {digest}{place}")
+
+
+def _uri(url: str) -> str:
+    return "".join(c if " " < c else "%%%02X" % ord(c) for c in url)
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, size: int, refers_to: int | None,
+           refers_url: str | None = None, refers_name: str | None = None, place: str = "") -> tuple[str, bytes]:
     """(record id, bytes of the WARC record). A revisit has no payload of its own."""
-    name = "<urn:uuid:%s>" % uuid.uuid5(NAMESPACE, f"{page_id} {url} {digest}")
+    name = record_id(page_id, url, digest, place)
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}",
              "WARC-Payload-Digest: sha1:" + base64.b32encode(bytes.fromhex(digest)).decode(), f"X-Payload-Length: {size}"]
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     if url is not None:
-        lines.append("WARC-Target-URI: " + "".join(c if " " < c else "%%%02X" % ord(c) for c in url))
+        lines.append("WARC-Target-URI: " + _uri(url))
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers_to}"]
-    body = payload if refers_to is None else b""
-    lines += ["Content-Type: text/html", f"Content-Length: {len(body)}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-Id: {refers_to}", f"WARC-Refers-To-Date: {DATE}"]
+        if refers_name is not None:
+            lines.append(f"WARC-Refers-To: {refers_name}")
+        if refers_url is not None:
+            lines.append("WARC-Refers-To-Target-URI: " + _uri(refers_url))
+    head = HTTP_HEAD % size
+    body = head + payload if refers_to is None else head
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
+    return name, b"\r\n".join([*(x.encode() for x in lines), b"", body, b"", b""])
+
+
+def information(place: str) -> tuple[str, bytes]:
+    """The warcinfo record of a bundle."""
+    name, body = record_id(None, None, "", place), b"format: WARC File Format 1.1\r\nsoftware: surgelens\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
     return name, b"\r\n".join([*(x.encode() for x in lines), b"", body, b"", b""])
 
 
@@ -120,7 +146,7 @@ class BundleReader:
 
 
 def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields and payload of one record."""
+    """Header fields of one record, and its payload: what follows the HTTP head, or the whole block of other types."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -129,39 +155,57 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
     n = int(fields["Content-Length"])
     if rest[n:] != b"\r\n\r\n":
         raise ValueError("a record's length is wrong")
-    return fields, rest[:n]
+    block = rest[:n]
+    return fields, block.partition(b"\r\n\r\n")[2] if fields["Content-Type"].startswith("application/http") else block
 
 
 def _bundles(frame_bytes: int, bundle_bytes: int):
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        bundle, size = Bundle(frame_bytes), 0
+        task, seq, bundle, size, place = TaskContext.get().partitionId(), 0, None, 0, 0
         for b in batches:
             for i in range(b.num_rows):  # one row at a time: pages may be long
-                page_id, url, html, digest, n, response = (b.column(c)[i].as_py() for c in ("page_id", "url", "html", "digest", "n", "response"))
-                name, raw = record(page_id, url, html or b"", digest, n, response)
+                page_id, url, html, digest, n, response, to_url, alike, to_alike = (b.column(c)[i].as_py() for c in ROW)
+                if bundle is None:
+                    bundle, size, place = Bundle(frame_bytes), 0, 0
+                    bundle.add(*information(f" {task} {seq}"))
+                place += 1
+                target = None if response is None or to_alike else record_id(response, to_url, digest)
+                name, raw = record(page_id, url, html or b"", digest, n, response, to_url, target, f" {task} {seq} {place}" if alike else "")
                 bundle.add(name, raw)
                 size += len(raw)
                 if size >= bundle_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([bundle.close()[:-1]], pa.binary())], ["file"])
-                    bundle, size = Bundle(frame_bytes), 0
-        if size:
+                    bundle, seq = None, seq + 1
+        if bundle:
             yield pa.RecordBatch.from_arrays([pa.array([bundle.close()[:-1]], pa.binary())], ["file"])
 
     return write
 
 
+ROW = ("page_id", "url", "html", "digest", "n", "response", "to_url", "alike", "to_alike")
+
+
 def write_warc(pages: DataFrame, path: str, least: int = LEAST, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> None:
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumns({"n": F.length("html").cast("long"), "digest": F.sha1("html")})
-    copies = rows.groupBy("digest", "n").agg(F.count("*").alias("copies"), F.max("page_id").alias("response"), F.count("page_id").alias("ids")).where((F.col("copies") > 1) & (F.col("n") >= least) & (F.col("ids") > 0))
-    copies = stored(copies.select(F.col("digest").alias("d"), F.col("response")), "warc-copies")
-    told = rows.join(copies, F.col("digest") == F.col("d"), "left")
+    # per payload: how often, the response (largest page_id, then url), and whether any of its rows are alike
+    each = rows.groupBy("digest", "n", "page_id", "url").agg(F.count("*").alias("c"))
+    last = F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", F.col("url").isNotNull().alias("u"), "url", (F.col("c") > 1).alias("twice")))).alias("last")
+    copies = each.groupBy("digest", "n").agg(F.sum("c").alias("copies"), F.max("c").alias("most"), last).where(F.col("copies") > 1)
+    named = (F.col("n") >= least) & F.col("last").isNotNull()
+    pick = lambda c: F.when(named, F.col(f"last.{c}"))
+    copies = copies.where(named | (F.col("most") > 1)).select(F.col("digest").alias("d"), pick("page_id").alias("response"), pick("url").alias("to_url"), pick("twice").alias("to_alike"), (F.col("most") > 1).alias("alike"))
+    told = rows.join(stored(copies, "warc-copies"), F.col("digest") == F.col("d"), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response"))
+    # the response's own id stays plain, so that revisits can name it, unless it is repeated itself
+    plain = F.col("page_id").eqNullSafe(F.col("response")) & F.col("url").eqNullSafe(F.col("to_url")) & ~F.coalesce("to_alike", F.lit(False))
     # a revisit carries no payload, so it need not travel to the task that writes it
-    told = told.select("page_id", "url", F.when(F.col("response").isNull() | refers.isNull(), F.col("html")).alias("html"), "digest", "n", refers.alias("response"))
+    told = told.select("page_id", "url", F.when(F.col("response").isNull() | refers.isNull(), F.col("html")).alias("html"), "digest", "n", refers.alias("response"), "to_url",
+                       (F.coalesce("alike", F.lit(False)) & ~plain).alias("alike"), F.coalesce("to_alike", F.lit(False)).alias("to_alike"))
     (told.mapInArrow(_bundles(frame_bytes, bundle_bytes), "file binary").select(F.col("file").cast("string"))
      .write.option("maxRecordsPerFile", 1).option("lineSep", "\x8f").option("encoding", "ISO-8859-1").text(path))
 
@@ -177,6 +221,8 @@ def _records(batches: Iterator) -> Iterator:
             out = []
             for raw in BundleReader(content.as_py()):
                 h, payload = parsed(raw)
+                if h["WARC-Type"] == "warcinfo":
+                    continue
                 digest = base64.b32decode(h["WARC-Payload-Digest"][5:]).hex()
                 if h["WARC-Type"] == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != int(h["X-Payload-Length"])):
                     raise ValueError("a payload does not match its digest")

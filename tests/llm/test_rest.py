@@ -77,6 +77,30 @@ def test_archives_come_back(spark):
     assert warc_bundles.op5(spark, pages.where("false")).count() == 0
 
 
+def test_repeated_rows_are_each_reached_by_their_own_id(spark, tmp_path):
+    html = "same page " * 200
+    rows = [(5, "http://a", html)] * 3 + [(9, "http://b", html), (4, "http://c", "short")] + [(4, "http://c", "short")] * 2 + [(7, "http://d", html)]
+    path = str(tmp_path / "w")
+    warc_bundles.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2), path)
+    names, found = [], []
+    for f in (tmp_path / "w").glob("part-*"):
+        reader = warc_bundles.BundleReader(f.read_bytes())
+        assert len(reader.where) == len(reader.order) and warc_bundles.parsed(next(iter(reader)))[0]["WARC-Type"] == "warcinfo"
+        for name in reader.where:
+            h, body = warc_bundles.parsed(reader.one(name))
+            assert h["WARC-Record-ID"] == name
+            names.append(name)
+            if h["WARC-Type"] != "warcinfo":
+                found.append((int(h["X-Page-Id"]), h["WARC-Type"], h.get("WARC-Refers-To"), h.get("WARC-Refers-To-Target-URI"), body.decode()))
+    assert len(names) == len(set(names)) and len(found) == len(rows)
+    digest = hashlib.sha1(html.encode()).hexdigest()
+    target = warc_bundles.record_id(9, "http://b", digest, "")
+    again = [x for x in found if x[1] == "revisit"]
+    assert sorted(x[0] for x in again) == [5, 5, 5, 7] and {x[3] for x in again} == {"http://b"} and {x[4] for x in again} == {""}
+    assert {x[2] for x in again} == {target} and target in names
+    assert [x[4] for x in found if x[0] == 9] == [html] and [x[4] for x in found if x[0] == 4] == ["short"] * 3
+
+
 def test_bundles_are_seekable_and_plain(tmp_path):
     bundle, records = warc_bundles.Bundle(500), []
     for i in range(50):
@@ -93,6 +117,24 @@ def test_bundles_are_seekable_and_plain(tmp_path):
 
 # personal data
 
+def test_a_text_of_many_matches(spark):
+    """Places beyond one chunk, and in time that grows with the text."""
+    n = 30_000
+    parts = [f"u{i}@m{i % 7}.example.com" if i % 3 else f"10.0.{i % 256}.1" for i in range(n)] + ["tail"]
+    df = spark.createDataFrame([(1, " ".join(parts))], "doc_id long, text string")
+    row = pii_votes.op8(df).first()
+    assert (row.n_email, row.n_ip) == (n - n // 3, n // 3) and row.base_sha256 == hashlib.sha256(",".join(plain_spans_of(parts)).encode()).hexdigest()
+    assert pii_votes.masked(df).first().text == " ".join(["<EMAIL>" if i % 3 else "<IP>" for i in range(n)] + ["tail"])
+
+
+def plain_spans_of(parts):
+    at, out = 0, []
+    for p in parts[:-1]:
+        out.append(f"{'email' if '@' in p else 'ip'}:{at}:{at + len(p)}")
+        at += len(p) + 1
+    return out
+
+
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
