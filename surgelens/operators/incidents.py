@@ -131,13 +131,17 @@ def incident_taxonomy(pred: DataFrame, truth: DataFrame, fraction: float = 0.10,
                     share("pairs", "hitting").alias("merge_index"))
 
 
-def scenario_recall(truth: DataFrame, flagged: DataFrame) -> DataFrame:
-    """Per scenario: incidents with any flagged window end inside, and all incidents."""
+def scenario_recall(truth: DataFrame, flagged: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Per scenario (and value of ``by``, a column of the flagged windows): incidents with any flagged window end inside, and
+    all incidents. With ``by``, only values that flagged something are listed."""
     day = 86400000000
-    f = flagged.select("merchant_id", F.unix_micros("window_end").alias("_e")).distinct().withColumn("_d", F.floor(F.col("_e") / day))
-    t = (truth.select("merchant_id", "truth_id", F.unix_micros("start_time").alias("_a"), F.unix_micros("end_time").alias("_b"))
+    f = flagged.select(*by, "merchant_id", F.unix_micros("window_end").alias("_e")).distinct().withColumn("_d", F.floor(F.col("_e") / day))
+    t = (truth.select("merchant_id", "scenario_id", "truth_id", F.unix_micros("start_time").alias("_a"), F.unix_micros("end_time").alias("_b"))
          .withColumn("_d", F.explode(F.sequence(F.floor(F.col("_a") / day), F.floor(F.col("_b") / day)))))
     hit = (t.join(f, ["merchant_id", "_d"]).filter(F.col("_e").between(F.col("_a"), F.col("_b")))
-           .select("merchant_id", "truth_id").distinct().withColumn("_hit", F.lit(1)))
-    return (truth.join(hit, ["merchant_id", "truth_id"], "left").groupBy("scenario_id")
-            .agg(F.count("_hit").alias("hit"), F.count(F.lit(1)).alias("total")))
+           .select(*by, "merchant_id", "scenario_id", "truth_id").distinct().groupBy(*by, "scenario_id").agg(F.count(F.lit(1)).alias("hit")))
+    total = truth.groupBy("scenario_id").agg(F.count(F.lit(1)).alias("total"))
+    if not by:
+        return total.join(hit, "scenario_id", "left").select("scenario_id", F.coalesce("hit", F.lit(0)).alias("hit"), "total")
+    values = flagged.select(*by).distinct()  # a few detectors
+    return total.crossJoin(F.broadcast(values)).join(hit, [*by, "scenario_id"], "left").select(*by, "scenario_id", F.coalesce("hit", F.lit(0)).alias("hit"), "total")

@@ -500,9 +500,8 @@ def baseline_mix(events: DataFrame, category) -> DataFrame:
 
 
 def declared_features(events: DataFrame, customers: DataFrame, sizes: tuple[str, ...] = ALL_SIZES) -> DataFrame:
-    """Refund latency, account age and modal-region features as the registry words them, for
-    the columns that exist: refund rate, young-account share (24 h), and the share of
-    accounts outside their own modal region."""
+    """Shares as the registry words them, for the columns that exist: refund rate, young-account share (24 h), and the
+    share of accounts outside their own modal region. Ages, latencies and cohorts: ``declared_statistics``."""
     flat_ids = events.select("merchant_id", "transaction_id", "customer_id", "timestamp", "refunded_at", F.col("geo.state").alias("state"))
     mode = flat_ids.filter("customer_id is not null").groupBy("customer_id").agg(F.mode("state", True).alias("home_state"))
     hours = lambda a, b: (F.unix_micros(a) - F.unix_micros(b)) / 3.6e9
@@ -516,3 +515,134 @@ def declared_features(events: DataFrame, customers: DataFrame, sizes: tuple[str,
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
     return w.select("merchant_id", "window_size", instant("end_minute").alias("window_end"), share("refunds", "n").alias("refund_rate"),
                     share("young", "known").alias("young_account_share"), share("away", "known").alias("away_from_home_share"))
+
+
+def burst_duration(windows: DataFrame, above: Column) -> DataFrame:
+    """Seconds since the window's run of ends above its baseline began (0 at its first end, and where it is not above).
+
+    ``windows`` holds every end of the grid per merchant and horizon (the spine), ``above`` says whether the rate exceeds the baseline by
+    three MADs. The last end that was not above is carried forward: over hours first, then within each hour."""
+    key = ["merchant_id", "window_size"]
+    rows = windows.withColumn("_e", minute("window_end")).withColumn("_above", F.coalesce(above, F.lit(False))).withColumn("_h", F.floor(F.col("_e") / 60))
+    calm = F.when(~F.col("_above"), F.col("_e"))
+    hours = rows.groupBy(*key, "_h").agg(F.max(calm).alias("_calm"), F.min("_e").alias("_first"))
+    before = Window.partitionBy(*key).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select(*key, "_h", F.max("_calm").over(before).alias("_before"), F.min("_first").over(Window.partitionBy(*key)).alias("_first"))
+    inside = Window.partitionBy(*key, "_h").orderBy("_e").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.coalesce(F.coalesce(F.max(calm).over(inside), F.col("_before")) + 1, F.col("_first"))
+    return (rows.join(hours, [*key, "_h"]).withColumn("_start", start)
+            .select(*key, "window_end", F.when(F.col("_above"), (F.col("_e") - F.col("_start")) * 60.0).otherwise(0.0).alias("burst_duration")))
+
+
+def window_quantiles(values: DataFrame, sizes: tuple[str, ...], asked: dict[str, tuple[str, float]]) -> DataFrame:
+    """Interpolated quantiles per window: name -> (dim, q), one column each. ``values`` as ``value_panes`` makes them.
+
+    Only the buckets that hold a wanted rank are opened, so no window's values are ever sorted as a whole."""
+    values = hold(values)
+    cells = bucket_cells(values, sizes)
+    per_w = Window.partitionBy(*W, "dim")
+    upto = per_w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = F.array_compact(F.array(*[F.when(F.col("dim") == dim, F.struct(F.lit(name).alias("name"), F.lit(q).alias("q"))) for name, (dim, q) in asked.items()]))
+    at = F.col("_q.q") * (F.col("n_total") - 1)
+    targets = (cells.withColumn("_cum", F.sum("weight").over(upto)).withColumn("n_total", F.sum("weight").over(per_w)).withColumn("_q", F.explode(wanted))
+               .withColumn("lo", F.floor(at) + 1).withColumn("hi", F.ceil(at) + 1).withColumn("share", at - F.floor(at))
+               .withColumn("name", F.col("_q.name")).withColumn("before", F.col("_cum") - F.col("weight"))
+               .filter((F.col("before") < F.col("hi")) & (F.col("_cum") >= F.col("lo"))))
+    inside = Window.partitionBy(*W, "name", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    rank = F.col("before") + F.sum("c").over(inside)
+    first = lambda bound: F.min(F.when(F.col("_rank") >= F.col(bound), F.col("value"))).cast("double")
+    picked = (open_buckets(targets, values, sizes, ["name", "before", "lo", "hi", "share"]).withColumn("_rank", rank)
+              .groupBy(*W, "name").agg(first("lo").alias("_lo"), first("hi").alias("_hi"), F.first("share").alias("_share")))
+    value = F.col("_lo") + F.col("_share") * (F.col("_hi") - F.col("_lo"))
+    return picked.groupBy(*W).agg(*[F.max(F.when(F.col("name") == name, value)).alias(name) for name in asked])
+
+
+def _largest_share(steps: DataFrame, out: str) -> DataFrame:
+    """(W, largest value over the window's items, their total) of step functions (merchant, dim, item)."""
+    keys = ["merchant_id", "dim", "item"]
+    each = sweep.expand_steps(steps, keys, "value").groupBy(*W, "dim").agg(F.max("value").alias("_top"), F.sum("value").alias("_all"))
+    return each.groupBy(*W).agg(F.max(F.col("_top") / F.col("_all")).alias(out))
+
+
+def declared_statistics(events: DataFrame, customers: DataFrame, sizes: tuple[str, ...] = ALL_SIZES) -> DataFrame:
+    """Account ages, refund latency and cohort shares as the registry words them, per non-empty window.
+
+    Median and tenth percentile of the account age at the attempt (hours); median hours from attempt to refund; largest share of the window's
+    accounts that were created in one hour; largest share of its refunds on one account or one device. Attempts without the column in question do
+    not count; where none is left the value is 0."""
+    rows = events.select("merchant_id", "customer_id", "device_fp", minute("timestamp").alias("m"), F.unix_micros("timestamp").alias("us"), F.unix_micros("refunded_at").alias("refund_us"))
+    rows = hold(rows.join(customers.select("customer_id", F.unix_micros("created_at").alias("created_us")), "customer_id", "left"))
+    kinds = F.array(F.struct(F.lit("age").alias("dim"), (F.col("us") - F.col("created_us")).alias("value")), F.struct(F.lit("refund").alias("dim"), (F.col("refund_us") - F.col("us")).alias("value")))
+    values = (rows.select("merchant_id", "m", F.explode(kinds).alias("_k")).select("merchant_id", "_k.dim", "m", "_k.value").filter("value is not null")
+              .groupBy("merchant_id", "dim", F.col("m").alias("m_prev"), "m", "value").agg(F.count(F.lit(1)).alias("c")).withColumn("bucket", _bucket(F.col("value"))))
+    quantiles = window_quantiles(values, sizes, {"account_age_median": ("age", 0.5), "account_age_p10": ("age", 0.1), "refund_latency_median": ("refund", 0.5)})
+    born = rows.filter("created_us is not null").select("merchant_id", F.lit("born").alias("dim"), F.floor(F.col("created_us") / 3600000000).cast("string").alias("item"), "customer_id", "m").distinct()
+    keys = ["merchant_id", "dim", "item"]
+    moved = sweep.presence_deltas(born, [*keys, "customer_id"], sizes)
+    cohorts = _largest_share(sweep.steps_from_deltas(moved.select(*keys, "window_size", "end_minute", "delta"), keys, "delta", "value"), "account_cohort_concentration")
+    sides = F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).alias("item")) for c in ("customer_id", "device_fp")])
+    refunds = rows.filter("refund_us is not null")
+    back = (refunds.select("merchant_id", "m", F.explode(sides).alias("_s")).select("merchant_id", "_s.dim", F.coalesce("_s.item", F.lit("")).alias("item"), "m")
+            .groupBy(*keys, "m").agg(F.count(F.lit(1)).alias("c")))
+    # an unknown account or device is no cohort, but its refunds count in the total
+    known = sweep.expand_steps(sweep.steps_from_panes(back, keys, "c", "value", sizes), keys, "value")
+    each = known.groupBy(*W, "dim").agg(F.max(F.when(F.col("item") != "", F.col("value"))).alias("_top"), F.sum("value").alias("_all"))
+    refund_cohorts = each.groupBy(*W).agg(F.max(F.coalesce("_top", F.lit(0)) / F.col("_all")).alias("refund_cohort_concentration"))
+    base = sweep.sliding_sums(rows.groupBy("merchant_id", "m").agg(F.count(F.lit(1)).alias("n")), ["merchant_id"], ["n"], sizes)
+    out = reduce(lambda a, b: a.join(b, W, "left"), [base, quantiles, cohorts, refund_cohorts])
+    d = lambda c, per=1.0: (F.coalesce(F.col(c), F.lit(0.0)) / per).alias(c)
+    hour = 3.6e9
+    return out.select("merchant_id", "window_size", instant("end_minute").alias("window_end"), d("account_age_median", hour), d("account_age_p10", hour), d("refund_latency_median", hour),
+                      d("account_cohort_concentration"), d("refund_cohort_concentration"))
+
+
+LAGS = 5
+
+
+def lagged_gaps(flat: DataFrame, lags: int = LAGS) -> DataFrame:
+    """(merchant_id, k, m_prev, m, c, p, s): for lag k, pairs of gaps that lie k apart: their number, sum of products and sum of both; m_prev
+    is the minute of the earliest attempt of a pair, m that of the latest.
+
+    Attempts are ordered within their minute; the last few of each minute are handed on to the merchant's next minutes, so a
+    busy merchant is spread over its minutes."""
+    need = lags + 1  # earlier attempts that the latest gap of a pair reaches back over
+    ev = flat.select("merchant_id", "m", "us")
+    minutes = ev.select("merchant_id", "m").distinct()
+    order = Window.partitionBy("merchant_id").orderBy("m")
+    nexts = minutes.withColumn("_to", F.array_compact(F.array(*[F.lead("m", j).over(order) for j in range(1, need + 1)]))).select("merchant_id", "m", F.explode("_to").alias("to"))
+    tail = ev.withColumn("_r", F.row_number().over(Window.partitionBy("merchant_id", "m").orderBy(F.desc("us")))).filter(F.col("_r") <= need).drop("_r")
+    carried = tail.join(nexts, ["merchant_id", "m"]).select("merchant_id", F.col("to").alias("block"), "m", "us")
+    rows = ev.select("merchant_id", F.col("m").alias("block"), "m", "us").unionByName(carried)
+    w = Window.partitionBy("merchant_id", "block").orderBy("us")
+    back = lambda c, j: F.col(c) if j == 0 else F.lag(c, j).over(w)
+    wide = rows.select("merchant_id", "block", "m", *[back("us", j).alias(f"u{j}") for j in range(need + 1)], *[back("m", j).alias(f"m{j}") for j in range(2, need + 1)]).filter("m = block")
+    gap = lambda j: F.col(f"u{j}") - F.col(f"u{j + 1}")
+    pairs = F.array(*[F.when(F.col(f"u{k + 1}").isNotNull(), F.struct(F.lit(k).alias("k"), F.col(f"m{k + 1}").alias("m_prev"), gap(0).alias("a"), gap(k).alias("b"))) for k in range(1, lags + 1)])
+    d = lambda c: F.col(c).cast("decimal(18,0)")
+    return (wide.select("merchant_id", "m", F.explode(pairs).alias("_p")).filter("_p is not null").select("merchant_id", "m", "_p.*")
+            .groupBy("merchant_id", "k", "m_prev", "m").agg(F.count(F.lit(1)).alias("c"), F.sum((d("a") * d("b")).cast("decimal(36,0)")).cast("decimal(38,0)").alias("p"), F.sum(d("a") + d("b")).cast("decimal(38,0)").alias("s")))
+
+
+def periodicity(events: DataFrame, sizes: tuple[str, ...] = ALL_SIZES, lags: int = LAGS) -> DataFrame:
+    """Peak of the autocorrelation of a window's gaps over lags 1 to ``lags`` (0 at least), as the registry words it.
+
+    Products of gaps k apart slide like counts: a pair enters a window after its latest attempt and leaves with its earliest. Fewer than two gaps
+    give 0, gaps without any spread 1."""
+    flat = hold(flatten(events))
+    panes = flat.groupBy("merchant_id", "m").agg(F.count(F.lit(1)).alias("n"))
+    sides = []
+    for s in sizes:
+        fits = F.col("m") - F.col("m_prev") < HORIZONS[s]
+        for end, sign in ((F.col("m") + 1, 1), (F.col("m_prev") + HORIZONS[s] + 1, -1)):
+            sides.append(F.when(fits, F.struct(F.lit(s).alias("window_size"), end.alias("end_minute"), F.lit(sign).alias("sign"))))
+    deltas = lagged_gaps(flat, lags).withColumn("_d", F.explode(F.array(*sides))).filter("_d is not null")
+    moved = deltas.groupBy("merchant_id", "_d.window_size", "_d.end_minute").agg(
+        *[F.sum(F.when(F.col("k") == k, F.col(c) * F.col("_d.sign")).otherwise(0)).cast("decimal(38,0)").alias(f"{c}{k}") for k in range(1, lags + 1) for c in "cps"])
+    extra = _gap_deltas(gap_panes(flat), sizes).unionByName(moved, allowMissingColumns=True)
+    w = sweep.sliding_sums(panes, ["merchant_id"], ["n"], sizes, extra=extra)
+    v = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    n, mean = v("gaps"), v("gap_us") / F.greatest(F.lit(1.0), v("gaps"))
+    spread = v("gap_sq") - n * mean * mean
+    at = [F.when(v(f"c{k}") > 0, (v(f"p{k}") - mean * v(f"s{k}") + v(f"c{k}") * mean * mean) / F.greatest(F.lit(1e-9), spread)) for k in range(1, lags + 1)]
+    peak = F.when(n < 2, 0.0).when(spread <= 1e-12 * v("gap_sq"), 1.0).otherwise(F.greatest(F.lit(0.0), F.coalesce(F.greatest(*at), F.lit(0.0))))
+    return w.select("merchant_id", "window_size", instant("end_minute").alias("window_end"), peak.alias("periodicity_score"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from surgelens import registry as R
 from surgelens.functions import protect, ranking, stats
 from surgelens.operators import (baselines as B, decision as X, explain as N, gates as GT, graph as G, grid, incidents as E,
-                                 labels as L, lifecycle, metrics as M, velocity as V, window_features as WF)
+                                 labels as L, lifecycle, metrics as M, report as RP, velocity as V, window_features as WF)
 from surgelens.plans import oracle as O, scoring
 from surgelens.plans.comparable import comparable, r6_col
 from surgelens.plans.oracle import BASE, WK, r6, secs, with_ctes
@@ -245,6 +245,29 @@ def _declared(spark, d):
     return WF.declared_features(fx.annotated(spark, d), fx.customers(spark, d))
 
 
+BORN = "(f - (CAST(substr(customer_id, 5) AS BIGINT) % 72) * 3600000000)"
+DECL = {"wd": f"SELECT win.*, CASE WHEN customer_id IS NOT NULL THEN {BORN} END AS born FROM win LEFT JOIN (SELECT user_id AS u, min(us) AS f FROM ev GROUP BY 1) ON customer_id = 'cus_' || u",
+        "wc": f"SELECT {WK}, max(c) / sum(c) AS cohort FROM (SELECT {WK}, born // 3600000000 AS b, count(DISTINCT customer_id) AS c FROM wd WHERE born IS NOT NULL GROUP BY {WK}, b) GROUP BY {WK}",
+        "wr": f"SELECT {WK}, max(top / total) AS rc FROM (SELECT {WK}, d, max(CASE WHEN i IS NOT NULL THEN c ELSE 0 END) AS top, sum(c) AS total FROM (SELECT {WK}, d, i, count(*) AS c FROM (SELECT {WK}, unnest(['c', 'd']) AS d, unnest([customer_id, device_fp]) AS i FROM wd WHERE refunded) GROUP BY {WK}, d, i) GROUP BY {WK}, d) GROUP BY {WK}"}
+
+
+@register("declared_statistics", with_ctes(["win", "ev"], f"""SELECT merchant_id, window_size, {secs('e')} AS window_end, {r6('coalesce(am, 0) / 3.6e9')} AS account_age_median, {r6('coalesce(ap, 0) / 3.6e9')} AS account_age_p10, {r6('coalesce(rl, 0) / 3.6e9')} AS refund_latency_median,
+  {r6('coalesce(cohort, 0)')} AS account_cohort_concentration, {r6('coalesce(rc, 0)')} AS refund_cohort_concentration FROM (SELECT {WK}, quantile_cont(CAST(us - born AS DOUBLE), 0.5) AS am, quantile_cont(CAST(us - born AS DOUBLE), 0.1) AS ap, quantile_cont(CAST(refund_us - us AS DOUBLE), 0.5) FILTER (refunded) AS rl FROM wd GROUP BY {WK})
+  LEFT JOIN wc USING ({WK}) LEFT JOIN wr USING ({WK})""", DECL))
+def _declared_statistics(spark, d):
+    return WF.declared_statistics(fx.annotated(spark, d), fx.customers(spark, d))
+
+
+PEAK = """CASE WHEN len(c) < 2 THEN 0.0 WHEN list_inner_product(c, c) <= 1e-12 * list_inner_product(g, g) THEN 1.0
+  ELSE greatest(0.0, coalesce(list_max(list_transform(range(1, least(5, len(c) - 1) + 1), lambda k: list_inner_product(c[k + 1:], c[1:len(c) - k]) / list_inner_product(c, c))), 0.0)) END"""
+
+
+@register("declared_periodicity", with_ctes(["win"], f"""SELECT merchant_id, window_size, {secs('e')} AS window_end, {r6(PEAK)} AS periodicity_score FROM
+  (SELECT {WK}, coalesce(g, []::DOUBLE[]) AS g, coalesce(list_transform(g, lambda x: x - list_avg(g)), []::DOUBLE[]) AS c FROM (SELECT DISTINCT {WK} FROM win) LEFT JOIN (SELECT {WK}, list(CAST(gap AS DOUBLE) ORDER BY us) AS g FROM (SELECT {WK}, us, us - lag(us) OVER (PARTITION BY {WK} ORDER BY us) AS gap FROM win) WHERE gap IS NOT NULL GROUP BY {WK}) USING ({WK}))"""))
+def _periodicity(spark, d):
+    return WF.periodicity(fx.annotated(spark, d))
+
+
 GRAPH_SQL = {
     "ge": f"SELECT DISTINCT {WK}, 'CUS:' || cus AS a, 'DEV:' || dev AS b FROM win UNION SELECT DISTINCT {WK}, 'DEV:' || dev, 'INS:' || ins FROM win UNION SELECT DISTINCT {WK}, 'CUS:' || cus, 'IP:' || ip FROM win",
 }
@@ -1007,6 +1030,63 @@ def _fp_by_detector(spark, d):
     return scoring.evaluate_scores(_given_scores(spark, d), BOUNDS)[1]
 
 
+ASKED, GIVEN = ["card_testing_burst", "device_farm_ring", "flash_sale_spike", "promo_coupon_harvesting"], ["heuristic", "volume_unfitted"]
+NOT_SQL = f"'{L.NOT_EVALUATED}'"
+TAB = {**SL, "tfp": "SELECT detector, dom AS scenario_id, count(*) FILTER (p >= t AND label <> 'FRAUD_SPIKE') AS fps, count(*) FILTER (label = 'LEGIT_SPIKE') AS pop FROM te GROUP BY 1, 2",
+       "tpos": "SELECT *, dom AS scenario_id FROM te WHERE detector = 'heuristic' AND label = 'FRAUD_SPIKE'", "ttr": run_sql("tpos", "merchant_id, scenario_id", 5),
+       "tre": "SELECT d.detector, r.scenario_id, count(*) AS total, count(*) FILTER (EXISTS (SELECT 1 FROM dfl f WHERE f.detector = d.detector AND f.merchant_id = r.merchant_id AND f.e BETWEEN r.s AND r.t)) AS hit FROM ttr r, (SELECT DISTINCT detector FROM te) d GROUP BY 1, 2",
+       "asked": f"SELECT unnest({ASKED!r}) AS scenario_id"}
+PCT = "CAST(CAST(floor((2000 * h + n) / (2 * n)) / 10 AS DECIMAL(10,1)) AS VARCHAR) || '% (' || h || '/' || n || ')'"
+
+
+def _cells_sql(table: str, src: str, population: str, cell: str) -> str:
+    each = ", ".join(f"coalesce(max(CASE WHEN {population} > 0 THEN {cell} END) FILTER (detector = '{d}'), {NOT_SQL}) AS {d}" for d in GIVEN)
+    return f"SELECT '{table}' AS \"table\", a.scenario_id, CAST(coalesce(max({population}), 0) AS BIGINT) AS population, {each} FROM asked a LEFT JOIN {src} v ON v.scenario_id = a.scenario_id GROUP BY 2"
+
+
+@register("comparison_tables", with_ctes([*SCN, *LB], _cells_sql("hard_negative_false_positives", "tfp", "pop", "CAST(fps AS VARCHAR)") + " UNION ALL " + _cells_sql("incident_recall", "(SELECT *, hit AS h, total AS n FROM tre)", "total", PCT), TAB))
+def _tables(spark, d):
+    scores = _given_scores(spark, d)
+    theta = X.choose_thresholds(scores.filter("split = 'validation'"), p="risk_score", keys=["detector"]).select("detector", "theta_review")
+    test = cut_lineage(scores.filter("split = 'test'").join(F.broadcast(theta), "detector"))
+    windows = test.filter("detector = 'heuristic'")
+    truth = E.number_truth(L.true_incidents(windows))
+    recalls = E.scenario_recall(truth, test.filter(F.col("risk_score") >= F.col("theta_review")), ["detector"])
+    fps = M.false_positives_by_scenario(test, F.col("theta_review"), ["detector"])
+    return RP.hard_negative_table(fps, ASKED, GIVEN).unionByName(RP.recall_table(recalls, ASKED, GIVEN))
+
+
+@register("detector_table")
+def _detector_table(spark, d):
+    return RP.detector_table(scoring.evaluate_scores(_given_scores(spark, d), BOUNDS)[0])
+
+
+AUDIT = {**FA, "au": f"SELECT feature_id, greatest(auc, 1 - auc) AS auc FROM ({auc_sql('feature_id', 'lfv')})",
+         "atop": "SELECT *, row_number() OVER (ORDER BY round(auc, 9) DESC, feature_id) AS position FROM au QUALIFY position <= 10",
+         "aq": "SELECT feature_id, quantile_cont(p, 0.05) FILTER (y = 1) AS a, quantile_cont(p, 0.95) FILTER (y = 1) AS b, avg(p) FILTER (y = 1) AS ma, avg(p) FILTER (y = 0) AS mo FROM lf GROUP BY 1"}
+
+
+@register("separability_audit", with_ctes(["featj", *LB], f"""SELECT feature_id, position, {r6('any_value(auc)')} AS auc, {r6('any_value(ma)')} AS attack_mean, {r6('any_value(mo)')} AS other_mean, {r6('any_value(a)')} AS p05, {r6('any_value(b)')} AS p95,
+  {r6('avg(CASE WHEN a IS NULL THEN NULL WHEN p BETWEEN a AND b THEN 1.0 ELSE 0.0 END) FILTER (y = 0)')} AS overlap_share FROM atop JOIN aq USING (feature_id) JOIN lf USING (feature_id) GROUP BY 1, 2""", AUDIT))
+def _audit(spark, d):
+    return RP.separability_audit(_long_labelled(spark, d))
+
+
+@register("separability_summary", with_ctes(["featj", *LB], f"SELECT {r6('max(auc)')} AS max_auc, {r6('quantile_cont(auc, 0.5)')} AS median_auc, count(*) AS features FROM au", AUDIT))
+def _audit_summary(spark, d):
+    return RP.separability_summary(_long_labelled(spark, d))
+
+
+BURST = {**SC, "bu": f"SELECT merchant_id, window_size, e, dev, e * 60 >= {BOUNDS[0]} AND dev > 3 AS above FROM swd"}
+
+
+@register("declared_burst_duration", with_ctes(SCN, f"""SELECT merchant_id, window_size, {secs('e')} AS window_end, CASE WHEN above THEN (e - coalesce(max(CASE WHEN NOT above THEN e END) OVER w + 1, min(e) OVER w)) * 60.0 ELSE 0.0 END AS burst_duration
+  FROM bu WINDOW w AS (PARTITION BY merchant_id, window_size ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", BURST))
+def _burst(spark, d):
+    rows = _scored_rows(spark, d).select(*KEY, (F.unix_micros("window_end") >= BOUNDS[0] * 1000000).alias("held"), "A_txn_rate_dev")
+    return WF.burst_duration(rows, F.col("held") & (F.col("A_txn_rate_dev") > 3.0))
+
+
 # what the statement lacks is the learner: boosting and regression differ by engine
 RUN_SEEDS, RUN_ROUNDS = (42, 43, 44), 10
 
