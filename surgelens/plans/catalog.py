@@ -11,7 +11,7 @@ from surgelens import registry as R
 from surgelens.functions import protect, ranking, stats
 from surgelens.operators import (baselines as B, decision as X, explain as N, gates as GT, graph as G, grid, incidents as E,
                                  labels as L, lifecycle, metrics as M, report as RP, velocity as V, window_features as WF)
-from surgelens.plans import oracle as O, scoring
+from surgelens.plans import oracle as O, scoring, stages
 from surgelens.plans.comparable import comparable, r6_col
 from surgelens.plans.oracle import BASE, WK, r6, secs, with_ctes
 from surgelens.session import cut_lineage, hold, release, shared_path
@@ -85,6 +85,12 @@ def _raw_rows(spark, d):
     return _raw(spark, d).select("event_id", "event_type", "transaction_id", "timestamp", F.col("event_date").cast("string").alias("event_date"), F.length("payload_hash").alias("hash_length"))
 
 
+@register("stage_figures", with_ctes(["attc"], """SELECT unnest(['checked', 'checked', 'checked', 'claimed', 'claimed', 'logged', 'logged']) AS stage, unnest(['rows', 'null_merchant_id', 'rejected', 'rows', 'duplicates', 'rows', 'null_transaction_id']) AS figure,
+  unnest([count(*), count(*) FILTER (merchant_id IS NULL), count(*) FILTER (len(rs) > 0), count(*) FILTER (len(rs) = 0), count(*) FILTER (len(rs) = 0 AND again), count(*) FILTER (len(rs) = 0 AND NOT again), count(*) FILTER (len(rs) = 0 AND NOT again AND transaction_id IS NULL)]) AS value FROM env""", ENV))
+def _stage_figures(spark, d):
+    return stages.watched_intake(fx.envelopes(spark, d))[1]
+
+
 @register("raw_payload_hashes", with_ctes(["attc"], "SELECT event_type, count(*) AS events, count(DISTINCT event_id) AS distinct_hashes FROM env WHERE len(rs) = 0 AND NOT again GROUP BY 1", ENV))
 def _hashes(spark, d):
     return _raw(spark, d).groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("payload_hash").alias("distinct_hashes"))
