@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from surgelens import schemas as S
-from surgelens.session import cut_lineage, hold
+from surgelens.session import cut_lineage, hold, shared_path
 
 PAN_LIKE = r"^[0-9]{12,19}$"
 DEDUPE_TTL_SECONDS = 86400
@@ -107,28 +107,30 @@ def dedupe(accepted: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     goes on. Of rows equal in all three one is accepted.
     """
     at = ["event_id", "idempotency_key", "timestamp"]
-    rest = accepted.select(*at).distinct()
+    tuples = cut_lineage(accepted.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")))
+    rest = tuples.select(*at)
     if existing is not None:
         for c in ("event_id", "idempotency_key"):
             rest = rest.join(existing.select(c).distinct(), c, "left_anti")
-    rest, winners = cut_lineage(rest.select(*at)), None
+    rest, winners = cut_lineage(rest.select(*at)), tuples.select(*at).limit(0)
     while not rest.isEmpty():
         order = F.min(F.struct("timestamp", "event_id", "idempotency_key")).alias("_f")
         firsts = [rest.groupBy(c).agg(order).select("_f.*") for c in ("event_id", "idempotency_key")]
         won = cut_lineage(firsts[0].join(firsts[1], at, "left_semi").select(*at))
-        winners = won if winners is None else winners.union(won)
+        winners = winners.union(won)
         for c in ("event_id", "idempotency_key"):
             rest = rest.join(won.select(c), c, "left_anti")
         rest = cut_lineage(rest.select(*at))
+    # only what lost or stands more than once is written and joined; its known size lets the planner leave the payloads where they are
+    odd = tuples.join(winners.withColumn("_w", F.lit(True)), at, "left").filter("_w is null or _n > 1").select(*at, F.col("_w").isNull().alias("_lost"))
+    path = shared_path(accepted.sparkSession, "intake-odd")
+    odd.write.parquet(path)
+    told = accepted.join(accepted.sparkSession.read.schema(odd.schema).parquet(path), at, "left")
+    status = lambda rows, first: (rows.withColumn("status", F.when(first, "accepted").otherwise("duplicate"))
+                                  .withColumn("reason", F.when(~first, "event already ingested")).select(*accepted.columns, "status", "reason"))
+    plain = status(told.filter("_lost is null or _lost"), F.col("_lost").isNull())
     once = F.row_number().over(Window.partitionBy(*at).orderBy("event_id"))
-    out = accepted.withColumn("_r", once)
-    if winners is None:
-        first = F.lit(False)
-    else:
-        out = out.join(winners.withColumn("_w", F.lit(True)), at, "left").select(*accepted.columns, "_r", "_w")
-        first = F.col("_w").isNotNull() & (F.col("_r") == 1)
-    return (out.withColumn("status", F.when(first, "accepted").otherwise("duplicate"))
-            .withColumn("reason", F.when(~first, "event already ingested")).select(*accepted.columns, "status", "reason"))
+    return plain.unionByName(status(told.filter("not _lost").withColumn("_r", once), F.col("_r") == 1))
 
 
 def transaction_id_of() -> Column:
