@@ -70,8 +70,10 @@ def text_rows(docs: DataFrame, keep: str = "doc_id", text: str = "text") -> Data
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    """A key of a row's id and text: repeated ids with other texts stay apart."""
-    return F.xxhash64(doc_id, text)
+    """A key of a row's id and text, 128 bits as two hashes: repeated ids with other texts stay apart, and
+    unlike rows of any number of documents do not meet."""
+    half = lambda *c: F.lpad(F.hex(F.xxhash64(*c)), 16, "0")
+    return F.unhex(F.concat(half(doc_id, text), half(text, F.lit(1), doc_id)))
 
 
 def text_slices(batches: Iterable, chars: int = 2_000_000, rows: int = 2_000) -> Iterator:

@@ -208,7 +208,7 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Of each component the row with the smallest doc_id (a null one last, then by text), all columns kept."""
     key, place = fresh(docs, "row_key", "row_place")
     slim = text_rows(docs).withColumn("key", row_key(F.col("doc_id"), F.col("text"))).select("doc_id", "key", "text")
-    prints = stored(slim.mapInArrow(_fingerprints(size), schema("doc_id long, key long, fp long")), "simhash-prints")
+    prints = stored(slim.mapInArrow(_fingerprints(size), schema("doc_id long, key binary, fp long")), "simhash-prints")
     labels = component_labels(prints)
     # per fingerprint first, so that a large group of copies meets as one row
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
