@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from surgelens.operators.decision import logistic
-from surgelens.registry import FEATURE_COLUMN, assert_no_downstream, col_of, contextual_columns, fusion_columns, id_of, prefix_columns
+from surgelens.registry import FEATURE_COLUMN, assert_no_downstream, col_of, contextual_columns, fusion_columns, id_of, prefix_columns, split_columns
 
 SEED = 42
 
@@ -65,12 +65,12 @@ def fusion(rounds: int = 150, **sampling) -> Detector:
 
 
 def graph_only(rounds: int = 100, **sampling) -> Detector:
-    return Detector("ablation_graph_only", lambda ids: prefix_columns(ids, ("J.",)), _boosting(rounds, 0.1, **sampling))
+    return Detector("ablation_graph_only", lambda ids: prefix_columns(split_columns(ids)[0], ("J.",)), _boosting(rounds, 0.1, **sampling))
 
 
 def contextual_without_twins(rounds: int = 100, **sampling) -> Detector:
     families = tuple(f"{x}." for x in "ABCDEFGHI")
-    return Detector("ablation_contextual_no_dev", lambda ids: prefix_columns(ids, families, exclude_dev=True), _boosting(rounds, 0.1, **sampling))
+    return Detector("ablation_contextual_no_dev", lambda ids: prefix_columns(split_columns(ids)[0], families, exclude_dev=True), _boosting(rounds, 0.1, **sampling))
 
 
 def arms(rounds: int, seed: int, share: float = 0.8) -> list[Detector]:

@@ -160,3 +160,13 @@ def test_stage_figures_equal_counts_taken_apart(spark, tiny):
     assert got == {("checked", "rows"): events.count(), ("checked", "null_merchant_id"): intake.check_events(events).filter("merchant_id is null").count(), ("checked", "rejected"): bad.count(),
                    ("claimed", "rows"): good.count(), ("claimed", "duplicates"): claimed.filter("status = 'duplicate'").count(),
                    ("logged", "rows"): raw.count(), ("logged", "null_transaction_id"): raw.filter("transaction_id is null").count()}
+
+
+def test_arms_take_no_label_only_column(spark):
+    from surgelens.registry import FEATURES, col_of
+    ids = [f.id for f in FEATURES.values()]
+    row = spark.createDataFrame([(i % 2, *[float(i * (j + 1) % 5) for j in range(len(ids))]) for i in range(40)], ["y_true", *[col_of(i) for i in ids]])
+    barred = {col_of(f.id) for f in FEATURES.values() if f.downstream_only or f.evidence_only}
+    for arm in D.arms(1, 3):
+        arm.fit(row)
+        assert arm.columns and not barred & set(arm.columns) and (arm.name != "ablation_graph_only" or all(c.startswith("J_") for c in arm.columns))
