@@ -759,9 +759,10 @@ def _ratios(spark, d):
     return N.entity_ratios(_window_summary(spark, d)).select("merchant_id", "hr", "instruments_per_customer", "transactions_per_device", "total_entities")
 
 
-@register("evidence_export", with_ctes(["att"], f"SELECT {r6('us / 1e6')} AS timestamp, transaction_id, coalesce(customer_id, '') AS customer_id, coalesce(device_fp, '') AS device_fp, {r6('amount')} AS amount, CASE WHEN status = 'CAPTURED' THEN 'CAPTURED' ELSE 'FAILED' END AS status FROM att WHERE merchant_id = 'm_4' ORDER BY us, transaction_id LIMIT 100"))
+@register("evidence_export", with_ctes(["att"], f"SELECT {r6('us / 1e6')} AS timestamp, transaction_id, coalesce(customer_id, '') AS customer_id, coalesce(device_fp, '') AS device_fp, {r6('amount')} AS amount, CASE WHEN status = 'CAPTURED' THEN 'CAPTURED' ELSE 'FAILED' END AS status, is_abusive FROM att WHERE merchant_id = 'm_4' ORDER BY us, transaction_id LIMIT 100"))
 def _export(spark, d):
-    return stores.evidence_rows(fx.annotated(spark, d).filter("merchant_id = 'm_4'"))
+    members = fx.annotated(spark, d).filter("merchant_id = 'm_4'").join(fx.truth(spark, d).select("transaction_id", "is_abusive"), "transaction_id", "left")
+    return stores.evidence_rows(members)
 
 
 # ---- stores ---------------------------------------------------------------------------

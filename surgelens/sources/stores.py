@@ -67,6 +67,8 @@ def evidence_csv(members: DataFrame, path: str, limit: int = 100) -> None:
 
 
 def evidence_rows(members: DataFrame, limit: int = 100) -> DataFrame:
+    """The first attempts of a window as an analyst exports them; ``is_abusive`` is the truth of labelled data, false without one."""
+    truth = F.coalesce("is_abusive", F.lit(False)) if "is_abusive" in members.columns else F.lit(False)
     return members.orderBy("timestamp", "transaction_id").limit(limit).select(
         "timestamp", "transaction_id", F.coalesce("customer_id", F.lit("")).alias("customer_id"), F.coalesce("device_fp", F.lit("")).alias("device_fp"),
-        "amount", F.when(F.col("outcome_status") == "CAPTURED", "CAPTURED").otherwise("FAILED").alias("status"))
+        "amount", F.when(F.col("outcome_status") == "CAPTURED", "CAPTURED").otherwise("FAILED").alias("status"), truth.alias("is_abusive"))

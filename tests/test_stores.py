@@ -85,6 +85,19 @@ def test_range_scan_reads_only_the_asked_dates(spark, tiny, tmp_path):
     raw.unpersist()
 
 
+def test_exported_csv(spark, tiny, tmp_path):
+    from surgelens.sources import stores
+    members = fx.annotated(spark, tiny).filter("merchant_id = 'm_4'").join(fx.truth(spark, tiny).select("transaction_id", "is_abusive"), "transaction_id")
+    stores.evidence_csv(members, str(tmp_path / "csv"), 7)
+    lines = next((tmp_path / "csv").glob("*.csv")).read_text().splitlines()
+    want = members.orderBy("timestamp", "transaction_id").limit(7).collect()
+    assert lines[0] == "timestamp,transaction_id,customer_id,device_fp,amount,status,is_abusive" and len(lines) == 8
+    for line, r in zip(lines[1:], want):
+        _, txn, customer, device, amount, status, abusive = line.split(",")
+        assert (txn, customer.strip('"'), device.strip('"'), amount, abusive) == (r.transaction_id, r.customer_id or "", r.device_fp or "", str(r.amount), str(r.is_abusive).lower())
+        assert status == ("CAPTURED" if r.outcome_status == "CAPTURED" else "FAILED")
+
+
 # streams
 
 @pytest.fixture(scope="module")
