@@ -79,3 +79,45 @@ def test_empty_windows_have_an_empty_graph(spark, tiny):
     ones = {"J_devices_per_account_max", "J_accounts_per_ip_max", "J_cross_merchant_fanout_max"}
     rows = empty.select(*j).distinct().collect()
     assert len(j) == 12 and [r.asDict() for r in rows] == [{c: float(c in ones) for c in j}]
+
+
+def test_labels_meet_like_a_union_find():
+    import numpy as np
+    rng = np.random.default_rng(5)
+    for n, edges in ((2, 1), (50, 20), (300, 280), (300, 2000)):
+        a, b = rng.integers(0, n, (2, edges))
+        star, path = np.arange(n - 1), np.arange(1, n)
+        for x, y in ((a, b), (star, np.full(n - 1, n - 1)), (star, path), (path, star)):
+            half, sets = len(x) // 2, Sets()
+            label = G._meet(G._meet(np.arange(n), x[:half], y[:half]), x[half:], y[half:])
+            for u, v in zip(x.tolist(), y.tolist()):
+                sets.join(u, v)
+            groups, named = defaultdict(set), defaultdict(set)
+            for v in range(n):
+                groups[sets.find(v)].add(v)
+                named[int(label[v])].add(v)
+            assert sorted(map(sorted, groups.values())) == sorted(map(sorted, named.values()))
+            assert all(r in members for r, members in named.items())
+
+
+def test_a_busy_hour_stays_one_task(spark, monkeypatch):
+    """70,000 attempts in two hours: over 200,000 distinct (minute, edge) rows, which no window label table may be made of."""
+    monkeypatch.setattr(G, "window_labels", lambda *a: pytest.fail("spread over window labels"))
+    i, text = F.col("id"), lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    flat = spark.range(70_000).select(F.lit("m").alias("merchant_id"), F.floor(i / 700).alias("m"), (i * 100).alias("us"), text("c", i % 20_000).alias("cus"),
+                                      text("d", F.floor(i / 7)).alias("dev"), text("n", i).alias("ins"), text("p", F.floor(i / 70)).alias("ip"))
+    got = {(r.window_size, r.end_minute): r for r in G.clusters(flat, ("1m", "1h")).collect()}
+    assert len(got) == 100 + 159  # ends 1 to 100, and 1 to 159 of an hour
+    for size, end, lo, hi in (("1m", 5, 4 * 700, 5 * 700), ("1h", 100, 40 * 700, 70_000)):
+        sets, edges, nodes = Sets(), set(), defaultdict(set)
+        for k in range(lo, hi):
+            c, d, n, p = f"c{k % 20_000}", f"d{k // 7}", f"n{k}", f"p{k // 70}"
+            for a, b in ((c, d), (d, n), (c, p)):
+                sets.join(a, b)
+                edges.add((a, b))
+        for v in list(sets.up):
+            nodes[sets.find(v)].add(v)
+        row = got[(size, end)]
+        most = max(map(len, nodes.values()))
+        assert (row.clusters, row.nodes) == (len(nodes), most)
+        assert row.edges in {sum(sets.find(a) == r for a, _ in edges) for r in [k for k, v in nodes.items() if len(v) == most][:1]}
