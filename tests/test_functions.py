@@ -69,3 +69,23 @@ def test_tokens_equal_hmac(spark):
 def test_redaction(spark):
     row = spark.range(1).select(protect.redact_map(F.create_map(F.lit("api_key"), F.lit("x"), F.lit("note"), F.lit("card 4111 1111 1111 1111 ok"))).alias("m")).first().m
     assert row == {"api_key": "<redacted>", "note": "card <redacted-number> ok"}
+
+
+def test_medians_of_a_large_group_meet_its_values_by_bucket(spark, monkeypatch):
+    """No join by the group alone may take a group's values, which then lie in one task."""
+    df = spark.range(20_000).select(F.lit("a").alias("k"), (F.pow(F.col("id") % 10_000, 1.5) - 3_000).alias("v"))
+    plain, seen = type(df).join, []
+
+    def join(self, other, on=None, how=None):
+        if on == ["k"]:
+            seen.append(self.count())
+        return plain(self, other, on, how)
+
+    monkeypatch.setattr(type(df), "join", join)
+    got = stats.median_mad_large(df, ["k"], "v").first()
+    monkeypatch.undo()
+    v = sorted((i % 10_000) ** 1.5 - 3_000 for i in range(20_000))
+    med = (v[9_999] + v[10_000]) / 2
+    dev = sorted(abs(x - med) for x in v)
+    assert abs(got.expected_median - med) < 1e-6 and abs(got.variability_mad - 1.4826 * (dev[9_999] + dev[10_000]) / 2) < 1e-6 and got.sample_count == 20_000
+    assert seen and max(seen) < 3_000
