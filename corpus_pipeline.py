@@ -1,8 +1,9 @@
 """From raw documents to packed training sequences: five stages, each on what the one before kept.
 
 Stages take (spark, docs, sf_dir); each result is written as Parquet and reread as the next one's docs.
-All but the last return the columns of documents. The near-duplicate stage links texts whose sets of
-five-word shingles have a Jaccard similarity of 0.8 or more; min-hash bands propose, the sets decide.
+All but the last return the columns of documents. The near-duplicate stage links texts as op 3 does, by
+SimHash fingerprints within 3 bits that BK-trees find, and also texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more, which fingerprints miss; there min-hash bands propose, the sets decide.
 
 Nulls: a null text has no words, so the first stage rejects it; null doc_ids, sources and other columns pass
 through. Empty tables pass through as empty tables. Repeated rows become one at the third stage.
@@ -31,7 +32,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return near_texts.one_of_each(docs)
+    return near_texts.one_of_each(docs, fingerprints=True)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near copies by Jaccard similarity of five-word shingles: candidates share a min-hash band, the sets decide.
 
-Fingerprints select nothing here: two texts with a similarity of 0.8 differ in 7 of 64 bits in the median, and in any
+With ``fingerprints`` the links of ``simhash_bk`` (fingerprints within 3 bits, found by its BK-trees) count as well, all of them.
+They select nothing among the others: two texts with a similarity of 0.8 differ in 7 of 64 bits in the median, and in any
 number of them where one repeats a phrase or a separator, as repeats count in a fingerprint and not in the similarity. So shards are
 dealt by min-hash bands of the shingle sets (``BANDS`` bands of ``ROWS`` values: a pair at 0.8 shares no band once in
 about 1,500 pairs, and more alike ones more rarely still), and a shard's task compares the sets of all its members exactly.
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from surgelens.llm import simhash_bk
 from surgelens.llm.common import fresh, row_key, schema, stored, text_rows, text_slices
 from surgelens.llm.components import components
 from surgelens.llm.simhash_bk import SEED
@@ -76,16 +78,21 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def _sketches(batches: Iterator) -> Iterator:
-    """(doc_id, key, text) to (doc_id, key, cls, bands)."""
-    import pyarrow as pa
-    import xxhash
+def _sketches(fingerprints: bool):
+    """(doc_id, key, text) to (doc_id, key, cls, bands, fp); fp is null without ``fingerprints``."""
 
-    for some in text_slices(batches):
-        texts = some.column("text").to_pylist()
-        cls = [xxhash.xxh3_128_digest(b" ".join(t.encode().lower().split())) for t in texts]
-        keys = [bands(shingle_set(t)) for t in texts]
-        yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("key"), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "key", "cls", "bands"])
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import xxhash
+
+        for some in text_slices(batches):
+            texts = some.column("text").to_pylist()
+            cls = [xxhash.xxh3_128_digest(b" ".join(t.encode().lower().split())) for t in texts]
+            keys = [bands(shingle_set(t)) for t in texts]
+            prints = pa.array(np.array([simhash_bk.fingerprint(t) for t in texts], np.uint64).view(np.int64)) if fingerprints else pa.nulls(len(texts), pa.int64())
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("key"), pa.array(cls, pa.binary()), pa.array(keys, pa.list_(pa.int64())), prints], ["doc_id", "key", "cls", "bands", "fp"])
+
+    return run
 
 
 def _sets(batches: Iterator) -> Iterator:
@@ -169,16 +176,27 @@ def links(classes: DataFrame, texts: DataFrame, chunk: int = CHUNK) -> DataFrame
     return full.repartition("shard").sortWithinPartitions("shard", "side").select("shard", "apart", "side", "node", "hashes").mapInArrow(_shard_edges, schema("a long, b long"))
 
 
-def one_of_each(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id (a null one last, then by text), all columns kept."""
+def print_links(classes: DataFrame) -> DataFrame:
+    """Edges (a, b) of class nodes whose fingerprints are equal or within the radius. ``classes`` (node, fp) is written."""
+    prints = stored(classes.groupBy("fp").agg(F.min("node").alias("first")), "near-prints")
+    near = simhash_bk.links(prints.select("fp"))
+    end = lambda c, name: prints.select(F.col("fp").alias(c), F.col("first").alias(name))
+    apart = near.join(end("a", "from"), "a").join(end("b", "to"), "b").select(F.col("from").alias("a"), F.col("to").alias("b"))
+    return classes.join(prints, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).union(apart)
+
+
+def one_of_each(docs: DataFrame, chunk: int = CHUNK, fingerprints: bool = False) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id (a null one last, then by text), all columns kept.
+    With ``fingerprints`` texts whose SimHash fingerprints link are near copies too."""
     key, place = fresh(docs, "row_key", "row_place")
     slim = text_rows(docs).withColumn("key", row_key(F.col("doc_id"), F.col("text"))).select("doc_id", "key", "text")
-    rows = slim.mapInArrow(_sketches, schema("doc_id long, key binary, cls binary, bands array<long>"))
+    rows = slim.mapInArrow(_sketches(fingerprints), schema("doc_id long, key binary, cls binary, bands array<long>, fp long"))
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "key")
-    classes = rows.groupBy("cls").agg(F.min(order).alias("best"), F.min("bands").alias("bands"))
+    classes = rows.groupBy("cls").agg(F.min(order).alias("best"), F.min("bands").alias("bands"), F.min("fp").alias("fp"))
     # written with a number for each class, so that links are pairs of longs
-    classes = stored(classes.select("cls", F.monotonically_increasing_id().alias("node"), F.col("best.key").alias("key"), "best", "bands"), "near-classes")
-    roots = components(links(classes, slim, chunk))
+    classes = stored(classes.select("cls", F.monotonically_increasing_id().alias("node"), F.col("best.key").alias("key"), "best", "bands", "fp"), "near-classes")
+    edges = links(classes, slim, chunk)
+    roots = components(edges.union(print_links(classes.select("node", "fp"))) if fingerprints else edges)
     best = classes.join(roots, classes["node"] == roots["node"], "left").select(F.coalesce("root", classes["node"]).alias("root"), "best").groupBy("root").agg(F.min("best").alias("best"))
     keepers = stored(best.select(F.col("best.key").alias(key)).distinct(), "near-keepers")
     own = docs.withColumn(key, row_key(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))

@@ -297,3 +297,16 @@ def test_rules_agree_with_labels(spark):
     rows = repetition.op6(docs).join(labels, "doc_id").where("n_words >= 20").collect()
     good, bad = [r.kept for r in rows if r.quality == 1], [r.kept for r in rows if r.quality == 0]
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.03
+
+
+def test_pipeline_links_by_fingerprints_and_by_sets(spark):
+    """A phrase that both texts repeat gives them one fingerprint, whatever their few other words; copies with a run in one
+    of them have fingerprints far apart."""
+    import corpus_pipeline
+    phrase = "red green blue " * 40
+    rows = [(1, phrase + " ".join(f"w{k}" for k in range(12))), (2, phrase + " ".join(f"v{k}" for k in range(12))), (3, "words of their own stand here"), (3, "words of their own stand here")]
+    assert (simhash_bk.fingerprint(rows[0][1]) ^ simhash_bk.fingerprint(rows[1][1])).bit_count() <= 3
+    assert not near_texts.alike(near_texts.shingle_set(rows[0][1]), near_texts.shingle_set(rows[1][1]))
+    far = [(i + 10, t) for i, t in runs(random.Random(9))[:4]]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows + far, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 10, 12]
