@@ -52,3 +52,12 @@ def test_velocity_matches_sql(spark, tiny, con):
     for name in ("velocity_flags", "trailing_distinct_members", "window_metrics", "single_feature_auc"):
         run, sql = CATALOG[name]
         assert compare(run(spark, tiny).toPandas(), con.execute(sql).df()).startswith("ok"), name
+
+
+def test_redelivered_events_come_from_their_own_rows(spark, tiny):
+    """The union of event kinds is neither kept nor read a second time for the redelivered ones."""
+    from pyspark.sql import functions as F
+    events = fx.envelopes(spark, tiny)
+    assert "InMemoryRelation" not in events._jdf.queryExecution().executedPlan().toString()
+    again = events.groupBy("event_id").agg(F.count("*").alias("n"), (F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))).alias("us")).collect()
+    assert all((r.n, r.us) == ((2, 1_000_000) if int(r.event_id[3:]) % 50 == 0 else (1, 0)) for r in again) and len(again) > 400
