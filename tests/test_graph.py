@@ -121,3 +121,23 @@ def test_a_busy_hour_stays_one_task(spark, monkeypatch):
         most = max(map(len, nodes.values()))
         assert (row.clusters, row.nodes) == (len(nodes), most)
         assert row.edges in {sum(sets.find(a) == r for a, _ in edges) for r in [k for k, v in nodes.items() if len(v) == most][:1]}
+
+
+def test_attempts_are_dealt_as_they_are(spark, monkeypatch):
+    """Where no tile is too large, no table of edges is made; repeated attempts and missing instruments give the same clusters either way."""
+    i, text = F.col("id"), lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    flat = spark.range(600).withColumn("id", i % 200).select(
+        F.when(i % 2 == 0, "m").otherwise("n").alias("merchant_id"), F.floor(i / 2).alias("m"), (i * 30_000_000).alias("us"), text("c", i % 23).alias("cus"),
+        text("d", i % 31).alias("dev"), F.when(i % 7 != 0, text("n", i % 41)).alias("ins"), text("p", i % 5).alias("ip"))
+    collapsed = sorted(map(tuple, G.clusters(flat, ("1m", "15m", "1h"), tile_edges=600).collect()))  # 3 x 300 attempts, a third of the edges are distinct
+    monkeypatch.setattr(G, "timed_edges", lambda *a: pytest.fail("edges were shuffled before they were dealt"))
+    dealt = sorted(map(tuple, G.clusters(flat, ("1m", "15m", "1h")).collect()))
+    assert len(dealt) > 300 and dealt == collapsed
+
+
+def test_entities_of_several_merchants(spark):
+    rows = [("a", 1, "x"), ("b", 1, "x"), ("a", 1, "y"), (None, 1, "y"), ("a", 9, "z"), ("a", 9, "z"), ("b", 20, "x")]
+    flat = spark.createDataFrame(rows, "merchant_id string, m long, cus string").select(
+        "*", *[F.concat(F.lit(k), F.col("merchant_id"), "cus").alias(k) for k in ("dev", "ins")], F.lit(None).cast("string").alias("ip"))
+    got = {(r.merchant_id, r.end_minute): (r.cross_entities, r.fanout) for r in G.cross_merchant(flat, ("1m",)).collect()}
+    assert got == {("a", 2): (2, 2), ("b", 2): (1, 2), (None, 2): (1, 2)}
