@@ -97,22 +97,33 @@ def validate_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.filter(F.size("reasons") == 0).drop("reasons"), checked.filter(F.size("reasons") > 0)
 
 
+def _rivals(tuples: DataFrame, c: str, existing: DataFrame | None) -> DataFrame:
+    """Raise ``_rivals`` to the rows that share ``c``, and set ``_stored`` where it is among the existing ones."""
+    if existing is not None:
+        tuples = tuples.unionByName(existing.select(c).filter(F.col(c).isNotNull()).distinct().withColumn("_known", F.lit(True)), allowMissingColumns=True)
+    same = Window.partitionBy(c)
+    out = tuples.withColumn("_rivals", F.greatest("_rivals", F.count("_n").over(same)))
+    if existing is not None:
+        out = out.withColumn("_stored", F.col("_stored") | F.coalesce(F.max("_known").over(same), F.lit(False))).filter("_n is not null").drop("_known")
+    return out
+
+
 def dedupe(accepted: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Add status accepted/duplicate: in order of time an event is accepted unless its id or its
     idempotency key is stored, or was accepted before. A refused event claims nothing, so a later
     one may still take its id or key.
 
-    Rounds run on (id, key, timestamp) alone: accepted is what comes first both for its id
-    and for its key; what shares either with an accepted event is refused, and the rest, if any,
-    goes on. Of rows equal in all three one is accepted.
+    Only (id, key, timestamp) is looked at. What shares neither id nor key with another or a stored event is accepted as it
+    is; the others go through rounds: accepted is what comes first both for its id and for its key; what shares either with
+    an accepted event is refused, and the rest, if any, goes on. Of rows equal in all three one is accepted.
     """
     at = ["event_id", "idempotency_key", "timestamp"]
-    tuples = cut_lineage(accepted.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")))
-    rest = tuples.select(*at)
-    if existing is not None:
-        for c in ("event_id", "idempotency_key"):
-            rest = rest.join(existing.select(c).distinct(), c, "left_anti")
-    rest, winners = cut_lineage(rest.select(*at)), tuples.select(*at).limit(0)
+    tuples = accepted.groupBy(*at).agg(F.count(F.lit(1)).alias("_n")).withColumns({"_rivals": F.lit(1).cast("long"), "_stored": F.lit(False)})
+    for c in ("event_id", "idempotency_key"):
+        tuples = _rivals(tuples, c, existing)
+    # what is left out here stands alone: it is neither refused nor refuses anything
+    odd = cut_lineage(tuples.filter("_n > 1 or _rivals > 1 or _stored"))
+    rest, winners = odd.filter("_rivals > 1 and not _stored").select(*at), odd.select(*at).limit(0)
     while not rest.isEmpty():
         order = F.min(F.struct("timestamp", "event_id", "idempotency_key")).alias("_f")
         firsts = [rest.groupBy(c).agg(order).select("_f.*") for c in ("event_id", "idempotency_key")]
@@ -122,7 +133,8 @@ def dedupe(accepted: DataFrame, existing: DataFrame | None = None) -> DataFrame:
             rest = rest.join(won.select(c), c, "left_anti")
         rest = cut_lineage(rest.select(*at))
     # only what lost or stands more than once is written and joined; its known size lets the planner leave the payloads where they are
-    odd = tuples.join(winners.withColumn("_w", F.lit(True)), at, "left").filter("_w is null or _n > 1").select(*at, F.col("_w").isNull().alias("_lost"))
+    lost = F.col("_stored") | ((F.col("_rivals") > 1) & F.col("_w").isNull())
+    odd = odd.join(winners.withColumn("_w", F.lit(True)), at, "left").withColumn("_lost", lost).filter("_lost or _n > 1").select(*at, "_lost")
     path = shared_path(accepted.sparkSession, "intake-odd")
     odd.write.parquet(path)
     told = accepted.join(accepted.sparkSession.read.schema(odd.schema).parquet(path), at, "left")

@@ -57,3 +57,20 @@ def test_guard_is_not_pruned(spark):
     with pytest.raises(Exception, match="BaselineLeak"):
         B.overall_confidence(B.deviation(long, merchant_b)).collect()
     assert B.overall_confidence(B.deviation(long, merchant_b, allow_in_sample=True)).count() == 1
+
+
+def test_rounds_see_only_events_that_share_an_id_or_key(spark, monkeypatch):
+    from surgelens.sources import intake
+    rows = [(f"e{i}", f"k{i}", i) for i in range(500)] + [("e1", "k1", 900), ("e2", "new", 901), ("other", "k3", 902), ("e4", "k4", 4)]
+    df = spark.createDataFrame(rows, "event_id string, idempotency_key string, timestamp long")
+    old = spark.createDataFrame([("e5", "gone"), (None, None)], "event_id string, idempotency_key string")
+    cut, seen = intake.cut_lineage, []
+
+    def counted(t):
+        seen.append(cut(t))
+        return seen[-1]
+
+    monkeypatch.setattr(intake, "cut_lineage", counted)
+    refused = [(r.event_id, r.idempotency_key, r.timestamp) for r in intake.dedupe(df, old).filter("status = 'duplicate'").collect()]
+    assert sorted(refused) == [("e1", "k1", 900), ("e2", "new", 901), ("e4", "k4", 4), ("e5", "k5", 5), ("other", "k3", 902)]
+    assert max(t.count() for t in seen) == 8
