@@ -44,6 +44,16 @@ def test_tiles_hold_what_deltas_give(spark, flat, monkeypatch):
     assert some == by_deltas
 
 
+def test_attempts_without_instant_or_merchant(spark, flat):
+    """Merchants with undated attempts give what deltas give; without a merchant, values have no order."""
+    us = [f"x.{c}" if c not in ("m", "us") else f"if(x.merchant_id = 'm' and x.us % 7 = 0, null, x.{c}) as {c}" for c in flat.columns if c != "merchant_id"]
+    odd = flat.alias("x").selectExpr("if(x.merchant_id = 'n' and x.us % 2000000 = 0, null, x.merchant_id) as merchant_id", *us)
+    columns = ["merchant_id", "window_size", "end_minute", *[c.split(" ")[0] for c in tiles.CONTENTS.split(", ")]]
+    got, want = (_rows(df.select(*columns)) for df in (WF.window_contents(odd, WF.attempt_packs(odd), ("5m",)), WF.spread_contents(odd, ("5m",))))
+    assert {k[0] for k in got} == {"m", "n", None} and got == {k: want[k] for k in got}
+    assert {r["amt_median"] for k, r in got.items() if k[0] is None} == {0}
+
+
 def test_features_of_bounded_hours_take_no_deltas_of_items(spark, tiny, monkeypatch):
     from surgelens.sources import fixtures as fx
     for name in ("item_steps", "neighbour_steps", "bucket_cells"):
