@@ -68,3 +68,19 @@ def test_attempts_travel_packed(spark, flat):
     hours = flat.groupBy("merchant_id", F.floor(F.col("m") / 60).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
     assert sorted(map(tuple, packs.select("merchant_id", "hour", "n").collect())) == sorted(map(tuple, hours.collect()))
     assert len(tiles.dealt(packs).select("tile").collect()) == 2 * hours.count()
+
+
+def test_a_pack_moves_once_to_each_block_of_tiles(spark, flat):
+    packs = tiles.packed(flat, tiles.ENTITIES).cache()
+    moved = []
+    solve = lambda rows, first_end: {"window_size": ["1h"], "end_minute": [first_end], "n": [rows.num_rows]}
+    whole, dealt = tiles.solved_all(packs, solve, "n long"), tiles.solved(tiles.dealt(packs), solve, "n long")
+    assert sorted(whole.collect()) == sorted(dealt.collect())
+    for df in (whole, dealt):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        moved.append(plan.count("Generate explode"))
+    assert moved == [1, 1]
+    hours = {(r.merchant_id, r.hour) for r in packs.collect()}
+    rows = packs.count()
+    twice = sum(1 for r in packs.collect() if r.hour // tiles.BLOCK != (r.hour + 1) // tiles.BLOCK)
+    assert hours and rows + twice < 2 * rows

@@ -61,3 +61,30 @@ def test_redelivered_events_come_from_their_own_rows(spark, tiny):
     assert "InMemoryRelation" not in events._jdf.queryExecution().executedPlan().toString()
     again = events.groupBy("event_id").agg(F.count("*").alias("n"), (F.unix_micros(F.max("timestamp")) - F.unix_micros(F.min("timestamp"))).alias("us")).collect()
     assert all((r.n, r.us) == ((2, 1_000_000) if int(r.event_id[3:]) % 50 == 0 else (1, 0)) for r in again) and len(again) > 400
+
+
+def test_rows_as_joined_keep_repeats_and_missing_keys(spark):
+    from surgelens.operators.lifecycle import as_joined
+    left = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3), (None, 4), ("c", 5)], "k string, v int")
+    for right in ([("a",), ("b",), ("b",), ("b",), (None,), (None,), ("z",), ("z",)], [("a",), ("b",)], []):
+        other = spark.createDataFrame(right, "k string")
+        got = sorted(as_joined(left, other, "k").select("v").collect())
+        assert got == sorted(left.join(other, "k", "left").select("v").collect())
+
+
+def test_scored_and_graph_inputs_move_no_attempts_for_places(spark, tiny):
+    """Places are read by neither, so attempts are not shuffled by user for them, nor by transaction for the graph."""
+    from surgelens.sources import fixtures as fx
+    entities, whole = fx.entity_attempts(spark, tiny), fx.annotated(spark, tiny)
+    cols = [c for c in entities.columns if c != "geo"]
+    assert sorted(map(str, entities.select(*cols).collect())) == sorted(map(str, whole.select(*cols).collect()))
+    for df in (entities, fx.attempts(spark, tiny, geo=False)):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_labels_read_the_attempts_once(spark, tiny):
+    from surgelens.operators import labels as L
+    from surgelens.sources import fixtures as fx
+    plan = L.lift_labels(fx.labelled(spark, tiny, geo=False))._jdf.queryExecution().logical().toString()
+    cached = L.lift_labels(fx.labelled(spark, tiny, geo=False))._jdf.queryExecution().withCachedData().toString()
+    assert "Relation [event_id" in plan and "Relation [event_id" not in cached and "InMemoryRelation" in cached
