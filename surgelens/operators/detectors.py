@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from surgelens.operators.decision import logistic
 from surgelens.registry import FEATURE_COLUMN, assert_no_downstream, col_of, contextual_columns, fusion_columns, id_of, prefix_columns, split_columns
@@ -40,6 +42,12 @@ class Detector:
         return out.withColumn("risk_score", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
 
 
+def side_by_side(spark: SparkSession, fits: list[Callable[[], object]]) -> list:
+    """What each fit returns, all run at once: boosting rounds are many small jobs, which leave a cluster idle one after the other."""
+    with ThreadPool(max(1, len(fits))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda fit: fit()), fits, chunksize=1)
+
+
 def predict(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     return df.withColumn("predicted", (F.col("risk_score") >= threshold).cast("int"))
 

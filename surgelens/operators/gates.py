@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from surgelens.operators import metrics as M
-from surgelens.operators.detectors import Detector
+from surgelens.operators.detectors import Detector, side_by_side
 
 #: bounds of the gates, as fixed values
 MEDIAN_AUC, LEAST_FEATURES, SHUFFLE_DISTANCE, HELD_OUT_RECALL, HELD_OUT_THRESHOLD = 0.85, 10, 0.10, 0.50, 0.40
@@ -92,12 +92,13 @@ def held_out_gate(train: DataFrame, test: DataFrame, make: Callable[[], Detector
     folds = scenario_folds(train.withColumn("split", F.lit("train")).select("split", "dominant_scenario_id", "y_true").unionByName(
         test.withColumn("split", F.lit("test")).select("split", "dominant_scenario_id", "y_true"))).collect()  # attack scenarios only
     out = spark.createDataFrame([("held_out_scenario", f.scenario_id, None, HELD_OUT_RECALL, None) for f in folds if not (f.train_positives and f.test_positives)], GATE)
-    for f in folds:
-        if f.train_positives and f.test_positives:
-            kept = F.coalesce(F.col("dominant_scenario_id") != f.scenario_id, F.lit(True))
-            scored = make().fit(train.filter(kept)).score(test.filter(F.col("dominant_scenario_id") == f.scenario_id).filter("y_true = 1"))
-            r = scored.agg(F.avg((F.col("risk_score") >= HELD_OUT_THRESHOLD).cast("double")).alias("r"))
-            out = out.unionByName(_row(r, "held_out_scenario", F.lit(f.scenario_id), F.col("r"), HELD_OUT_RECALL, F.col("r") >= HELD_OUT_RECALL))
+    judged = [f for f in folds if f.train_positives and f.test_positives]
+    kept = lambda f: F.coalesce(F.col("dominant_scenario_id") != f.scenario_id, F.lit(True))
+    fitted = side_by_side(spark, [lambda f=f: make().fit(train.filter(kept(f))) for f in judged])
+    for f, detector in zip(judged, fitted):
+        scored = detector.score(test.filter(F.col("dominant_scenario_id") == f.scenario_id).filter("y_true = 1"))
+        r = scored.agg(F.avg((F.col("risk_score") >= HELD_OUT_THRESHOLD).cast("double")).alias("r"))
+        out = out.unionByName(_row(r, "held_out_scenario", F.lit(f.scenario_id), F.col("r"), HELD_OUT_RECALL, F.col("r") >= HELD_OUT_RECALL))
     return out
 
 
@@ -105,5 +106,6 @@ def leakage_gates(long: DataFrame, data: DataFrame, ident: Column, make: Callabl
     """All gates as one table. ``long`` (feature_id, value, y_true) of non-empty windows; ``data`` has features, split, y_true,
     dominant_scenario_id; ``make(rounds)`` gives an unfitted detector."""
     train, test = data.filter("split = 'train'"), data.filter("split = 'test'")
-    return (median_auc_gate(long).unionByName(split_gate(data)).unionByName(shuffle_gate(train, test, ident, make(rounds[0]), seed))
-            .unionByName(held_out_gate(train, test, lambda: make(rounds[1]))))
+    shuffled, held_out = side_by_side(data.sparkSession, [lambda: shuffle_gate(train, test, ident, make(rounds[0]), seed),
+                                                          lambda: held_out_gate(train, test, lambda: make(rounds[1]))])
+    return median_auc_gate(long).unionByName(split_gate(data)).unionByName(shuffled).unionByName(held_out)

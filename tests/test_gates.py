@@ -170,3 +170,19 @@ def test_arms_take_no_label_only_column(spark):
     for arm in D.arms(1, 3):
         arm.fit(row)
         assert arm.columns and not barred & set(arm.columns) and (arm.name != "ablation_graph_only" or all(c.startswith("J_") for c in arm.columns))
+
+
+def test_held_out_fits_run_side_by_side(spark, monkeypatch):
+    """Two scenarios, two fits: each waits for the other to begin, which never happens one after the other."""
+    import threading
+    both = threading.Barrier(2)
+    fit = D.Detector.fit
+
+    def waiting(self, df):
+        both.wait(timeout=60)
+        return fit(self, df)
+
+    monkeypatch.setattr(D.Detector, "fit", waiting)
+    data = _windows(spark, ["a", "b"])
+    rows = G.held_out_gate(data.filter("split = 'train'"), data.filter("split = 'test'"), lambda: _detector(1)).collect()
+    assert sorted(r.item for r in rows) == ["a", "b"]
