@@ -81,7 +81,8 @@ def contextual_without_twins(rounds: int = 100, **sampling) -> Detector:
     return Detector("ablation_contextual_no_dev", lambda ids: prefix_columns(split_columns(ids)[0], families, exclude_dev=True), _boosting(rounds, 0.1, **sampling))
 
 
-def arms(rounds: int, seed: int, share: float = 0.8) -> list[Detector]:
-    """The three detectors and the two ablation arms of one run; each tree of a run sees a seeded share of the rows."""
-    sampling = {"seed": seed, "share": share}
-    return [volume_only(), contextual(rounds, **sampling), fusion(rounds, **sampling), graph_only(rounds, **sampling), contextual_without_twins(rounds, **sampling)]
+def arms(rounds: int | None, seed: int, share: float = 0.8) -> list[Detector]:
+    """The three detectors and the two ablation arms of one run, with the rounds of each detector unless ``rounds`` are given;
+    each tree of a run sees a seeded share of the rows."""
+    given = {"seed": seed, "share": share} | ({} if rounds is None else {"rounds": rounds})
+    return [volume_only(), contextual(**given), fusion(**given), graph_only(**given), contextual_without_twins(**given)]

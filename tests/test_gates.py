@@ -186,3 +186,40 @@ def test_held_out_fits_run_side_by_side(spark, monkeypatch):
     data = _windows(spark, ["a", "b"])
     rows = G.held_out_gate(data.filter("split = 'train'"), data.filter("split = 'test'"), lambda: _detector(1)).collect()
     assert sorted(r.item for r in rows) == ["a", "b"]
+
+
+# runs of the ablation
+
+def test_runs_fit_each_detector_as_the_protocol_does(spark, monkeypatch):
+    """Every seed fits all five arms with the rounds that the detectors have by themselves, on every row of TRAIN."""
+    from surgelens.plans import catalog as C
+    data, fitted, rows = _windows(spark, ["a", "b"]), [], []
+    monkeypatch.setattr(C, "_written", lambda spark, d, name, make: make())
+    for name in ("_all_rows", "_label_rows"):
+        monkeypatch.setattr(C, name, lambda spark, d: None)
+    monkeypatch.setattr(scoring, "protocol_data", lambda *a: data)
+    monkeypatch.setattr(scoring, "fit_all", lambda detectors, train: (fitted.extend(detectors), rows.append(train)))
+    runs = C._runs(spark, "").collect()
+    of = lambda det: (det.name, (lambda x: (x.getMaxIter(), x.getStepSize(), x.getMaxDepth(), x.getMinInstancesPerNode()) if x.hasParam("stepSize") else x.getMaxIter())(det._learner(240)))
+    own = [D.volume_only(), D.contextual(), D.fusion(), D.graph_only(), D.contextual_without_twins()]
+    assert [of(x) for x in fitted] == [of(x) for x in own] * 3 and {(r.run_id, r.detector) for r in runs} == {(s, x.name) for s in (42, 43, 44) for x in own}
+    assert [x._learner(240).getSeed() for x in fitted if x.name != "volume_only"] == [s for s in (42, 43, 44) for _ in range(4)]
+    assert sorted(rows[0].collect()) == sorted(data.filter("split = 'train'").collect())
+
+
+@pytest.mark.parametrize("rows", [50, 10_000])
+def test_rows_dealt_for_fits_do_not_depend_on_how_they_lay(spark, monkeypatch, rows):
+    monkeypatch.setattr(scoring, "FIT_ROWS", rows)
+    noise = lambda n: F.pmod(F.hash("window_end"), F.lit(n))
+    data = _windows(spark, ["a"]).withColumns({"A_interarrival_mean": (F.col("A_interarrival_mean") + noise(50)).cast("double"), "y_true": (noise(3) == 0).cast("int")})
+    twice = data.filter("split = 'train'").unionByName(data.filter("split = 'train' and merchant_id = 'm_1'"))
+    dealt = [scoring.dealt_for_fits(x) for x in (twice.repartition(7, "A_txn_rate"), twice.coalesce(1).orderBy(F.desc("window_end")))]
+    assert [x.rdd.getNumPartitions() for x in dealt] == [-(-320 // rows)] * 2
+    assert sorted(dealt[0].collect()) == sorted(twice.collect())
+    learner = lambda: D.Detector("boosted", lambda ids: ids, D._boosting(3, 0.1, seed=5, share=0.5))
+    a, b = ([r.risk_score for r in learner().fit(x).score(data).orderBy("window_end").collect()] for x in dealt)
+    assert a == b and len(set(a)) > 10
+
+
+def test_dealing_for_fits_takes_an_empty_table(spark):
+    assert scoring.dealt_for_fits(_windows(spark, ["a"]).limit(0)).count() == 0
