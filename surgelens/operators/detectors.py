@@ -32,7 +32,7 @@ class Detector:
         self.columns = [col_of(i) for i in assert_no_downstream(self._select(ids))]
         n = df.count()
         stages = [VectorAssembler(inputCols=self.columns, outputCol="_x", handleInvalid="keep"), self._learner(n)]
-        self.model = Pipeline(stages=stages).fit(df.fillna(0.0, self.columns))
+        self.model = _without_summaries(Pipeline(stages=stages).fit(df.fillna(0.0, self.columns)), df.sparkSession)
         return self
 
     def score(self, df: DataFrame) -> DataFrame:
@@ -42,6 +42,14 @@ class Detector:
         return out.withColumn("risk_score", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
 
 
+def _without_summaries(model: PipelineModel, spark: SparkSession) -> PipelineModel:
+    """A regression keeps the summary of its fit and with it the session, which no task can carry once the session has observed a query."""
+    for stage in model.stages:
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(spark._jvm.scala.Option.empty())
+    return model
+
+
 def side_by_side(spark: SparkSession, fits: list[Callable[[], object]]) -> list:
     """What each fit returns, all run at once: boosting rounds are many small jobs, which leave a cluster idle one after the other."""
     with ThreadPool(max(1, len(fits))) as pool:

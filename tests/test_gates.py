@@ -149,6 +149,15 @@ def test_a_loaded_detector_scores_alike(spark, tmp_path):
     assert isinstance(inside, PipelineModel) and inside.transform(test).filter("risk_score is null").count() == 0
 
 
+def test_a_detector_scores_after_the_session_observed_a_query(spark):
+    from pyspark.sql import Observation
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    data = _windows(spark, ["a"])
+    scored = D.volume_only().fit(data.filter("split = 'train'")).score(data.filter("split = 'test'"))
+    assert seen.get == {"n": 5} and scored.filter("risk_score between 0 and 1").count() == 120 and len({r.risk_score for r in scored.collect()}) > 2
+
+
 def test_stage_figures_equal_counts_taken_apart(spark, tiny):
     from surgelens.plans import stages
     from surgelens.sources import fixtures as fx, intake
